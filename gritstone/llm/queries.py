@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, quality, simhash
 
-MODULES = (exact_dedup, simhash)
+MODULES = (quality, exact_dedup, packing, simhash, bpe)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
