@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, packing, quality, simhash, url_filter
+from . import bpe, exact_dedup, html_text, packing, quality, simhash, suffix_dedup, url_filter
 
-MODULES = (url_filter, quality, exact_dedup, packing, simhash, html_text, bpe)
+MODULES = (url_filter, quality, exact_dedup, suffix_dedup, packing, simhash, html_text, bpe)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
