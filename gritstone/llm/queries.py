@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, line_dedup, packing, quality, simhash, suffix_dedup, url_filter
+from . import bpe, exact_dedup, html_text, line_dedup, packing, quality, simhash, suffix_dedup, url_filter, vector_dedup
 
-MODULES = (url_filter, quality, exact_dedup, suffix_dedup, line_dedup, packing, simhash, html_text, bpe)
+MODULES = (url_filter, quality, exact_dedup, suffix_dedup, line_dedup, packing, simhash, vector_dedup, html_text, bpe)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
