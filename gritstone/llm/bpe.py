@@ -32,10 +32,17 @@ class Vocabulary:
             (ranks[t[:i]] << 32) | ranks[t[i:]]: r
             for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         }
+        self._pairs(pairs)
+
+    def _pairs(self, pairs: dict[int, int]) -> None:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
 
+    def first(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tokens before any merge, of rows of bytes."""
+        return self.byte_id[raw]
+
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the pair's concatenation, NONE where there is none."""
         key = (a << 32) | b
@@ -53,7 +60,7 @@ def _encode_one(v: Vocabulary, piece: bytes) -> list[int]:
     """A piece of any length: n log n steps on plain lists."""
     n = len(piece)
     size = 1 << max(1, (n - 1).bit_length())
-    tok = v.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+    tok = v.first(np.frombuffer(piece, np.uint8)[None, :], np.array([n]))[0].tolist()
     nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
     none = (1 << 62, 0)
     tree = [none] * (2 * size)
@@ -92,7 +99,7 @@ def _encode_one(v: Vocabulary, piece: bytes) -> list[int]:
     return [t for t in tok if t >= 0]
 
 
-def _encode_equal(v: Vocabulary, pieces: list[bytes], size: int) -> list[np.ndarray]:
+def _encode_equal(v: Vocabulary, pieces: list[bytes], size: int) -> list[bytes]:
     """Many pieces of ``size`` bytes at most (a power of two): one segment tree a piece, all as rows of one array.
 
     A leaf holds (rank of the pair that starts here, place); an inner node the lesser of its two
@@ -103,7 +110,7 @@ def _encode_equal(v: Vocabulary, pieces: list[bytes], size: int) -> list[np.ndar
     raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(m, size)
     length = np.fromiter(map(len, pieces), np.int64, m)
     place = np.arange(size, dtype=np.int64)
-    tok = v.byte_id[raw]
+    tok = v.first(raw, length)
     tok[place[None, :] >= length[:, None]] = -1
     tree = np.full((m, 2 * size), NONE * size, dtype=np.int64)
     leaf = v.rank(tok[:, :-1], np.maximum(tok[:, 1:], 0))
@@ -139,22 +146,21 @@ def _encode_equal(v: Vocabulary, pieces: list[bytes], size: int) -> list[np.ndar
                 tree[rows, up] = np.minimum(tree[rows, 2 * up], tree[rows, 2 * up + 1])
                 up >>= 1
         rows = rows[tree[rows, 1] < NONE * size]
-    ids, lens = tok[tok >= 0], (tok >= 0).sum(1)
-    return np.split(ids, np.cumsum(lens)[:-1])
+    live = tok >= 0
+    flat, ends = tok[live].astype("<u4").tobytes(), (4 * np.cumsum(live.sum(1))).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def encode_pieces(v: Vocabulary, pieces: list[bytes]) -> list[list[int] | np.ndarray]:
-    """Token ids of each piece, each merged on its own; empty pieces have none."""
-    out: list = [None] * len(pieces)
+def encode_pieces(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
+    """Token ids (little-endian, 32 bits) of each piece, each merged on its own; empty pieces have none."""
+    out = [b""] * len(pieces)
     groups: dict[int, list[int]] = {}
     for i, p in enumerate(pieces):
-        if not p:
-            out[i] = []
-        elif p in v.ranks:
-            out[i] = [v.ranks[p]]
+        if p in v.ranks:
+            out[i] = v.ranks[p].to_bytes(4, "little")
         elif len(p) > BATCH_MAX:
-            out[i] = _encode_one(v, p)
-        else:
+            out[i] = np.array(_encode_one(v, p), dtype="<u4").tobytes()
+        elif p:
             groups.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(i)
     for size, where in groups.items():
         step = max(1, 1_000_000 // size)
@@ -176,8 +182,7 @@ class Encoder:
         if len(self.ids) > CACHE:
             self.ids.clear()
         new = [p for p in pieces if p not in self.ids]
-        for p, ids in zip(new, encode_pieces(self.v, [p.encode("utf-8", "surrogatepass") for p in new])):
-            self.ids[p] = np.asarray(ids, dtype="<u4").tobytes()
+        self.ids.update(zip(new, encode_pieces(self.v, [p.encode("utf-8", "surrogatepass") for p in new])))
 
     def encode(self, texts: list[str | None], at_once: int = 1 << 20) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a text at a time; null has none."""

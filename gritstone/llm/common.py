@@ -61,8 +61,21 @@ def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def union_schema(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: Bits of the filter of ``sieved``; a fixed size.
+MARKS = 1 << 22
+
+
+def sieved(df: DataFrame, keys: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, rows whose key surely is not), by a filter of MARKS bits.
+
+    The filter is broadcast: MARKS / 64 rows at most, whatever the input. So only rows that a join
+    with ``keys`` can change need to move; the others stay where they are.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(MARKS))
+    words = keys.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(__bit % 64 as int))")).alias("__v")
+    )
+    names = df.columns
+    marked = df.withColumn("__bit", bit).withColumn("__w", F.shiftright("__bit", 6)).join(F.broadcast(words), "__w", "left")
+    maybe = F.coalesce(F.expr("getbit(__v, cast(__bit % 64 as int)) = 1"), F.lit(False))
+    return marked.where(maybe).select(*names), marked.where(~maybe).select(*names)

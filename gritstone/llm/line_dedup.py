@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sieved, table, written
 
 COUNTERS = 1 << 18  # of the rarity sketch; a fixed size
 MARKS = 1 << 22  # bits of a filter; a fixed size
@@ -221,22 +221,16 @@ def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int
     """
     gone = written(removed_lines(docs, threshold, least), "gone")
     names = docs.columns
-    bit = F.pmod(F.xxhash64("__k1", "__k2"), F.lit(MARKS))
-    words = gone.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(MARKS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("__w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("__v")
-    )
-    keyed = _keyed(docs).withColumn("__bit", bit).withColumn("__w", F.shiftright("__bit", 6))
-    keyed = keyed.join(F.broadcast(words), "__w", "left")  # MARKS / 64 rows at most
-    maybe = F.coalesce(F.expr("getbit(__v, cast(__bit % 64 as int)) = 1"), F.lit(False))
     gone = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("lines").alias("__lines"))
+    maybe, still = sieved(_keyed(docs), gone, "__k1", "__k2")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
     cut = F.when(F.col("__lines").isNotNull(), kept).otherwise(F.col("text"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     extra = [n_lines.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     of = [cut.alias("text") if c == "text" else F.col(c) for c in names] + extra
-    moved = keyed.where(maybe).join(gone, ["__k1", "__k2"], "left").select(*of)
-    still = keyed.where(~maybe).withColumn("__lines", F.lit(None).cast("array<int>")).select(*of)
+    moved = maybe.join(gone, ["__k1", "__k2"], "left").select(*of)
+    still = still.withColumn("__lines", F.lit(None).cast("array<int>")).select(*of)
     return still.unionByName(moved)
 
 

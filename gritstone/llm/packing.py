@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter
@@ -15,29 +17,82 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import Vocabulary, encode_pieces
 from .common import table, written
 
-CACHE = 300_000  # words a worker remembers
+CACHE = 400_000  # words a worker remembers
 Bins = Counter  # pattern (lengths, longest first) -> how many bins are filled so
 
 
+class StemVocabulary(Vocabulary):
+    """Merges of a tokenizer file whose words end in a marked token; ids of merges are in their order."""
+
+    def __init__(self, path: str, end: str = "</w>"):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, self.ranks = model["vocab"], {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        name = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.byte_id = np.array([ids[name[b]] for b in range(256)], dtype=np.int64)
+        self.last_id = np.array([ids[name[b] + end] for b in range(256)], dtype=np.int64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [ids[a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError("ids of merges must be in the order of merges")
+        self._pairs({(ids[a] << 32) | ids[b]: i for (a, b), i in zip(merges, made)})
+
+    def first(self, raw: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = self.byte_id[raw]
+        rows = np.arange(len(raw))
+        out[rows, length - 1] = self.last_id[raw[rows, length - 1]]
+        return out
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never merges across white space; remembers words."""
+    """Ids of texts by a tokenizer that lower-cases and never merges across white space or from letters to signs.
+
+    Words are remembered. A new one of plain letters, maybe with ASCII signs after them, is taken
+    apart there and its letters merged in large batches; all others go through the tokenizer.
+    """
+
+    PLAIN = re.compile(r"([^\W\d_]+)([^\w\s'<]*)")
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self.stems = StemVocabulary(path)
         self.ids: dict[bytes, bytes] = {}
+        self.stem_ids: dict[str, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        """New words in one text, a line break between two: tokens are dealt back by their places."""
-        text = "\n".join(w.decode("utf-8", "surrogatepass") for w in words)
-        enc = self.tok.encode(text, add_special_tokens=False)
-        ends = np.cumsum(np.array([len(w.decode("utf-8", "surrogatepass")) + 1 for w in words]))
+    def _ask(self, words: list[str]) -> list[bytes]:
+        """Words through the tokenizer, a line break between two: tokens are dealt back by their places."""
+        enc = self.tok.encode("\n".join(words), add_special_tokens=False)
+        ends = np.cumsum(np.array([len(w) + 1 for w in words]))
         at = np.searchsorted(ends, np.array([o[0] for o in enc.offsets], dtype=np.int64), side="right")
         ids = np.array(enc.ids, dtype="<u4")
         cut = np.searchsorted(at, np.arange(len(words) + 1))
-        for k, w in enumerate(words):
-            self.ids[w] = ids[cut[k] : cut[k + 1]].tobytes()
+        return [ids[cut[k] : cut[k + 1]].tobytes() for k in range(len(words))]
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd, plain = [], []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            m = self.PLAIN.fullmatch(text)
+            # up to U+024F lower case keeps the length (but for U+0130) and letters are whole
+            if m and m[1].isalpha() and m[2].isascii() and (text.isascii() or max(m[1]) < "\u0250" and "\u0130" not in text):
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append((w, text))
+        new = list({s for _, s, _ in plain if s not in self.stem_ids})
+        self.stem_ids.update(zip(new, encode_pieces(self.stems, [s.encode() for s in new])))
+        tails = list({t for _, _, t in plain if t and t not in self.stem_ids})
+        for k in range(0, len(tails), 5_000):
+            self.stem_ids.update(zip(tails[k : k + 5_000], self._ask(tails[k : k + 5_000])))
+        self.stem_ids[""] = b""
+        for w, s, t in plain:
+            self.ids[w] = self.stem_ids[s] + self.stem_ids[t]
+        for k in range(0, len(odd), 5_000):
+            part = odd[k : k + 5_000]
+            self.ids.update(zip([w for w, _ in part], self._ask([t for _, t in part])))
 
     def encode(self, texts: list[str | None], at_once: int = 1 << 20) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
@@ -55,9 +110,9 @@ class WordEncoder:
                     found.append(text.encode("utf-8", "surrogatepass").split())
             if len(self.ids) > CACHE:
                 self.ids.clear()
+                self.stem_ids.clear()
             new = [w for w in set().union(*(f for f in found if isinstance(f, list))) if w not in self.ids]
-            for k in range(0, len(new), 5_000):
-                self._learn(new[k : k + 5_000])
+            self._learn(new)
             for f in found:
                 yield f if isinstance(f, bytes) else b"".join(map(self.ids.__getitem__, f))
 
@@ -154,7 +209,7 @@ def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(na.elements(), reverse=True)), tuple(sorted(nb.elements(), reverse=True))
 
 
-def local_search(bins: Bins, capacity: int, steps: int = 20_000, partners: int = 200) -> Bins:
+def local_search(bins: Bins, capacity: int, steps: int = 5_000, partners: int = 200) -> Bins:
     """Moves and exchanges (one for one, two for one) between underfull bins until none raises squared fill.
 
     The emptiest kind of bin gives to the fullest underfull ones, all equal pairs at once; a kind

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sieved, table, written
 from .components import components
 
 SEED = 42
@@ -92,6 +92,17 @@ def simhash_dedup(
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def simhash_filter(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
+
+    All columns are kept. Rows with a null id stay only in a component without other ids.
+    """
+    found = simhash_dedup(docs, "doc_id", "text", width, max_bits)
+    drop = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "drop")
+    maybe, rest = sieved(docs.withColumn("__id", F.col("doc_id").cast("long")), drop, "__id")
+    return rest.unionByName(maybe.join(drop.withColumnRenamed("__id", "__drop"), F.col("__id").eqNullSafe(F.col("__drop")), "left_anti")).drop("__id")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 

@@ -24,10 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sieved, table, written
 
 BLOCK = 16
-MARKS = 1 << 22  # bits of the filter of texts that take part; a fixed size
 GRAM = 64
 CHUNK = 1 << 19
 
@@ -238,18 +237,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         .groupBy("k1", "k2").agg(F.collect_set("x").alias("anchors"))
     )
     part = written(part, "part")
-    # texts that take part; the filter has MARKS bits whatever the input, and lets all of them pass
-    bit = F.pmod(F.xxhash64("k1", "k2"), F.lit(MARKS))
-    marks = part.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
-    )
-    sieved = (
-        base.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6))
-        .join(F.broadcast(marks), "word")  # MARKS / 64 rows at most
-        .where(F.expr("getbit(bits, cast(bit % 64 as int)) = 1"))
-        .select("doc_id", "k1", "k2", "text")
-    )
-    texts = written(sieved.join(part, ["k1", "k2"]), "texts")
+    texts = written(sieved(base, part, "k1", "k2")[0].join(part, ["k1", "k2"]), "texts")
     # rounds 2 and 3: what repeats only in part. A row given twice repeats whole: it is here only to be met, and may come twice
     looked = written(_contexts(texts, length), "contexts")
     block = written(
@@ -306,8 +294,10 @@ def suffix_dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     new = written(new.dropDuplicates(["__k1", "__k2"]), "cut")
     names = docs.columns
     keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = keyed.join(new, ["__k1", "__k2"], "left")
-    return out.select(*[F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names])
+    maybe, still = sieved(keyed, new, "__k1", "__k2")
+    out = maybe.join(new, ["__k1", "__k2"], "left")
+    out = out.select(*[F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names])
+    return still.select(*names).unionByName(out)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
