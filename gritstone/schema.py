@@ -1,14 +1,12 @@
-"""Declared schemas of the engine's records. Nothing is inferred."""
+"""Declared schemas of the engine's records, as DDL. Nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 _USER = "struct<login: string, type: string>"
 
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 RAW_ISSUE = _ddl(

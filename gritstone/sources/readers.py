@@ -9,13 +9,17 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
-def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType, strict: bool = False) -> DataFrame:
+def _struct(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """S-1, S-2, S-7, S-8: one JSON object a line; blank lines are skipped.
 
     Malformed lines are kept with their text in ``_corrupt_record``; ``strict`` fails on the first.
     Adds ``_file`` and ``_line_order``, an order within and across files, as file order breaks ties.
     """
-    reader = spark.read.schema(T.StructType([*schema.fields, *([] if strict else [T.StructField(CORRUPT, T.StringType())])]))
+    reader = spark.read.schema(T.StructType([*_struct(schema).fields, *([] if strict else [T.StructField(CORRUPT, T.StringType())])]))
     reader = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     df = reader.json(paths)
     return df.select("*", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start")).alias("_block")).withColumn(
@@ -31,19 +35,19 @@ def split_malformed(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return good, rejects
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, limit: int | None = None) -> DataFrame:
     """S-3, S-27: headed CSV with quoted line breaks."""
     df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return df.limit(limit) if limit is not None else df
 
 
-def pr_lookup(prs: DataFrame, raw_schema: T.StructType) -> DataFrame:
+def pr_lookup(prs: DataFrame, raw_schema: T.StructType | str | str) -> DataFrame:
     """S-4: changes by linked issue, with their raw JSON read; unreadable JSON is an empty object."""
     parsed = F.coalesce(F.from_json(F.when(F.col("RAW_JSON").isin("nan", "NaN"), None).otherwise(F.col("RAW_JSON")), raw_schema), F.from_json(F.lit("{}"), raw_schema))
     return prs.where("LINKED_ISSUE_NUMBER is not null").select("*", parsed.alias("parsed"))
 
 
-def read_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """S-5, S-6: by the path's ending; anything else is an error."""
     ending = path.rsplit(".", 1)[-1].lower()
     if ending == "csv":
@@ -57,13 +61,13 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     raise ValueError(f"unsupported input format: .{ending}")
 
 
-def read_column_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_column_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """S-6: a column-oriented object {column: {row: value}}; rows are joined on their index."""
     text = spark.read.text(path, wholetext=True)
     cols = text.select(F.from_json("value", "map<string, map<string, string>>").alias("m")).select(F.explode("m").alias("name", "cells"))
     cells = cols.select("name", F.explode("cells").alias("index", "value"))
-    wide = cells.groupBy("index").pivot("name", [f.name for f in schema.fields]).agg(F.first("value"))
-    return wide.select("index", *[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    wide = cells.groupBy("index").pivot("name", [f.name for f in _struct(schema).fields]).agg(F.first("value"))
+    return wide.select("index", *[F.col(f.name).cast(f.dataType) for f in _struct(schema).fields])
 
 
 def read_symbol_index(spark: SparkSession, path: str, normalise=lambda c: c) -> DataFrame:
