@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -113,12 +114,12 @@ def apply_patch(base: str | None, patch: str | None) -> str | None:
     return "\n".join(out) + ("\n" if ended and out else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def apply_patch_udf(base: pd.Series, patch: pd.Series) -> pd.Series:
     return pd.Series([apply_patch(a, b) for a, b in zip(base, patch)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def compiles_udf(code: pd.Series) -> pd.Series:
     """F-25: the text parses as Python."""
 

@@ -6,6 +6,7 @@ import ast
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Definitions by file ending: (class pattern, function pattern).
 TEXTUAL = {
@@ -29,7 +30,7 @@ def python_symbols(code: str | None) -> list[tuple[str, str, int, int]]:
     return sorted(found, key=lambda x: (x[2], -x[3]))
 
 
-@F.udtf(returnType="kind: string, name: string, lo: int, hi: int")
+@F.udtf(returnType=T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 class PythonSymbols:
     """X-5: rows of ``python_symbols``."""
 
@@ -37,7 +38,7 @@ class PythonSymbols:
         yield from python_symbols(code)
 
 
-@F.udtf(returnType="module: string, candidate: string")
+@F.udtf(returnType=T.StructType([T.StructField("module", T.StringType()), T.StructField("candidate", T.StringType())]))
 class ImportTargets:
     """F-28: repository files an absolute import may mean, under each prefix."""
 
