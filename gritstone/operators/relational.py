@@ -99,6 +99,7 @@ def merge_intervals(df: DataFrame, by: list[str], lo: str, hi: str, adjacent: in
     w = Window.partitionBy(*by).orderBy(lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col(lo) <= F.col("__before") + adjacent, 0).otherwise(1)).over(w)
+    df = df.select(*by, lo, hi).distinct()  # so that no two rows tie in the order
     return df.withColumn("__before", before).withColumn("__island", island).groupBy(*by, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
 
 
