@@ -71,7 +71,7 @@ def hamming_links(fps: DataFrame, max_bits: int = 3, segments: int = 2) -> DataF
         "a", "p.seg", F.explode(F.transform(masks, lambda m: F.col("p.key").bitwiseXOR(m))).alias("key")
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return probe.join(index, ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    return probe.join(index.hint("merge"), ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def simhash_dedup(
