@@ -78,7 +78,7 @@ def clean_pr_body(text: Column, drop: tuple[str, ...] = TEMPLATE_LINES) -> Colum
     t = F.coalesce(text, F.lit(""))
     for p in (r"(?s)<!--.*?-->", r"!\[[^\]]*\]\([^)]+\)", r"https?://\S+"):
         t = F.regexp_replace(t, p, " ")
-    lines = F.transform(F.split(t, r"\r\n|[\n\r]"), F.trim)
+    lines = F.transform(F.split(t, r"\r\n|[\n\r]"), lambda x: F.trim(x))
 
     def keep(x: Column) -> Column:
         low = F.lower(x)
@@ -158,7 +158,7 @@ def parse_labels(text: Column) -> Column:
     plain = F.from_json(text, "array<string>")
     named = F.transform(F.from_json(text, "array<struct<name: string>>"), lambda x: x["name"])
     is_list, is_named = F.trim(text).startswith("["), text.rlike(r"^\s*\[\s*\{")
-    comma = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    comma = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.when(is_named, named).when(is_list, plain).otherwise(comma), F.array().cast("array<string>"))
 
 
@@ -179,7 +179,8 @@ def hash_percent(key: Column) -> Column:
 def teacher_adjustment(raw: Column) -> Column:
     """F-41: the number after ADJUSTMENT:, within 0.3 either way; 0 where there is none."""
     x = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?i)ADJUSTMENT:\s*([+-]?\d*\.?\d+)", 1)
-    return F.coalesce(F.greatest(F.lit(-0.3), F.least(F.lit(0.3), x.try_cast("double"))), F.lit(0.0))
+    n = x.try_cast("double")
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(-0.3), F.least(F.lit(0.3), n)))  # least and greatest skip nulls
 
 
 def teacher_reason(raw: Column) -> Column:

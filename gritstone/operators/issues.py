@@ -239,7 +239,7 @@ def scorer_signals() -> dict[str, Column]:
     body = F.coalesce(F.col("issue.body"), F.lit(""))
     on = lambda c, w: F.when(c, w).otherwise(0.0)
     fired = {
-        "resolution_days": F.coalesce(F.bround(F.least(F.col("days_open") / SCORER_P90_DAYS, F.lit(1.0)) * 0.4, 4), F.lit(0.0)),
+        "resolution_days": F.when(F.col("days_open").isNull(), 0.0).otherwise(F.bround(F.least(F.col("days_open") / SCORER_P90_DAYS, F.lit(1.0)) * 0.4, 4)),
         "first_review": on(_any_pr(lambda p: whole_days(parse_ts(p.pr.created_at), first_review(p)) > 7), 0.15),
         "review_cycles": on(_any_pr(lambda p: F.size(F.coalesce(p.reviews, F.array())) > 3), 0.10),
         "closed_unmerged": on(_any_pr(lambda p: (F.lower(p.pr.state) == "closed") & p.pr.merged_at.isNull()), 0.15),
