@@ -151,7 +151,11 @@ def _contexts(part: DataFrame, length: int) -> DataFrame:
 
 
 def _blocks(looked: DataFrame, length: int) -> DataFrame:
-    """Ranks of the blocks of starts of each anchor: block q holds distances q*BLOCK .. q*BLOCK+BLOCK-1."""
+    """Ranks of the blocks of starts of each anchor: block q holds distances q*BLOCK .. q*BLOCK+BLOCK-1.
+
+    h ranks all bytes of the block's strings: if it repeats, all starts do. c ranks the bytes that all
+    strings of such a block have in common, whichever of its starts the anchor owns: unless it repeats, none does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,12 +164,14 @@ def _blocks(looked: DataFrame, length: int) -> DataFrame:
                 for q in range((a - p2) // BLOCK, (a - p1) // BLOCK + 1):
                     lo, hi = max(p1, a - q * BLOCK - BLOCK + 1), min(p2, a - q * BLOCK)
                     h = xxhash.xxh3_64_intdigest(raw[lo - p1 : hi - p1 + length], (a - lo) * 65_536 + a - hi)
-                    out.append((g, q, h - (1 << 64) if h >> 63 else h, k1, k2, a, lo, hi, one))
-            cols = list(zip(*out)) or [[]] * 9
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "q", "h", "k1", "k2", "a", "lo", "hi", "one"])
+                    last = a - q * BLOCK - p1
+                    c = xxhash.xxh3_64_intdigest(raw[last : last - BLOCK + 1 + length])
+                    out.append((g, q, c - (1 << 64) if c >> 63 else c, h - (1 << 64) if h >> 63 else h, k1, k2, a, lo, hi, one))
+            cols = list(zip(*out)) or [[]] * 10
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "q", "c", "h", "k1", "k2", "a", "lo", "hi", "one"])
 
-    return looked.mapInArrow(run, "g long, q int, h long, k1 long, k2 long, a int, lo int, hi int, one boolean")
+    return looked.mapInArrow(run, "g long, q int, c long, h long, k1 long, k2 long, a int, lo int, hi int, one boolean")
 
 
 def _starts(looked: DataFrame, length: int) -> DataFrame:
@@ -241,16 +247,16 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     # rounds 2 and 3: what repeats only in part. A row given twice repeats whole: it is here only to be met, and may come twice
     looked = written(_contexts(texts, length), "contexts")
     block = written(
-        _blocks(looked, length).groupBy("g", "q", "h").agg(
+        _blocks(looked, length).groupBy("g", "q", "c", "h").agg(
             F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "lo", "hi", "one")).alias("o")
         ),
         "blocks",
     )
     alone = (F.col("n") == 1) & F.col("o.one")
-    per = block.groupBy("g", "q").agg(F.count("*").alias("classes"), F.max(alone.cast("int")).alias("open"))
-    unique = block.where(alone).join(per.where("classes = 1"), ["g", "q"], "left_semi").select("o.k1", "o.k2", "o.lo", "o.hi")
+    per = block.groupBy("g", "q", "c").agg(F.count("*").alias("classes"), F.max(alone.cast("int")).alias("open"))
+    unique = block.where(alone).join(per.where("classes = 1"), ["g", "q", "c"], "left_semi").select("o.k1", "o.k2", "o.lo", "o.hi")
     again = (
-        block.join(per.where("classes > 1 and open = 1"), ["g", "q"], "left_semi")
+        block.join(per.where("classes > 1 and open = 1"), ["g", "q", "c"], "left_semi")
         .select("o.k1", "o.k2", "o.a", F.struct("o.lo", "o.hi", alone.alias("one")).alias("x"))
         .groupBy("k1", "k2", "a").agg(F.collect_list("x").alias("of"))
     )
