@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from .common import sieved, table, written
 
 COUNTERS = 1 << 18  # of the rarity sketch; a fixed size
 MARKS = 1 << 22  # bits of a filter; a fixed size
+TOKENS = 1 << 26  # bits of the filter of shared tokens; a fixed size
 AT_ONCE = 1 << 21  # characters of text handled together
 REMEMBER = 500_000  # tokens, or line sets, a task remembers
 
@@ -35,27 +37,38 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
 class Lines:
     """The token sets of a batch of texts' lines, flat: hashes by line, in order of rarity."""
 
-    def __init__(self, texts: list[str | None], tokens: _Tokens, least: int, level: np.ndarray | None):
-        sets, doc, line = [], [], []
+    def __init__(self, texts: list[str | None], tokens: _Tokens, least: int, level: np.ndarray | None, wanted: np.ndarray | None = None):
+        """``wanted``: only lines whose raw bytes' hash passes this filter."""
+        sets, doc, line, raw = [], [], [], []
         for i, t in enumerate(texts):
             for j, x in enumerate((t or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                r = xxhash.xxh3_64_intdigest(x)
+                if wanted is not None and not wanted[r & (MARKS - 1)]:
+                    continue
                 words = set(x.split())
                 if len(words) >= least:
                     sets.append(words)
                     doc.append(i)
                     line.append(j)
-        self.doc, self.line = np.array(doc, dtype=np.int64), np.array(line, dtype=np.int32)
+                    raw.append(r)
+        self.doc, self.line, self.raw = np.array(doc, dtype=np.int64), np.array(line, dtype=np.int32), np.array(raw, dtype=np.uint64)
         self.n = np.fromiter(map(len, sets), np.int64, len(sets))
-        h = np.fromiter((tokens[w] for s in sets for w in s), np.uint64, int(self.n.sum()))
+        h = np.fromiter(map(tokens.__getitem__, chain.from_iterable(sets)), np.uint64, int(self.n.sum()))
         self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(sets) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(sets)), self.n)
         if level is not None:
-            h = h[np.lexsort((h, level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], of))]
+            rarity = level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+            h = h[np.lexsort(((rarity << np.uint64(56)) | (h >> np.uint64(8)), of))]
         self.h = h
         self.pos = np.arange(len(h)) - np.repeat(self.start, self.n)
         zero = np.zeros(0, np.uint64)
         self.s1 = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), self.start) if len(sets) else zero
-        self.s2 = np.add.reduceat(_mix(h, 0xC2B2AE3D27D4EB4F), self.start) if len(sets) else zero
+        # parity of the tokens that fall on each of 128 bits: sets differ in as many tokens as their parities in bits, or more
+        place = _mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        high = place >> np.uint64(6) == 1
+        self.s2 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.start) if len(sets) else zero
+        self.s3 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.start) if len(sets) else zero
 
 
 def _parts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -76,7 +89,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__k2": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def _rarity(base: DataFrame, least: int) -> np.ndarray:
+def _rarity(base: DataFrame) -> np.ndarray:
     """How common each token is, as a level from a sketch of COUNTERS counts over all lines.
 
     The order of tokens must only be the same everywhere for the join to be exact; the sketch,
@@ -87,7 +100,8 @@ def _rarity(base: DataFrame, least: int) -> np.ndarray:
         total, tokens = np.zeros(COUNTERS, np.int64), _Tokens()
         for b in batches:
             for _, _, texts in _parts(b, 0):
-                h = Lines(texts, tokens, least, None).h
+                words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+                h = np.fromiter(map(tokens.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
                 total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 65_536):
@@ -135,39 +149,70 @@ def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.h[take].view(np.int64)))
                 k1, k2 = (b.column(i).to_numpy()[a:z][x.doc] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.n.astype(np.int32)), lists],
-                    names=["k1", "k2", "line", "s1", "s2", "n", "prefix"],
+                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.s3.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
+                    names=["k1", "k2", "line", "s1", "s2", "s3", "n", "raw", "prefix"],
                 )
 
     return base.select("__k1", "__k2", "text").mapInArrow(
-        run, "k1 long, k2 long, line int, s1 long, s2 long, n int, prefix array<long>"
+        run, "k1 long, k2 long, line int, s1 long, s2 long, s3 long, n int, raw long, prefix array<long>"
     )
 
 
-def _candidates(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of signatures (x1, x2, y1, y2) that pass the prefix, length and positional filters."""
+def _shared(first: DataFrame) -> np.ndarray:
+    """A filter of TOKENS bits: tokens not in it are surely in one prefix only, so they match nothing."""
+    slot = first.select(F.explode("prefix").alias("t")).select(F.col("t").bitwiseAND(F.lit(TOKENS - 1)).cast("int").alias("k"))
+    twice = slot.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    words = twice.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, k % 64)")).alias("v")).toArrow()  # TOKENS / 64 rows at most
+    out = np.zeros(TOKENS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return out
+
+
+def _probes(first: DataFrame) -> DataFrame:
+    """(token, s1, s2, s3, n, pos) of the prefix tokens that more than one set may have."""
+    shared = _shared(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(4)
+            t = lists.flatten().to_numpy(zero_copy_only=False)
+            size = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), size)
+            pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+            k = t & (TOKENS - 1)
+            keep = (shared[k >> 6] >> (k & 63)) & 1 == 1
+            cols = [pa.array(t[keep]), *(pa.array(b.column(i).to_numpy()[of[keep]]) for i in range(4)), pa.array(pos[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["token", "s1", "s2", "s3", "n", "pos"])
+
+    return first.select("s1", "s2", "s3", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, s3 long, n int, pos int")
+
+
+def _candidates(first: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of signatures (x1, x2, y1, y2) that pass the prefix, length, positional and parity filters."""
     p, q = threshold.numerator, threshold.denominator
-    rows = sets.select("s1", "s2", "n", F.posexplode("prefix").alias("pos", "token")).dropDuplicates(["token", "s1", "s2"])
-    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("s1", "s2", "n", "pos")])
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("s1", "s2", "n", "pos")])
+    rows = written(_probes(first), "probes")
+    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("s1", "s2", "s3", "n", "pos")])
+    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("s1", "s2", "s3", "n", "pos")])
     rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
     ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.struct("x_s1", "x_s2") < F.struct("y_s1", "y_s2")))
     fits = (F.col("x_n") * q >= F.col("y_n") * p) & (rest * (p + q) >= (F.col("x_n") + F.col("y_n")) * p)
+    apart = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("s2", "s3"))  # at most how many tokens differ
+    fits = fits & (apart * (p + q) <= (F.col("x_n") + F.col("y_n")) * (q - p))
     return x.join(y.hint("merge"), "token").where(ordered & fits).select("x_s1", "x_s2", "y_s1", "y_s2").distinct()
 
 
 def _members(base: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
-    """(s1, s2, tokens) of the lines whose signature the filter lets pass; a task gives each once."""
+    """(s1, s2, tokens) of the lines whose raw hash the filter lets pass; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = _Tokens(), set()
         for b in batches:
             for _, _, texts in _parts(b, 0):
-                x = Lines(texts, tokens, least, None)
+                x = Lines(texts, tokens, least, None, wanted)
                 keep = []
                 if len(seen) > REMEMBER:
                     seen.clear()
-                for i in np.flatnonzero(wanted[(x.s1 & np.uint64(MARKS - 1)).astype(np.int64)]).tolist():
+                for i in range(len(x.n)):
                     s = (x.s1[i], x.s2[i])
                     if s not in seen:
                         seen.add(s)
@@ -187,17 +232,24 @@ def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least:
         raise ValueError("threshold must be above 0 and at most 1")
     base = _keyed(docs)
     p, q = threshold.numerator, threshold.denominator
-    sets = written(_sets(base, least, threshold, _rarity(base, least)), "sets")
-    pairs = written(_candidates(sets, threshold), "pairs")
-    ends = pairs.select(F.col("x_s1").alias("s1")).unionByName(pairs.select(F.col("y_s1").alias("s1")))
-    members = written(_members(base, _marked(ends, F.col("s1")), least), "members")
+    sets = written(_sets(base, least, threshold, _rarity(base)), "sets")
+    place = F.struct("k1", "line", "k2")
+    # of equal sets one stands for all: its earliest place, and the raw line there
+    first = written(
+        sets.groupBy("s1", "s2").agg(
+            F.min(F.struct("k1", "line", "k2", "raw")).alias("f"), F.max("s3").alias("s3"), F.max("n").alias("n"), F.max_by("prefix", F.size("prefix")).alias("prefix")
+        ).select("s1", "s2", F.struct("f.k1", "f.line", "f.k2").alias("first"), "f.raw", "s3", "n", "prefix"),
+        "first",
+    )
+    pairs = written(_candidates(first, threshold), "pairs")
+    ends = pairs.select(F.col("x_s1").alias("s1"), F.col("x_s2").alias("s2")).unionByName(pairs.select(F.col("y_s1").alias("s1"), F.col("y_s2").alias("s2"))).distinct()
+    raw = first.select("s1", "s2", "raw").join(ends, ["s1", "s2"], "left_semi")
+    members = written(_members(base, _marked(raw, F.col("raw")), least), "members")
     x = members.select(F.col("s1").alias("x_s1"), F.col("s2").alias("x_s2"), F.col("tokens").alias("x"))
     y = members.select(F.col("s1").alias("y_s1"), F.col("s2").alias("y_s2"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     links = pairs.join(x, ["x_s1", "x_s2"]).join(y, ["y_s1", "y_s2"]).where(both * (p + q) >= (F.size("x") + F.size("y")) * p)
     links = written(links.select("x_s1", "x_s2", "y_s1", "y_s2"), "links")
-    place = F.struct("k1", "line", "k2")
-    first = written(sets.groupBy("s1", "s2").agg(F.min(place).alias("first")), "first")
     sides = links.select(*[F.col(f"x_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"y_s{i}").alias(f"o{i}") for i in (1, 2)]).unionByName(
         links.select(*[F.col(f"y_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"x_s{i}").alias(f"o{i}") for i in (1, 2)])
     )
