@@ -436,13 +436,13 @@ a as (select qid, avg(score) filter (rank <= 3 or r2 <= 3) as m3 from (select *,
 w as (select qid, list_sort(list(w), 'DESC') as ws, sum(w) as tot from g group by qid),
 x as (select w.qid, least(greatest(m3, 0), 1) as m3, least(greatest((ws[1] - coalesce(ws[2], 0)) / greatest(ws[1], 1e-9), 0), 1) as margin,
   least(greatest(list_sum([-(v / tot) * ln(v / tot + 1e-12) for v in ws if v > 0]) / greatest(ln(greatest(len([v for v in ws if v > 0]), 1)), 1e-9), 0), 1) as ent, len(ws) as c from w join a using (qid))
-select qid, round(m3, 1) as sim_top3_mean, round(margin, 1) as margin_norm, round(ent, 1) as entropy_norm, c as candidate_count from x""")
+select qid, round(m3, 3) as sim_top3_mean, round(margin, 3) as margin_norm, round(ent, 3) as entropy_norm, c as candidate_count from x""")
 def retrieval_confidence(spark, d):
     """A-25: confidence of each query's neighbours."""
     top = _topk(spark, d).where("qid <> vid").join(_t(spark, d, "embeddings", "vec_id", "label").withColumnRenamed("vec_id", "vid"), "vid")
     w = top.groupBy("qid", "label").agg(F.sum("score").alias("w")).groupBy("qid").agg(F.collect_list("w").alias("ws"))
     s = top.groupBy("qid").agg(F.collect_list("score").alias("ss")).join(w, "qid").select("qid", G.retrieval_confidence(F.col("ss"), F.col("ws")).alias("c"))
-    return s.select("qid", F.round("c.sim_top3_mean", 1).alias("sim_top3_mean"), F.round("c.margin_norm", 1).alias("margin_norm"), F.round("c.entropy_norm", 1).alias("entropy_norm"), F.col("c.candidate_count").alias("candidate_count"))
+    return s.select("qid", F.col("c.sim_top3_mean").alias("sim_top3_mean"), F.col("c.margin_norm").alias("margin_norm"), F.col("c.entropy_norm").alias("entropy_norm"), F.col("c.candidate_count").alias("candidate_count"))
 
 
 @query("""

@@ -95,7 +95,11 @@ SOURCE_ENDINGS = ("py", "ts", "tsx", "js", "jsx", "go", "java", "sh", "rb", "rs"
 
 
 def scan_sources(spark: SparkSession, root: str, endings: tuple[str, ...] = SOURCE_ENDINGS, skip: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
-    """S-19: (path, text) of source files below ``root``; __init__.py only where it defines something."""
+    """S-19: (path, text) of source files below ``root``; an init file only where it defines something.
+
+    Spark's scans skip names that begin with ``_`` or ``.``: a checkout's ``__init__.py`` files are
+    seen only if they were landed under another name, such as ``init__.py``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.regexp_replace("path", "^.*?" + "/".join(map(_quoted, root.rstrip("/").split("/")[-1:])) + "/", "")
     parts = F.split(inside, "/")
@@ -103,7 +107,7 @@ def scan_sources(spark: SparkSession, root: str, endings: tuple[str, ...] = SOUR
     skipped = F.exists(dirs, lambda d: d.isin(*skip) | d.endswith(".egg-info"))
     good = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*endings)
     rows = files.where(good).select(inside.alias("path"), F.decode("content", "UTF-8").alias("text"), skipped.alias("s")).where("not s").drop("s")
-    return rows.where(~F.col("path").rlike(r"(^|/)__init__\.py$") | F.col("text").rlike(r"(?m)^\s*(class|def|async def)\s"))
+    return rows.where(~F.col("path").rlike(r"(^|/)_*init__\.py$") | F.col("text").rlike(r"(?m)^\s*(class|def|async def)\s"))
 
 
 def _quoted(s: str) -> str:
