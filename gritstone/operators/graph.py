@@ -46,16 +46,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+def _bounded(queries: DataFrame, most: int) -> DataFrame:
+    """A stated query set; more than ``most`` is an error, never a cut."""
+    n = queries.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} queries; run them in blocks")
+    return queries
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", vec: str = "embedding", most: int = 10_000) -> DataFrame:
     """V-1: the ``k`` nearest by cosine of each query, self included; ties by id.
 
     A stated query set against all rows: at most ``most`` queries are broadcast (more is an error),
     and each task keeps its own ``k`` best of a query before anything moves.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries; run them in blocks")
-    q = queries.select(F.col(qid).alias("qid"), F.col(vec).alias("__q"))
+    q = _bounded(queries, most).select(F.col(qid).alias("qid"), F.col(vec).alias("__q"))
     pairs = vectors.select(F.col(vid).alias("vid"), F.col(vec).alias("__v")).join(F.broadcast(q))
     scored = pairs.select("qid", "vid", F.round(cosine(F.col("__q"), F.col("__v")), 6).alias("score")).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))
@@ -150,7 +155,7 @@ def keyword_rank(index: DataFrame, words: DataFrame, k: int = 40, noisy: str | N
     """
     i = index.where(~F.col("path").rlike(noisy)) if noisy else index
     symbols = F.transform(F.concat(F.coalesce("classes", F.array().cast("array<string>")), F.coalesce("functions", F.array().cast("array<string>"))), F.lower)
-    low = i.select("path", F.lower("path").alias("__p"), symbols.alias("__s")).join(F.broadcast(words.select("qid", "words").limit(10_000)))
+    low = i.select("path", F.lower("path").alias("__p"), symbols.alias("__s")).join(F.broadcast(_bounded(words.select("qid", "words"), 10_000)))
     hits = F.aggregate("words", F.lit(0), lambda a, w: a + F.when(F.contains(F.col("__p"), w), 2).otherwise(0) + F.size(F.filter("__s", lambda s: F.contains(s, w))))
     scored = low.select("qid", "path", hits.alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))).where(F.col("rank") <= k)

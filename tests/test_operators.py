@@ -230,3 +230,18 @@ def test_feedback(spark):
     rows = FB.preference_rows(ev, lab.withColumns({"id": F.col("feedback_id"), "labeled_at": F.col("feedback_id")}))
     assert [(r.prompt, r.chosen) for r in rows.collect()] == [("p", "a good answer")]
     assert FB.run_record(rows, "x", "2024-01-01", "2024-01-07", "ok").first().row_count == 1
+
+
+def test_keyword_rank_and_tests(spark):
+    idx = spark.createDataFrame([("core/dag.py", ["DagBag"], ["parse_dag"]), ("core/x.py", [], ["other"]), ("tests/test_dag.py", None, None)], "path string, classes array<string>, functions array<string>")
+    words = spark.createDataFrame([(1, ["dag", "bag"])], "qid int, words array<string>")
+    assert [(r.path, r.score) for r in G.keyword_rank(idx, words, noisy="^tests/").collect()] == [("core/dag.py", 2 + 1 + 1 + 1)]
+    with pytest.raises(ValueError):
+        G._bounded(words, 0)
+    near = G.nearest_tests(idx.where("path = 'core/dag.py'"), spark.createDataFrame([("tests/test_dag.py",), ("core/test_z.py",), ("tests/q.py",)], "path string")).collect()
+    assert [(r.path, r.score) for r in sorted(near, key=lambda r: r["rank"])] == [("core/test_z.py", 3), ("tests/test_dag.py", 2)]
+    s = "array<struct<lo: int, hi: int, name: string>>"
+    df = spark.createDataFrame([([(i * 10, i * 10 + 5, str(i)) for i in range(9)], [(41, 42)])], f"s {s}, r array<struct<lo: int, hi: int>>")
+    assert [x.name for x in df.select(G.context_symbols(F.col("s"), F.col("r"))).first()[0]] == ["4", "0", "1", "2", "3", "5"]
+    al = G.first_alias_in_index(spark.createDataFrame([(1, ["a", "core/x.py", "core/dag.py"])], "id int, aliases array<string>"), idx)
+    assert al.first().path == "core/x.py"
