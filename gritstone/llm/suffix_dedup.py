@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sieved, table, written
+from .common import delete, sieved, table, written
 
 BLOCK = 16
 GRAM = 64
@@ -243,6 +243,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         .groupBy("k1", "k2").agg(F.collect_set("x").alias("anchors"))
     )
     part = written(part, "part")
+    delete(kinds)  # what follows reads part
     texts = written(sieved(base, part, "k1", "k2")[0].join(part, ["k1", "k2"]), "texts")
     # rounds 2 and 3: what repeats only in part. A row given twice repeats whole: it is here only to be met, and may come twice
     looked = written(_contexts(texts, length), "contexts")
