@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sieved, table, written
+from .common import delete, n_tasks, sieved, table, written
 
 COUNTERS = 1 << 18  # of the rarity sketch; a fixed size
 MARKS = 1 << 22  # bits of a filter; a fixed size
@@ -55,20 +55,20 @@ class Lines:
         self.n = np.fromiter(map(len, sets), np.int64, len(sets))
         h = np.fromiter(map(tokens.__getitem__, chain.from_iterable(sets)), np.uint64, int(self.n.sum()))
         self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(sets) else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(sets)), self.n)
-        if level is not None:
-            rarity = level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-            h = h[np.lexsort(((rarity << np.uint64(56)) | (h >> np.uint64(8)), of))]
+        if level is not None:  # tokens as (rarity, hash), 44 bits; equal tokens have equal ones, and an order they all share
+            of = np.repeat(np.arange(len(sets), dtype=np.uint64), self.n)
+            key = (level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
+            if len(sets) < 1 << 20:
+                self.key = np.sort((of << np.uint64(44)) | key) & np.uint64((1 << 44) - 1)
+            else:
+                self.key = key[np.lexsort((key, of))]
         self.h = h
         self.pos = np.arange(len(h)) - np.repeat(self.start, self.n)
         zero = np.zeros(0, np.uint64)
         self.s1 = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), self.start) if len(sets) else zero
-        # parity of the tokens that fall on each of 128 bits: sets differ in as many tokens as their parities in bits, or more
-        place = _mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(57)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        high = place >> np.uint64(6) == 1
-        self.s2 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.start) if len(sets) else zero
-        self.s3 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.start) if len(sets) else zero
+        # parity of the tokens that fall on each of 64 bits: sets differ in as many tokens as their parities in bits, or more
+        bit = np.uint64(1) << (_mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(58))
+        self.s2 = np.bitwise_xor.reduceat(bit, self.start) if len(sets) else zero
 
 
 def _parts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -146,21 +146,22 @@ def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -
                         new[i] = True
                 prefix = np.where(new, x.n - (-(-x.n * p // q)) + 1, 0)
                 take = x.pos < np.repeat(prefix, x.n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.h[take].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.key[take].view(np.int64)))
                 k1, k2 = (b.column(i).to_numpy()[a:z][x.doc] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.s3.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
-                    names=["k1", "k2", "line", "s1", "s2", "s3", "n", "raw", "prefix"],
+                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
+                    names=["k1", "k2", "line", "s1", "s2", "n", "raw", "prefix"],
                 )
 
     return base.select("__k1", "__k2", "text").mapInArrow(
-        run, "k1 long, k2 long, line int, s1 long, s2 long, s3 long, n int, raw long, prefix array<long>"
+        run, "k1 long, k2 long, line int, s1 long, s2 long, n int, raw long, prefix array<long>"
     )
 
 
-def _shared(first: DataFrame) -> np.ndarray:
+def _shared(sets: DataFrame) -> np.ndarray:
     """A filter of TOKENS bits: tokens not in it are surely in one prefix only, so they match nothing."""
-    slot = first.select(F.explode("prefix").alias("t")).select(F.col("t").bitwiseAND(F.lit(TOKENS - 1)).cast("int").alias("k"))
+    mixed = F.xxhash64("t").bitwiseAND(F.lit(TOKENS - 1)).cast("int")
+    slot = sets.select(F.explode("prefix").alias("t")).select(mixed.alias("k"))
     twice = slot.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     words = twice.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, k % 64)")).alias("v")).toArrow()  # TOKENS / 64 rows at most
     out = np.zeros(TOKENS // 64, np.int64)
@@ -168,35 +169,48 @@ def _shared(first: DataFrame) -> np.ndarray:
     return out
 
 
-def _probes(first: DataFrame) -> DataFrame:
-    """(token, s1, s2, s3, n, pos) of the prefix tokens that more than one set may have."""
-    shared = _shared(first)
+def _probes(sets: DataFrame) -> DataFrame:
+    """(token, s1, s2, at) of the prefix tokens, ``at`` holding size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(4)
+            lists = b.column(3)
             t = lists.flatten().to_numpy(zero_copy_only=False)
             size = np.diff(lists.offsets.to_numpy())
             of = np.repeat(np.arange(b.num_rows), size)
             pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            k = t & (TOKENS - 1)
-            keep = (shared[k >> 6] >> (k & 63)) & 1 == 1
-            cols = [pa.array(t[keep]), *(pa.array(b.column(i).to_numpy()[of[keep]]) for i in range(4)), pa.array(pos[keep].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["token", "s1", "s2", "s3", "n", "pos"])
+            s1, s2, n = (b.column(i).to_numpy()[of] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s1), pa.array(s2), pa.array((n.astype(np.int64) << 32) | pos)], names=["token", "s1", "s2", "at"])
 
-    return first.select("s1", "s2", "s3", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, s3 long, n int, pos int")
+    return sets.where(F.size("prefix") > 0).select("s1", "s2", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, at long")
 
 
-def _candidates(first: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of signatures (x1, x2, y1, y2) that pass the prefix, length, positional and parity filters."""
+def _candidates(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of signatures (x1, x2, y1, y2) that pass the prefix, length, positional and parity filters.
+
+    x is the set with fewer tokens. Its overlap with y is at least 2p/(p+q) of its own size, so a
+    shorter prefix of it is enough to meet y's. Copies of a set from several tasks are made one
+    where its tokens meet.
+    """
     p, q = threshold.numerator, threshold.denominator
-    rows = written(_probes(first), "probes")
-    x = rows.select("token", *[F.col(c).alias(f"x_{c}") for c in ("s1", "s2", "s3", "n", "pos")])
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("s1", "s2", "s3", "n", "pos")])
+    shared = _shared(sets)
+
+    def may_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(4).to_numpy()
+            yield b.filter(pa.array((shared[k >> 6] >> (k & 63)) & 1 == 1)).select(["token", "s1", "s2", "at"])
+
+    slot = F.xxhash64("token").bitwiseAND(F.lit(TOKENS - 1)).alias("k")
+    rows = _probes(sets).select("*", slot).mapInArrow(may_match, "token long, s1 long, s2 long, at long")
+    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
+    short = pos < n - F.ceil(n * F.lit(2 * p) / F.lit(p + q)) + 1
+    tasks = n_tasks(sets.sparkSession)
+    meet = lambda df, v: df.repartition(tasks, "token").dropDuplicates(["token", "s1", "s2"]).select("token", *[F.col(c).alias(f"{v}_{c}") for c in ("s1", "s2")], F.shiftright("at", 32).alias(f"{v}_n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{v}_pos"))
+    x, y = meet(rows.where(short), "x"), meet(rows, "y")
     rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
     ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.struct("x_s1", "x_s2") < F.struct("y_s1", "y_s2")))
     fits = (F.col("x_n") * q >= F.col("y_n") * p) & (rest * (p + q) >= (F.col("x_n") + F.col("y_n")) * p)
-    apart = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("s2", "s3"))  # at most how many tokens differ
+    apart = F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))  # at most how many tokens differ
     fits = fits & (apart * (p + q) <= (F.col("x_n") + F.col("y_n")) * (q - p))
     return x.join(y.hint("merge"), "token").where(ordered & fits).select("x_s1", "x_s2", "y_s1", "y_s2").distinct()
 
@@ -235,13 +249,9 @@ def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least:
     sets = written(_sets(base, least, threshold, _rarity(base)), "sets")
     place = F.struct("k1", "line", "k2")
     # of equal sets one stands for all: its earliest place, and the raw line there
-    first = written(
-        sets.groupBy("s1", "s2").agg(
-            F.min(F.struct("k1", "line", "k2", "raw")).alias("f"), F.max("s3").alias("s3"), F.max("n").alias("n"), F.max_by("prefix", F.size("prefix")).alias("prefix")
-        ).select("s1", "s2", F.struct("f.k1", "f.line", "f.k2").alias("first"), "f.raw", "s3", "n", "prefix"),
-        "first",
-    )
-    pairs = written(_candidates(first, threshold), "pairs")
+    first = sets.groupBy("s1", "s2").agg(F.min(F.struct("k1", "line", "k2", "raw")).alias("f")).select("s1", "s2", F.struct("f.k1", "f.line", "f.k2").alias("first"), "f.raw")
+    first = written(first, "first")
+    pairs = written(_candidates(sets, threshold), "pairs")
     ends = pairs.select(F.col("x_s1").alias("s1"), F.col("x_s2").alias("s2")).unionByName(pairs.select(F.col("y_s1").alias("s1"), F.col("y_s2").alias("s2"))).distinct()
     raw = first.select("s1", "s2", "raw").join(ends, ["s1", "s2"], "left_semi")
     members = written(_members(base, _marked(raw, F.col("raw")), least), "members")
@@ -250,6 +260,8 @@ def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least:
     both = F.size(F.array_intersect("x", "y"))
     links = pairs.join(x, ["x_s1", "x_s2"]).join(y, ["y_s1", "y_s2"]).where(both * (p + q) >= (F.size("x") + F.size("y")) * p)
     links = written(links.select("x_s1", "x_s2", "y_s1", "y_s2"), "links")
+    delete(pairs)
+    delete(members)
     sides = links.select(*[F.col(f"x_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"y_s{i}").alias(f"o{i}") for i in (1, 2)]).unionByName(
         links.select(*[F.col(f"y_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"x_s{i}").alias(f"o{i}") for i in (1, 2)])
     )
