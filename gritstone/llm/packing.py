@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from .bpe import Vocabulary, encode_pieces
 from .common import table, written
 
-CACHE = 400_000  # words a worker remembers
+CACHE = 700_000  # words, and stems, a worker remembers
 Bins = Counter  # pattern (lengths, longest first) -> how many bins are filled so
 
 
@@ -76,6 +76,9 @@ class WordEncoder:
         odd, plain = [], []
         for w in words:
             text = w.decode("utf-8", "surrogatepass")
+            if text.isascii() and text.isalpha():
+                plain.append((w, text.lower(), ""))
+                continue
             m = self.PLAIN.fullmatch(text)
             # up to U+024F lower case keeps the length (but for U+0130) and letters are whole
             if m and m[1].isalpha() and m[2].isascii() and (text.isascii() or max(m[1]) < "\u0250" and "\u0130" not in text):
@@ -110,6 +113,7 @@ class WordEncoder:
                     found.append(text.encode("utf-8", "surrogatepass").split())
             if len(self.ids) > CACHE:
                 self.ids.clear()
+            if len(self.stem_ids) > CACHE:
                 self.stem_ids.clear()
             new = [w for w in set().union(*(f for f in found if isinstance(f, list))) if w not in self.ids]
             self._learn(new)
