@@ -66,9 +66,12 @@ class Lines:
         self.pos = np.arange(len(h)) - np.repeat(self.start, self.n)
         zero = np.zeros(0, np.uint64)
         self.s1 = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), self.start) if len(sets) else zero
-        # parity of the tokens that fall on each of 64 bits: sets differ in as many tokens as their parities in bits, or more
-        bit = np.uint64(1) << (_mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(58))
-        self.s2 = np.bitwise_xor.reduceat(bit, self.start) if len(sets) else zero
+        # parity of the tokens that fall on each of 128 bits: sets differ in as many tokens as their parities in bits, or more
+        place = _mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(57)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        high = place >> np.uint64(6) == 1
+        self.s2 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.start) if len(sets) else zero
+        self.s3 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.start) if len(sets) else zero
 
 
 def _parts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -149,12 +152,12 @@ def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.key[take].view(np.int64)))
                 k1, k2 = (b.column(i).to_numpy()[a:z][x.doc] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
-                    names=["k1", "k2", "line", "s1", "s2", "n", "raw", "prefix"],
+                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.s3.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
+                    names=["k1", "k2", "line", "s1", "s2", "s3", "n", "raw", "prefix"],
                 )
 
     return base.select("__k1", "__k2", "text").mapInArrow(
-        run, "k1 long, k2 long, line int, s1 long, s2 long, n int, raw long, prefix array<long>"
+        run, "k1 long, k2 long, line int, s1 long, s2 long, s3 long, n int, raw long, prefix array<long>"
     )
 
 
@@ -170,19 +173,19 @@ def _shared(sets: DataFrame) -> np.ndarray:
 
 
 def _probes(sets: DataFrame) -> DataFrame:
-    """(token, s1, s2, at) of the prefix tokens, ``at`` holding size and position."""
+    """(token, s1, s2, s3, at) of the prefix tokens, ``at`` holding size and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            lists = b.column(4)
             t = lists.flatten().to_numpy(zero_copy_only=False)
             size = np.diff(lists.offsets.to_numpy())
             of = np.repeat(np.arange(b.num_rows), size)
             pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            s1, s2, n = (b.column(i).to_numpy()[of] for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s1), pa.array(s2), pa.array((n.astype(np.int64) << 32) | pos)], names=["token", "s1", "s2", "at"])
+            s1, s2, s3, n = (b.column(i).to_numpy()[of] for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s1), pa.array(s2), pa.array(s3), pa.array((n.astype(np.int64) << 32) | pos)], names=["token", "s1", "s2", "s3", "at"])
 
-    return sets.where(F.size("prefix") > 0).select("s1", "s2", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, at long")
+    return sets.where(F.size("prefix") > 0).select("s1", "s2", "s3", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, s3 long, at long")
 
 
 def _candidates(sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -197,20 +200,20 @@ def _candidates(sets: DataFrame, threshold: Fraction) -> DataFrame:
 
     def may_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(4).to_numpy()
-            yield b.filter(pa.array((shared[k >> 6] >> (k & 63)) & 1 == 1)).select(["token", "s1", "s2", "at"])
+            k = b.column(5).to_numpy()
+            yield b.filter(pa.array((shared[k >> 6] >> (k & 63)) & 1 == 1)).select(["token", "s1", "s2", "s3", "at"])
 
     slot = F.xxhash64("token").bitwiseAND(F.lit(TOKENS - 1)).alias("k")
-    rows = _probes(sets).select("*", slot).mapInArrow(may_match, "token long, s1 long, s2 long, at long")
+    rows = _probes(sets).select("*", slot).mapInArrow(may_match, "token long, s1 long, s2 long, s3 long, at long")
     n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     short = pos < n - F.ceil(n * F.lit(2 * p) / F.lit(p + q)) + 1
     tasks = n_tasks(sets.sparkSession)
-    meet = lambda df, v: df.repartition(tasks, "token").dropDuplicates(["token", "s1", "s2"]).select("token", *[F.col(c).alias(f"{v}_{c}") for c in ("s1", "s2")], F.shiftright("at", 32).alias(f"{v}_n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{v}_pos"))
+    meet = lambda df, v: df.repartition(tasks, "token").dropDuplicates(["token", "s1", "s2"]).select("token", *[F.col(c).alias(f"{v}_{c}") for c in ("s1", "s2", "s3")], F.shiftright("at", 32).alias(f"{v}_n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{v}_pos"))
     x, y = meet(rows.where(short), "x"), meet(rows, "y")
     rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
     ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.struct("x_s1", "x_s2") < F.struct("y_s1", "y_s2")))
     fits = (F.col("x_n") * q >= F.col("y_n") * p) & (rest * (p + q) >= (F.col("x_n") + F.col("y_n")) * p)
-    apart = F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))  # at most how many tokens differ
+    apart = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("s2", "s3"))  # at most how many tokens differ
     fits = fits & (apart * (p + q) <= (F.col("x_n") + F.col("y_n")) * (q - p))
     return x.join(y.hint("merge"), "token").where(ordered & fits).select("x_s1", "x_s2", "y_s1", "y_s2").distinct()
 
