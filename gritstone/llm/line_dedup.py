@@ -131,7 +131,8 @@ def _marked(df: DataFrame, hashed: Column) -> np.ndarray:
 def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -> DataFrame:
     """Every line's set: key, line number, signature, size, and its prefix tokens in order of rarity.
 
-    A task gives the prefix of a set once (as long as it remembers the set).
+    A task gives the prefix of a set once (as long as it remembers the set). Sets so small that
+    one token more or less falls below the threshold match equal sets only, which need no prefix.
     """
     p, q = threshold.numerator, threshold.denominator
 
@@ -147,7 +148,7 @@ def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -
                     if s not in seen:
                         seen.add(s)
                         new[i] = True
-                prefix = np.where(new, x.n - (-(-x.n * p // q)) + 1, 0)
+                prefix = np.where(new & (x.n * (q - p) >= p), x.n - (-(-x.n * p // q)) + 1, 0)
                 take = x.pos < np.repeat(prefix, x.n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.key[take].view(np.int64)))
                 k1, k2 = (b.column(i).to_numpy()[a:z][x.doc] for i in (0, 1))
@@ -280,7 +281,8 @@ def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int
 
     Lines end at line feeds; tokens are what stands between ASCII white space, each counted once.
     Earlier means a smaller doc_id (null last), then a smaller line number; lines that are removed
-    themselves count as earlier ones too. Lines of fewer than ``least`` different tokens stay.
+    themselves count as earlier ones too. Lines of fewer than ``least`` different tokens stay: with 1,
+    as in the query and the pipeline, only lines without tokens.
     Rows stay, even when all their lines go (the text is then empty, or what short lines are left);
     null texts stay null; rows with one id and text lose the same lines; an empty table gives none.
     ``counts`` adds n_lines and n_removed. Columns named like those used inside (``__k1`` and so on)
@@ -302,7 +304,7 @@ def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1, counts=True)
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

@@ -5,7 +5,8 @@ from fractions import Fraction
 
 import pytest
 
-from gritstone.llm.line_dedup import line_dedup
+import corpus_pipeline
+from gritstone.llm.line_dedup import line_dedup, op5_line_dedup
 
 
 def brute(rows, threshold, least):
@@ -52,3 +53,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
         ("1", rows[0][1], 0), ("1", rows[0][1], 0), ("None", "", 1), ("None", "None", 0),
     ]
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_and_stage_take_short_lines(spark, tmp_path):
+    rows = rows_of(11) + [(i, t) for i, t in enumerate(["p", "p\nq q", "q\n\np q", "q p p", "p q r", "r q p s", "s r q p\nt s r q p", "p s q r"], 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, Fraction(4, 5), 1)
+    assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == want
