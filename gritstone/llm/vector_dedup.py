@@ -15,6 +15,7 @@ from .components import components
 
 LEAF = 1024  # vectors compared all with all at the leaves
 GROUP = 16_384  # vectors a task holds at once
+BLOCK = 4096  # vectors of a block, two of which are compared exactly at once
 
 
 def _unit(lists: pa.Array, dim: int) -> np.ndarray:
@@ -174,6 +175,47 @@ def _recall(links: DataFrame, reps: DataFrame, threshold: float, queries: int) -
     return got[1] / got[0] if got[0] else 1.0
 
 
+def _exact(reps: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n) from comparing all vectors of a label, block against block.
+
+    Rows with a = b add ``n`` rows to the links of a; the others join what is connected within two
+    blocks. So a dense group gives rows in proportion to its size per pair of blocks, not its square.
+    """
+    per = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = reps.join(per, ["label", "dim"]).join(size, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", "dim", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "id", "size", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 4):
+            x = _unit(t.column("v").combine_chunks(), t.column("dim")[0].as_py())
+            ids, sizes, block = (t.column(c).to_numpy() for c in ("id", "size", "block"))
+            near = np.zeros((len(x), len(x)), bool)
+            for a in range(0, len(x), 512):
+                near[a : a + 512] = x[a : a + 512] @ x.T >= threshold
+            if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
+                near &= block[:, None] != block[None, :]
+            near |= near.T
+            np.fill_diagonal(near, False)
+            n = np.array([sizes[r].sum() for r in near], dtype=np.int64)
+            left, of = near.any(axis=1), np.arange(len(x))
+            for i in range(len(x)):
+                if left[i]:
+                    front = np.array([i])
+                    left[i] = False
+                    while len(front):
+                        front = np.flatnonzero(near[front].any(axis=0) & left)
+                        left[front] = False
+                        of[front] = i
+            ties = np.flatnonzero(of != np.arange(len(x)))
+            some = np.flatnonzero(n)
+            a, b = np.concatenate([ids[some], ids[of[ties]]]), np.concatenate([ids[some], ids[ties]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([n[some], np.zeros(len(ties), np.int64)]))], names=["a", "b", "n"])
+
+    keys = ["label", "dim", "lo", "hi"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, n long")
+
+
 def vector_dedup(
     vectors: DataFrame, threshold: float = 0.98, k: int = 6, trees: int = 3, max_rounds: int = 6, recall: float = 0.98,
     queries: int = 400, sample: int = 5_000, id_col: str = "vec_id",
@@ -183,7 +225,9 @@ def vector_dedup(
     Equal vectors of a label are one node. Lists start from ``trees`` trees, then rounds join
     neighbours of neighbours; the threshold links of all rounds are kept. Rounds end once a round
     adds under half a percent of links and the audit (``queries`` vectors against all) finds
-    ``recall``; a failed audit adds a tree. The trees' centres come from ``sample`` vectors at most.
+    ``recall``; a failed audit adds a tree. Where the audit still fails after ``max_rounds``, as in
+    dense groups too large for the lists, all vectors of a label are compared exactly, in blocks;
+    that costs the square of a label. The trees' centres come from ``sample`` vectors at most.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components link
     with nothing; so do vectors of different lengths, and rows without an id. Rows repeated with one
@@ -222,18 +266,27 @@ def vector_dedup(
         links = pairs.where(F.col("sim") >= threshold)
         after = links.count()
         if after - before <= 0.005 * after:
-            if _recall(links, reps, threshold, queries) >= recall:
+            done = _recall(links, reps, threshold, queries) >= recall
+            if done:
                 break
             extra = _tree(reps, trees + n, k, threshold, centres, bits)
             nxt = written(pairs.select(keep).unionByName(extra.select(keep)).dropDuplicates(["u", "w"]), "pairs")
             delete(pairs)
             pairs = nxt
-    links = written(pairs.where(F.col("sim") >= threshold).select("u", "w"), "links")
-    delete(pairs)
+    else:  # what the last round or its tree added counts too
+        done = _recall(pairs.where(F.col("sim") >= threshold), reps, threshold, queries) >= recall
     size = classes.groupBy("id").agg(F.sum("size").alias("size"))
-    sides = links.unionByName(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
-    degree = sides.join(size.withColumnRenamed("id", "w"), "w").groupBy("u").agg(F.sum("size").alias("others")).withColumnRenamed("u", "id")
-    comp = components(links.select(F.col("u").alias("a"), F.col("w").alias("b")))
+    if done:
+        links = written(pairs.where(F.col("sim") >= threshold).select("u", "w"), "links")
+        delete(pairs)
+        sides = links.unionByName(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
+        degree = sides.join(size.withColumnRenamed("id", "w"), "w").groupBy("u").agg(F.sum("size").alias("others")).withColumnRenamed("u", "id")
+        comp = components(links.select(F.col("u").alias("a"), F.col("w").alias("b")))
+    else:
+        delete(pairs)
+        exact = written(_exact(reps, size, threshold), "exact")
+        degree = exact.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+        comp = components(exact.select("a", "b"))
     known = (
         classes.join(degree, "id", "left").join(comp, "id", "left")
         .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -54,3 +54,15 @@ def test_matches_brute_force(spark, monkeypatch, leaf):
 
 def test_empty_table(spark):
     assert vector_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_dense_group_beyond_the_lists_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(module, "LEAF", 8)
+    monkeypatch.setattr(module, "BLOCK", 100, raising=False)
+    rng = np.random.default_rng(3)
+    c = rng.standard_normal(16)
+    vectors = [(c + rng.standard_normal(16) * 0.05).tolist() for _ in range(300)] + [rng.standard_normal(16).tolist() for _ in range(30)]
+    rows = [(int(i), v, int(i % 7 == 0)) for i, v in zip(rng.permutation(len(vectors)), vectors)] + [(900, vectors[0], 0), (901, vectors[0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup(frame, trees=1, max_rounds=1).collect()}
+    assert got == brute(rows)
