@@ -244,14 +244,12 @@ def _members(base: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
     return base.select("text").mapInArrow(run, "s1 long, s2 long, tokens array<long>").dropDuplicates(["s1", "s2"])
 
 
-def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int = 5) -> DataFrame:
-    """(k1, k2, lines) of the rows that lose lines: the numbers, from 0, of lines that match an earlier one."""
+def linked(base: DataFrame, threshold: Fraction, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every line's set, the earliest place of each different set, and the pairs of these at the threshold."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    base = _keyed(docs)
     p, q = threshold.numerator, threshold.denominator
     sets = written(_sets(base, least, threshold, _rarity(base)), "sets")
-    place = F.struct("k1", "line", "k2")
     # of equal sets one stands for all: its earliest place, and the raw line there
     first = sets.groupBy("s1", "s2").agg(F.min(F.struct("k1", "line", "k2", "raw")).alias("f")).select("s1", "s2", F.struct("f.k1", "f.line", "f.k2").alias("first"), "f.raw")
     first = written(first, "first")
@@ -266,6 +264,13 @@ def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least:
     links = written(links.select("x_s1", "x_s2", "y_s1", "y_s2"), "links")
     delete(pairs)
     delete(members)
+    return sets, first, links
+
+
+def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int = 5) -> DataFrame:
+    """(k1, k2, lines) of the rows that lose lines: the numbers, from 0, of lines that match an earlier one."""
+    sets, first, links = linked(_keyed(docs), threshold, least)
+    place = F.struct("k1", "line", "k2")
     sides = links.select(*[F.col(f"x_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"y_s{i}").alias(f"o{i}") for i in (1, 2)]).unionByName(
         links.select(*[F.col(f"y_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"x_s{i}").alias(f"o{i}") for i in (1, 2)])
     )
