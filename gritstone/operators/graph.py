@@ -67,6 +67,21 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid"
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def vector_topk_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", vec: str = "embedding", most: int = 10_000) -> DataFrame:
+    """V-1 for a query set of any size: ``vector_topk`` block by block, results joined in one frame.
+
+    Queries are dealt by a hash of their id, about half of ``most`` to a block, so that no block
+    exceeds it by chance; rows of one id share a block.
+    """
+    blocks = max(1, -(-2 * queries.count() // most)) if queries.limit(most + 1).count() > most else 1
+    block = F.pmod(F.xxhash64(qid), F.lit(blocks))
+    parts = [vector_topk(queries.where(block == b) if blocks > 1 else queries, vectors, k, qid, vid, vec, most) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def retrieve_files(top: DataFrame, resolved: DataFrame, touches: DataFrame) -> DataFrame:
     """G-6: from neighbours (self dropped after the top k) to changes to files, with similarity."""
     near = top.where("qid <> vid").select("qid", F.col("vid").alias("issue"), "score")

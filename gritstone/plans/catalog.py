@@ -412,7 +412,7 @@ t as (select *, row_number() over (partition by qid order by score desc, vid) as
 
 def _topk(spark, d, k=8):
     e = _t(spark, d, "embeddings", "vec_id", "embedding")
-    return G.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e, k)
+    return G.vector_topk_in_blocks(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e, k)
 
 
 @query(_TOPK + " select qid, vid, round(score, 4) as score, rank from t where rank <= 8 and qid <> vid")

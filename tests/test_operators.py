@@ -245,3 +245,22 @@ def test_keyword_rank_and_tests(spark):
     assert [x.name for x in df.select(G.context_symbols(F.col("s"), F.col("r"))).first()[0]] == ["4", "0", "1", "2", "3", "5"]
     al = G.first_alias_in_index(spark.createDataFrame([(1, ["a", "core/x.py", "core/dag.py"])], "id int, aliases array<string>"), idx)
     assert al.first().path == "core/x.py"
+
+
+def test_vector_topk_runs_in_blocks(spark):
+    from gritstone.operators import graph
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 11) + 1.0, 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    q = v.withColumnRenamed("vec_id", "qid")
+    with pytest.raises(ValueError):
+        graph.vector_topk(q, v, 3, most=40)
+    rows = lambda df: sorted((r.qid, r.vid, r.score, r["rank"]) for r in df.collect())
+    assert rows(graph.vector_topk_in_blocks(q, v, 3, most=40)) == rows(graph.vector_topk(q, v, 3))
+
+
+def test_registered_topk_has_no_cap(spark, tmp_path):
+    from gritstone.plans import catalog
+
+    e = spark.range(0, 200_060, 20).selectExpr("id as vec_id", "array(1.0D, cast(id as double)) as embedding")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.QUERIES["vector_topk"](spark, str(tmp_path)).columns == ["qid", "vid", "score", "rank"]
