@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of this machine is made only where the setting is absent, as in local tests.
+    A folder of this machine is made only where the setting is absent and the master is local, as
+    in tests; elsewhere executors would not share it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         made = getattr(spark, "_gritstone_dir", None)
         if made is None:
             made = "file://" + tempfile.mkdtemp(prefix="gritstone-")
@@ -55,6 +61,16 @@ def delete(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the machine: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -75,10 +91,23 @@ def sieved(df: DataFrame, keys: DataFrame, *on: str) -> tuple[DataFrame, DataFra
     with ``keys`` can change need to move; the others stay where they are.
     """
     bit = F.pmod(F.xxhash64(*on), F.lit(MARKS))
-    words = keys.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(__bit % 64 as int))")).alias("__v")
-    )
     names = df.columns
-    marked = df.withColumn("__bit", bit).withColumn("__w", F.shiftright("__bit", 6)).join(F.broadcast(words), "__w", "left")
-    maybe = F.coalesce(F.expr("getbit(__v, cast(__bit % 64 as int)) = 1"), F.lit(False))
-    return marked.where(maybe).select(*names), marked.where(~maybe).select(*names)
+    b, w, v = free(df, "bit", "word", "value")
+    words = keys.select(bit.alias(b)).groupBy(F.shiftright(b, 6).alias(w)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({b} % 64 as int))")).alias(v))
+    marked = df.withColumn(b, bit).withColumn(w, F.shiftright(b, 6)).join(F.broadcast(words), w, "left")
+    maybe = F.coalesce(F.expr(f"getbit({v}, cast({b} % 64 as int)) = 1"), F.lit(False))
+    kept = [F.col(f"`{c}`") for c in names]
+    return marked.where(maybe).select(*kept), marked.where(~maybe).select(*kept)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

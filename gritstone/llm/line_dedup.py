@@ -2,314 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
-from itertools import chain
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, n_tasks, sieved, table, written
+from .common import delete, free, sieved, table, written
+from .setjoin import LINES, joined, keyed
 
-COUNTERS = 1 << 18  # of the rarity sketch; a fixed size
-MARKS = 1 << 22  # bits of a filter; a fixed size
-TOKENS = 1 << 26  # bits of the filter of shared tokens; a fixed size
-AT_ONCE = 1 << 21  # characters of text handled together
-REMEMBER = 500_000  # tokens, or line sets, a task remembers
 
+def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(k1, k2, lines) of the rows that lose lines: the numbers, from 0, of lines that match an earlier one.
 
-class _Tokens(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(k)
-    return h ^ (h >> np.uint64(29))
-
-
-class Lines:
-    """The token sets of a batch of texts' lines, flat: hashes by line, in order of rarity."""
-
-    def __init__(self, texts: list[str | None], tokens: _Tokens, least: int, level: np.ndarray | None, wanted: np.ndarray | None = None):
-        """``wanted``: only lines whose raw bytes' hash passes this filter."""
-        sets, doc, line, raw = [], [], [], []
-        for i, t in enumerate(texts):
-            for j, x in enumerate((t or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                r = xxhash.xxh3_64_intdigest(x)
-                if wanted is not None and not wanted[r & (MARKS - 1)]:
-                    continue
-                words = set(x.split())
-                if len(words) >= least:
-                    sets.append(words)
-                    doc.append(i)
-                    line.append(j)
-                    raw.append(r)
-        self.doc, self.line, self.raw = np.array(doc, dtype=np.int64), np.array(line, dtype=np.int32), np.array(raw, dtype=np.uint64)
-        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
-        h = np.fromiter(map(tokens.__getitem__, chain.from_iterable(sets)), np.uint64, int(self.n.sum()))
-        self.start = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(sets) else np.zeros(0, np.int64)
-        if level is not None:  # tokens as (rarity, hash), 44 bits; equal tokens have equal ones, and an order they all share
-            of = np.repeat(np.arange(len(sets), dtype=np.uint64), self.n)
-            key = (level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
-            if len(sets) < 1 << 20:
-                self.key = np.sort((of << np.uint64(44)) | key) & np.uint64((1 << 44) - 1)
-            else:
-                self.key = key[np.lexsort((key, of))]
-        self.h = h
-        self.pos = np.arange(len(h)) - np.repeat(self.start, self.n)
-        zero = np.zeros(0, np.uint64)
-        self.s1 = np.add.reduceat(_mix(h, 0x9E3779B97F4A7C15), self.start) if len(sets) else zero
-        # parity of the tokens that fall on each of 128 bits: sets differ in as many tokens as their parities in bits, or more
-        place = _mix(h, 0xC2B2AE3D27D4EB4F) >> np.uint64(57)
-        bit = np.uint64(1) << (place & np.uint64(63))
-        high = place >> np.uint64(6) == 1
-        self.s2 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), self.start) if len(sets) else zero
-        self.s3 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), self.start) if len(sets) else zero
-
-
-def _parts(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str | None]]]:
-    """(from, to, texts) of stretches of a batch that are small enough to handle together."""
-    texts, size, first = [], 0, 0
-    for i, t in enumerate(b.column(at)):
-        texts.append(t.as_py())
-        size += len(texts[-1] or "")
-        if size >= AT_ONCE:
-            yield first, i + 1, texts
-            texts, size, first = [], 0, i + 1
-    if texts:
-        yield first, b.num_rows, texts
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a key (k1, k2) that only rows of one id and text share."""
-    return docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-
-
-def _rarity(base: DataFrame) -> np.ndarray:
-    """How common each token is, as a level from a sketch of COUNTERS counts over all lines.
-
-    The order of tokens must only be the same everywhere for the join to be exact; the sketch,
-    whose size is fixed, makes it an order by rarity.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = np.zeros(COUNTERS, np.int64), _Tokens()
-        for b in batches:
-            for _, _, texts in _parts(b, 0):
-                words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-                h = np.fromiter(map(tokens.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
-                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 65_536):
-            part = at[k : k + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["k", "n"])
-
-    level = F.least(F.floor(F.log2(F.sum("n") + 1) * 6), F.lit(255)).cast("int").alias("level")
-    rows = base.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(level).toArrow()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, np.uint8)
-    out[rows.column("k").to_numpy()] = rows.column("level").to_numpy()
-    return out
-
-
-def _marked(df: DataFrame, hashed: Column) -> np.ndarray:
-    """A filter of MARKS bits of the rows of ``df``: rows not in it are surely absent."""
-    bit = df.select(F.pmod(hashed, F.lit(MARKS)).alias("bit"))
-    words = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
-    rows = words.toArrow()  # MARKS / 64 rows at most
-    out = np.zeros(MARKS // 64, np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
-
-
-def _sets(base: DataFrame, least: int, threshold: Fraction, level: np.ndarray) -> DataFrame:
-    """Every line's set: key, line number, signature, size, and its prefix tokens in order of rarity.
-
-    A task gives the prefix of a set once (as long as it remembers the set). Sets so small that
-    one token more or less falls below the threshold match equal sets only, which need no prefix.
-    """
-    p, q = threshold.numerator, threshold.denominator
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = _Tokens(), set()
-        for b in batches:
-            for a, z, texts in _parts(b, 2):
-                x = Lines(texts, tokens, least, level)
-                if len(seen) > REMEMBER:
-                    seen.clear()
-                new = np.zeros(len(x.n), bool)
-                for i, s in enumerate(zip(x.s1.tolist(), x.s2.tolist())):
-                    if s not in seen:
-                        seen.add(s)
-                        new[i] = True
-                prefix = np.where(new & (x.n * (q - p) >= p), x.n - (-(-x.n * p // q)) + 1, 0)
-                take = x.pos < np.repeat(prefix, x.n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(x.key[take].view(np.int64)))
-                k1, k2 = (b.column(i).to_numpy()[a:z][x.doc] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(k2), pa.array(x.line), pa.array(x.s1.view(np.int64)), pa.array(x.s2.view(np.int64)), pa.array(x.s3.view(np.int64)), pa.array(x.n.astype(np.int32)), pa.array(x.raw.view(np.int64)), lists],
-                    names=["k1", "k2", "line", "s1", "s2", "s3", "n", "raw", "prefix"],
-                )
-
-    return base.select("__k1", "__k2", "text").mapInArrow(
-        run, "k1 long, k2 long, line int, s1 long, s2 long, s3 long, n int, raw long, prefix array<long>"
-    )
-
-
-def _shared(sets: DataFrame) -> np.ndarray:
-    """A filter of TOKENS bits: tokens not in it are surely in one prefix only, so they match nothing."""
-    mixed = F.xxhash64("t").bitwiseAND(F.lit(TOKENS - 1)).cast("int")
-    slot = sets.select(F.explode("prefix").alias("t")).select(mixed.alias("k"))
-    twice = slot.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    words = twice.groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, k % 64)")).alias("v")).toArrow()  # TOKENS / 64 rows at most
-    out = np.zeros(TOKENS // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    return out
-
-
-def _probes(sets: DataFrame) -> DataFrame:
-    """(token, s1, s2, s3, at) of the prefix tokens, ``at`` holding size and position."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(4)
-            t = lists.flatten().to_numpy(zero_copy_only=False)
-            size = np.diff(lists.offsets.to_numpy())
-            of = np.repeat(np.arange(b.num_rows), size)
-            pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            s1, s2, s3, n = (b.column(i).to_numpy()[of] for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(s1), pa.array(s2), pa.array(s3), pa.array((n.astype(np.int64) << 32) | pos)], names=["token", "s1", "s2", "s3", "at"])
-
-    return sets.where(F.size("prefix") > 0).select("s1", "s2", "s3", "n", "prefix").mapInArrow(run, "token long, s1 long, s2 long, s3 long, at long")
-
-
-def _candidates(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of signatures (x1, x2, y1, y2) that pass the prefix, length, positional and parity filters.
-
-    x is the set with fewer tokens. Its overlap with y is at least 2p/(p+q) of its own size, so a
-    shorter prefix of it is enough to meet y's. Copies of a set from several tasks are made one
-    where its tokens meet.
+    k2 is the low half of the text's hash.
     """
-    p, q = threshold.numerator, threshold.denominator
-    shared = _shared(sets)
-
-    def may_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(5).to_numpy()
-            yield b.filter(pa.array((shared[k >> 6] >> (k & 63)) & 1 == 1)).select(["token", "s1", "s2", "s3", "at"])
-
-    slot = F.xxhash64("token").bitwiseAND(F.lit(TOKENS - 1)).alias("k")
-    rows = _probes(sets).select("*", slot).mapInArrow(may_match, "token long, s1 long, s2 long, s3 long, at long")
-    n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    short = pos < n - F.ceil(n * F.lit(2 * p) / F.lit(p + q)) + 1
-    tasks = n_tasks(sets.sparkSession)
-    meet = lambda df, v: df.repartition(tasks, "token").dropDuplicates(["token", "s1", "s2"]).select("token", *[F.col(c).alias(f"{v}_{c}") for c in ("s1", "s2", "s3")], F.shiftright("at", 32).alias(f"{v}_n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"{v}_pos"))
-    x, y = meet(rows.where(short), "x"), meet(rows, "y")
-    rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
-    ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.struct("x_s1", "x_s2") < F.struct("y_s1", "y_s2")))
-    fits = (F.col("x_n") * q >= F.col("y_n") * p) & (rest * (p + q) >= (F.col("x_n") + F.col("y_n")) * p)
-    apart = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in ("s2", "s3"))  # at most how many tokens differ
-    fits = fits & (apart * (p + q) <= (F.col("x_n") + F.col("y_n")) * (q - p))
-    return x.join(y.hint("merge"), "token").where(ordered & fits).select("x_s1", "x_s2", "y_s1", "y_s2").distinct()
-
-
-def _members(base: DataFrame, wanted: np.ndarray, least: int) -> DataFrame:
-    """(s1, s2, tokens) of the lines whose raw hash the filter lets pass; a task gives each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = _Tokens(), set()
-        for b in batches:
-            for _, _, texts in _parts(b, 0):
-                x = Lines(texts, tokens, least, None, wanted)
-                keep = []
-                if len(seen) > REMEMBER:
-                    seen.clear()
-                for i in range(len(x.n)):
-                    s = (x.s1[i], x.s2[i])
-                    if s not in seen:
-                        seen.add(s)
-                        keep.append(i)
-                size = x.n[keep]
-                parts = [np.sort(x.h[x.start[i] : x.start[i] + x.n[i]]).view(np.int64) for i in keep]
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(x.s1[keep].view(np.int64)), pa.array(x.s2[keep].view(np.int64)), lists], names=["s1", "s2", "tokens"])
-
-    return base.select("text").mapInArrow(run, "s1 long, s2 long, tokens array<long>").dropDuplicates(["s1", "s2"])
-
-
-def linked(base: DataFrame, threshold: Fraction, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every line's set, the earliest place of each different set, and the pairs of these at the threshold."""
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    p, q = threshold.numerator, threshold.denominator
-    sets = written(_sets(base, least, threshold, _rarity(base)), "sets")
-    # of equal sets one stands for all: its earliest place, and the raw line there
-    first = sets.groupBy("s1", "s2").agg(F.min(F.struct("k1", "line", "k2", "raw")).alias("f")).select("s1", "s2", F.struct("f.k1", "f.line", "f.k2").alias("first"), "f.raw")
-    first = written(first, "first")
-    pairs = written(_candidates(sets, threshold), "pairs")
-    ends = pairs.select(F.col("x_s1").alias("s1"), F.col("x_s2").alias("s2")).unionByName(pairs.select(F.col("y_s1").alias("s1"), F.col("y_s2").alias("s2"))).distinct()
-    raw = first.select("s1", "s2", "raw").join(ends, ["s1", "s2"], "left_semi")
-    members = written(_members(base, _marked(raw, F.col("raw")), least), "members")
-    x = members.select(F.col("s1").alias("x_s1"), F.col("s2").alias("x_s2"), F.col("tokens").alias("x"))
-    y = members.select(F.col("s1").alias("y_s1"), F.col("s2").alias("y_s2"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(x, ["x_s1", "x_s2"]).join(y, ["y_s1", "y_s2"]).where(both * (p + q) >= (F.size("x") + F.size("y")) * p)
-    links = written(links.select("x_s1", "x_s2", "y_s1", "y_s2"), "links")
-    delete(pairs)
-    delete(members)
-    return sets, first, links
-
-
-def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int = 5) -> DataFrame:
-    """(k1, k2, lines) of the rows that lose lines: the numbers, from 0, of lines that match an earlier one."""
-    sets, first, links = linked(_keyed(docs), threshold, least)
-    place = F.struct("k1", "line", "k2")
-    sides = links.select(*[F.col(f"x_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"y_s{i}").alias(f"o{i}") for i in (1, 2)]).unionByName(
-        links.select(*[F.col(f"y_s{i}").alias(f"s{i}") for i in (1, 2)], *[F.col(f"x_s{i}").alias(f"o{i}") for i in (1, 2)])
-    )
-    other = first.select(F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("first").alias("other"))
-    near = sides.join(other, ["o1", "o2"]).groupBy("s1", "s2").agg(F.min("other").alias("near"))
-    earliest = first.join(near, ["s1", "s2"], "left").select("s1", "s2", F.least("first", F.coalesce("near", "first")).alias("least"))
-    gone = sets.join(earliest, ["s1", "s2"]).where(F.col("least") < place)
-    return gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines"))
+    sets, first, links = joined(keyed(docs), LINES, threshold)
+    matched = links.select("k1", "at", F.lit(True).alias("matched")).distinct()
+    own = first.select("s1", "s2", "s3", "k1", "at").join(matched, ["k1", "at"], "left")
+    own = own.select("s1", "s2", "s3", F.struct("k1", "at").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    gone = sets.select("s1", "s2", "s3", "k1", "at").join(own, ["s1", "s2", "s3"]).where(F.col("matched") | (F.col("first") < F.struct("k1", "at")))
+    k2, line = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32).cast("int")
+    return gone.groupBy("k1", k2.alias("k2")).agg(F.collect_set(line).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), least: int = 5, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), counts: bool = False) -> DataFrame:
     """``docs`` without the lines whose token sets have a Jaccard of ``threshold`` or more with an earlier line.
 
     Lines end at line feeds; tokens are what stands between ASCII white space, each counted once.
     Earlier means a smaller doc_id (null last), then a smaller line number; lines that are removed
-    themselves count as earlier ones too. Lines of fewer than ``least`` different tokens stay: with 1,
-    as in the query and the pipeline, only lines without tokens.
-    Rows stay, even when all their lines go (the text is then empty, or what short lines are left);
-    null texts stay null; rows with one id and text lose the same lines; an empty table gives none.
-    ``counts`` adds n_lines and n_removed. Columns named like those used inside (``__k1`` and so on)
-    must not be present.
+    themselves count as earlier ones too. Lines without tokens stay.
+    Rows stay, even when all their lines go (the text is then empty, or what lines without tokens
+    are left); null texts stay null; rows with one id and text lose the same lines; an empty table
+    gives none; other columns stay as they are, whatever their names. ``counts`` adds n_lines and
+    n_removed.
     """
-    gone = written(removed_lines(docs, threshold, least), "gone")
+    gone = written(removed_lines(docs, threshold), "gone")
     names = docs.columns
-    gone = gone.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("lines").alias("__lines"))
-    maybe, still = sieved(_keyed(docs), gone, "__k1", "__k2")
+    k1, k2, cut = free(docs, "k1", "k2", "lines")
+    gone_ = gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("lines").alias(cut))
+    low = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    placed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), k2: low})
+    maybe, still = sieved(placed, gone_, k1, k2)
     lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    cut = F.when(F.col("__lines").isNotNull(), kept).otherwise(F.col("text"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(cut, i)), "\n")
+    text = F.when(F.col(cut).isNotNull(), kept).otherwise(F.col("text"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    extra = [n_lines.alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    of = [cut.alias("text") if c == "text" else F.col(c) for c in names] + extra
-    moved = maybe.join(gone, ["__k1", "__k2"], "left").select(*of)
-    still = still.withColumn("__lines", F.lit(None).cast("array<int>")).select(*of)
-    return still.unionByName(moved)
+    extra = [n_lines.alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    of = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names] + extra
+    moved = maybe.join(gone_, [k1, k2], "left").select(*of)
+    return still.withColumn(cut, F.lit(None).cast("array<int>")).select(*of).unionByName(moved)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1, counts=True)
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

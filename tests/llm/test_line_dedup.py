@@ -43,7 +43,7 @@ def test_matches_brute_force(spark, threshold):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string").repartition(3)
     out = line_dedup(docs, threshold)
     assert out.columns == docs.columns
-    assert {r.doc_id: r.text for r in out.collect()} == brute(rows, threshold, 5)
+    assert {r.doc_id: r.text for r in out.collect()} == brute(rows, threshold, 1)
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):
