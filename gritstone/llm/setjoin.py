@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, release, written
+from .common import delete, n_tasks, release, written
 from .components import components
 
 SLOTS = 1 << 24  # counters of the rarity sketch, which only orders tokens; a fixed size
@@ -30,7 +30,8 @@ BLOCKS = 64  # rows in which a sketch or filter reaches the driver
 AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
 REMEMBER = 200_000  # units a task remembers, so as to give their prefix once
 WINDOW = 128  # earliest units of a token that all others of it are compared with at first
-ENOUGH = 4  # candidates of a unit and token given at first
+ENOUGH = 16  # candidates of a unit and token given at first
+MOST = 1 << 20  # rows of a bucket compared at once
 RUN = 1 << 18  # rows of a stretch of tokens
 _ODD = 0x9E3779B97F4A7C15
 
@@ -133,13 +134,8 @@ def shingles_of(width: int) -> Callable[[pa.Array, bool], Units]:
         row = np.repeat(np.arange(len(n)), n)
         keep = np.arange(len(h)) - words[row] <= np.maximum(n[row] - width, 0)
         joined = mix(joined, 0xBF58476D1CE4E5B9)
-        few = np.flatnonzero(n < width)
-        for i in few.tolist():
-            x = np.uint64(n[i] + 1)
-            for w in h[words[i] : words[i + 1]]:
-                x = x * np.uint64(0x94D049BB133111EB) + w
-            if n[i]:
-                joined[words[i]] = x
+        for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+            joined[words[i]] = hash(tuple(h[words[i] : words[i + 1]].tolist())) & (1 << 64) - 1
         empty = np.flatnonzero(n == 0)
         h, row = joined[keep], row[keep]
         if len(empty):  # a text without words has one shingle, the empty one
@@ -343,14 +339,14 @@ def _slot(token: np.ndarray) -> np.ndarray:
     return (mix(token.view(np.uint64), 0x94D049BB133111EB) >> np.uint64(65 - PROBE.bit_length())).astype(np.int32)
 
 
-def _shared(first: DataFrame) -> np.ndarray:
-    """A filter of PROBE bits: tokens not in it are surely in one prefix only, so they match nothing."""
+def _filter(tokens: DataFrame, least: int) -> np.ndarray:
+    """A filter of PROBE bits of the tokens (in lists or rows) that are there ``least`` times: those not in it surely are not."""
     bits = PROBE.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt, size = _Dealt(bits), 0
         for b in batches:
-            t = b.column(0).flatten().to_numpy()
+            t = (b.column(0).flatten() if pa.types.is_list(b.column(0).type) else b.column(0)).to_numpy()
             dealt.held.append(_slot(t[t >> 36 > 0]))  # level 0: a token that occurs once
             size += len(dealt.held[-1])
             if size > 1 << 22:
@@ -359,44 +355,80 @@ def _shared(first: DataFrame) -> np.ndarray:
         yield dealt.rows()
         release()
 
-    rows = first.select("prefix").mapInArrow(run, "block int, x binary")
-    return np.frombuffer(b"".join(_gathered(rows, bits, lambda n: np.packbits(n > 1, bitorder="little").tobytes())), np.uint8)
+    rows = tokens.mapInArrow(run, "block int, x binary")
+    return np.frombuffer(b"".join(_gathered(rows, bits, lambda n: np.packbits(n >= least, bitorder="little").tobytes())), np.uint8)
 
 
-_ROW = "token long, k1 long, at long, np long, s2 long, s3 long"
+COLUMNS = ("token", "k1", "at", "np", "s2", "s3")
 
 
-def _probes(first: DataFrame, shared: np.ndarray) -> DataFrame:
-    """A row for each token of a prefix that may be in another: its unit's place, size and parities, and its position."""
+def _probed(b: pa.RecordBatch, passing: np.ndarray) -> list[np.ndarray]:
+    """COLUMNS of the tokens of a batch's prefixes that pass the filter: np holds size and position."""
+    lists = b.column(0)
+    t, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    of = np.repeat(np.arange(b.num_rows), size)
+    pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+    slot = _slot(t)
+    keep = np.flatnonzero((t >> 36 > 0) & ((passing[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+    of = of[keep]
+    k1, at, n, s2, s3 = (b.column(i).to_numpy()[of] for i in range(1, 6))
+    return [t[keep], k1, at, (n.astype(np.int64) << 32) | pos[keep], s2, s3]
+
+
+def _prefixes(first: DataFrame) -> DataFrame:
+    return first.where(F.size("prefix") > 0).select("prefix", "k1", "at", "n", "s2", "s3")
+
+
+def _rows(first: DataFrame, passing: np.ndarray) -> DataFrame:
+    """A row of COLUMNS for each token that passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(0)
-            t, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            of = np.repeat(np.arange(b.num_rows), size)
-            pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-            slot = _slot(t)
-            keep = np.flatnonzero((t >> 36 > 0) & ((shared[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            of = of[keep]
-            cols = [t[keep], *(b.column(i).to_numpy()[of] for i in (1, 2)), (b.column(3).to_numpy()[of].astype(np.int64) << 32) | pos[keep], *(b.column(i).to_numpy()[of] for i in (4, 5))]
-            for a in range(0, max(1, len(keep)), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 17)]) for c in cols], names=["token", "k1", "at", "np", "s2", "s3"])
+            c = _probed(b, passing)
+            for a in range(0, max(1, len(c[0])), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in c], names=list(COLUMNS))
         release()
 
-    return first.where(F.size("prefix") > 0).select("prefix", "k1", "at", "n", "s2", "s3").mapInArrow(run, _ROW)
+    return _prefixes(first).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
-def _meet(rows: DataFrame, threshold: Fraction) -> DataFrame:
+def _packed(first: DataFrame, passing: np.ndarray, buckets: int) -> DataFrame:
+    """The same rows, as bytes of many at once, dealt into ``buckets`` by token; a bucket's share of a task is one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(_probed(b, passing))
+                size += len(held[-1][0])
+            if size >= RUN or b is None and size:
+                c = [np.concatenate(x) for x in zip(*held)]
+                bucket = (mix(c[0].view(np.uint64), 0xFF51AFD7ED558CCD) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                c = [x[order] for x in c]
+                some = np.flatnonzero(np.diff(cut))
+                parts = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some.tolist()], pa.binary()) for x in c]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *parts], names=["bucket", *COLUMNS])
+                held, size = [], 0
+        release()
+
+    return _prefixes(first).mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS))
+
+
+def _meet(packed: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs of units that share a token and pass the filters: x is the earlier one, (k1, at) and the rest are y's.
 
     Each unit is compared with the WINDOW earliest of its token, up to ENOUGH candidates. If there
-    may be more, a row without x says so; ``_rest`` sees to those where that matters. So memory is
-    bounded whatever the number of rows of a token.
+    may be more, a row without x says so; ``_rest`` sees to those where that matters. So of a token's
+    rows no more than that need to stay in memory, however many there are.
     """
     p, q = threshold.numerator, threshold.denominator
 
-    def compare(c: list[np.ndarray], fresh: int) -> tuple[pa.RecordBatch, int]:
-        """c: columns of _ROW in order of token and place; rows from ``fresh`` on look for partners. Also where the last token begins."""
+    def compare(c: list[np.ndarray]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """The pairs among rows (COLUMNS), and the rows that must stay to be compared with others."""
+        order = np.lexsort((c[2], c[1], c[0]))
+        c = [x[order] for x in c]
         token, k1, at, np_, s2, s3 = c
         n, pos = np_ >> 32, np_ & 0xFFFFFFFF
         short = pos < n + (-(2 * p * n) // (p + q)) + 1
@@ -405,9 +437,8 @@ def _meet(rows: DataFrame, threshold: Fraction) -> DataFrame:
         first = np.flatnonzero(new)
         begin = np.repeat(first, np.diff(np.concatenate((first, [len(token)]))))
         rank = np.arange(len(token)) - begin
-        y = np.arange(fresh, len(token))
+        y = np.arange(len(token))
         more, given, found = rank > WINDOW, np.zeros(len(token), np.int32), []
-        more[:fresh] = False
         for j in range(WINDOW):
             y = y[rank[y] > j]
             if not len(y):
@@ -416,7 +447,7 @@ def _meet(rows: DataFrame, threshold: Fraction) -> DataFrame:
             ok = (np.minimum(n[x], n[y]) * q >= np.maximum(n[x], n[y]) * p) & np.where(n[x] <= n[y], short[x], short[y])
             u, v = x[ok], y[ok]
             rest = np.minimum(n[u] - pos[u], n[v] - pos[v]) + np.minimum(pos[u], pos[v])
-            apart = np.bitwise_count(s2[u] ^ s2[v]).astype(np.int64) + np.bitwise_count(s3[u] ^ s3[v])
+            apart = sum(np.bitwise_count((s[u] ^ s[v]).view(np.uint64)).astype(np.int64) for s in (s2, s3))
             ok = (rest * (p + q) >= (n[u] + n[v]) * p) & (apart * (p + q) <= (n[u] + n[v]) * (q - p))
             u, v = u[ok], v[ok]
             if len(v):
@@ -430,25 +461,27 @@ def _meet(rows: DataFrame, threshold: Fraction) -> DataFrame:
         none = np.concatenate([np.zeros(len(u), bool), np.ones(len(some), bool)])
         u, v = np.concatenate([u, some]), np.concatenate([v, some])
         cols = [pa.array(k1[u], mask=none), pa.array(at[u], mask=none), pa.array(k1[v]), pa.array(at[v]), *(pa.array(a[v], mask=~none) for a in (token, np_, s2, s3))]
-        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3"]), int(first[-1])
+        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3"]), [x[rank <= WINDOW] for x in c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows to compare, after the first rows of a token that may go on
-        size = fresh = 0
+        held: list[list[np.ndarray]] = []
+        bucket, size, most = None, 0, MOST
         for b in chain(batches, [None]):
-            if b is not None and b.num_rows:
-                held.append([b.column(i).to_numpy() for i in range(6)])
-                size += b.num_rows
-            if size >= RUN or b is None and size:
-                c = [np.concatenate(x) for x in zip(*held)]
-                out, last = compare(c, fresh)
-                yield out
-                held = [[a[last : last + WINDOW + 1].copy() for a in c]]
-                size, fresh = 0, len(held[0][0])
+            for i in range(b.num_rows if b is not None else 1):
+                k = b.column(0)[i].as_py() if b is not None else None
+                if size and (k != bucket or size >= most):
+                    out, stay = compare([np.concatenate(x) for x in zip(*held)])
+                    yield out
+                    held = [stay] if k == bucket else []
+                    size = len(stay[0]) if held else 0
+                    most = max(MOST, 2 * size)
+                bucket = k
+                if b is not None:
+                    held.append([np.frombuffer(b.column(j + 1)[i].as_buffer(), np.int64) for j in range(len(COLUMNS))])
+                    size += len(held[-1][0])
         release()
 
-    rows = rows.repartition("token").sortWithinPartitions("token", "k1", "at")
-    return rows.mapInArrow(run, "xk1 long, xat long, k1 long, at long, token long, np long, s2 long, s3 long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "xk1 long, xat long, k1 long, at long, token long, np long, s2 long, s3 long")
 
 
 def _rest(found: DataFrame, rows: DataFrame, threshold: Fraction, apart_from: DataFrame | None) -> DataFrame:
@@ -544,8 +577,8 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
         raise ValueError("threshold must be above 0 and at most 1")
     sets = written(unit_sets(base, kind, threshold, rarity(base, kind)), "sets")
     first = written(first_places(sets), "first")
-    shared = _shared(first)
-    found = written(_meet(_probes(first, shared), threshold), "found")
+    buckets = 4 * n_tasks(base.sparkSession)
+    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold), "found")
     links = _verified(base, first, written(found.where("xk1 is not null").select("xk1", "xat", "k1", "at").distinct(), "pairs"), kind, threshold)
     more = found.where("xk1 is null")
     of = None
@@ -553,8 +586,9 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
         of = components(links.select(F.xxhash64("xk1", "xat").alias("a"), F.xxhash64("k1", "at").alias("b")))
     else:
         more = more.join(links.select("k1", "at").distinct(), ["k1", "at"], "left_anti")
+    more = written(more, "more")
     if not more.isEmpty():
-        rest = written(_rest(more, _probes(first, shared), threshold, of), "rest")
+        rest = written(_rest(more, _rows(first, _filter(more.select("token"), 1)), threshold, of), "rest")
         links = links.unionByName(_verified(base, first, rest, kind, threshold))
     delete(found)
     return sets, first, links
