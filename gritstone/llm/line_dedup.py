@@ -17,10 +17,13 @@ def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> Data
     k2 is the low half of the text's hash.
     """
     sets, first, links = joined(keyed(docs), LINES, threshold)
-    matched = links.select("k1", "at", F.lit(True).alias("matched")).distinct()
-    own = first.select("s1", "s2", "s3", "k1", "at").join(matched, ["k1", "at"], "left")
-    own = own.select("s1", "s2", "s3", F.struct("k1", "at").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    gone = sets.select("s1", "s2", "s3", "k1", "at").join(own, ["s1", "s2", "s3"]).where(F.col("matched") | (F.col("first") < F.struct("k1", "at")))
+    sig = ["s1", "s2", "s3"]
+    matched = links.select(*sig, F.lit(True).alias("matched")).distinct()
+    # only sets with a match or with several lines lose any: the others need not move
+    several = sets.where(~F.col("lead")).select(sig).unionByName(first.where("copies").select(sig)).unionByName(matched.select(sig))
+    own = sieved(first.select(*sig, F.struct("k1", "at").alias("first")), several, *sig)[0].join(matched, sig, "left")
+    lines = sieved(sets.select(*sig, "k1", "at"), several, *sig)[0]
+    gone = lines.join(own, sig).where(F.coalesce("matched", F.lit(False)) | (F.col("first") < F.struct("k1", "at")))
     k2, line = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32).cast("int")
     return gone.groupBy("k1", k2.alias("k2")).agg(F.collect_set(line).alias("lines"))
 

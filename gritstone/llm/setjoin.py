@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, n_tasks, release, written
+from .common import delete, n_tasks, release, sieved, written
 from .components import components
 
 SLOTS = 1 << 24  # counters of the rarity sketch, which only orders tokens; a fixed size
@@ -29,9 +29,10 @@ MARKS = 1 << 22  # bits of the filter of units to be verified; a fixed size
 BLOCKS = 64  # rows in which a sketch or filter reaches the driver
 AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
 REMEMBER = 200_000  # units a task remembers, so as to give their prefix once
-WINDOW = 128  # earliest units of a token that all others of it are compared with at first
+WINDOW = 1024  # earliest units of a token and size that others of it are compared with at first
 ENOUGH = 16  # candidates of a unit and token given at first
 MOST = 1 << 20  # rows of a bucket compared at once
+PAIRS = 1 << 18  # pairs of rows compared at once
 RUN = 1 << 18  # rows of a stretch of tokens
 _ODD = 0x9E3779B97F4A7C15
 
@@ -252,6 +253,23 @@ def rarity(base: DataFrame, kind: Kind) -> np.ndarray:
     return np.frombuffer(b"".join(_gathered(base.select("text").mapInArrow(run, "block int, x binary"), bits, level)), np.uint8)
 
 
+def _lists(token: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of tokens of 40 bits, five bytes each."""
+    data = np.ascontiguousarray(token.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5])
+    offsets = np.concatenate(([0], 5 * np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, size of each list)."""
+    _, offsets, data = lists.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    out = np.zeros(((offsets[-1] - offsets[0]) // 5, 8), np.uint8)
+    if len(out):
+        out[:, :5] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 5)
+    return out.view(np.int64).ravel(), np.diff(offsets) // 5
+
+
 def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarray) -> DataFrame:
     """Every unit: its place (k1, at), signature (s1, s2, s3), size, raw hash and, in rows that ``lead``, its prefix.
 
@@ -269,10 +287,10 @@ def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarra
                 u = kind.bulk(texts, True)
                 units = len(u.row)
                 rare = level[(u.h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-                token = (rare << np.uint64(36)) | (u.h & np.uint64((1 << 36) - 1))
+                token = (rare << np.uint64(32)) | (u.h & np.uint64((1 << 32) - 1))
                 order = None
-                if units < 1 << 20:
-                    key = (u.of.astype(np.uint64) << np.uint64(44)) | token
+                if units < 1 << 24:
+                    key = (u.of.astype(np.uint64) << np.uint64(40)) | token
                     order = np.argsort(key)
                     key, h = key[order], u.h[order]
                     if np.any((key[1:] == key[:-1]) & (h[1:] != h[:-1])):
@@ -305,34 +323,42 @@ def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarra
                         lead[i] = True
                 prefix = np.where(lead & (n * (q - p) >= p), n - (-(-n * p // q)) + 1, 0)
                 take = np.arange(len(h)) - np.repeat(start, n) < np.repeat(prefix, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), _signed(token[take]))
+                prefixes = _lists(token[take], prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(at), _signed(s1), _signed(s2), _signed(s3), pa.array(n.astype(np.int32)), _signed(u.raw), pa.array(lead), lists],
+                    [pa.array(k1), pa.array(at), _signed(s1), _signed(s2), _signed(s3), pa.array(n.astype(np.int32)), _signed(u.raw), pa.array(lead), prefixes],
                     names=["k1", "at", "s1", "s2", "s3", "n", "raw", "lead", "prefix"],
                 )
         release()
 
-    return base.select("k1", "k2", "text").mapInArrow(run, "k1 long, at long, s1 long, s2 long, s3 long, n int, raw long, lead boolean, prefix array<long>")
+    return base.select("k1", "k2", "text").mapInArrow(run, "k1 long, at long, s1 long, s2 long, s3 long, n int, raw long, lead boolean, prefix binary")
 
 
 def first_places(sets: DataFrame) -> DataFrame:
-    """One row per different set, with its earliest place."""
+    """One row per different set, with its earliest place, and whether several rows lead for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            s = [b.column(i).to_numpy() for i in range(3)]
+        held = None
+        for b in chain(batches, [None]):
+            if b is not None and held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            elif b is None:
+                b = held
+            if b is None or not b.num_rows:
+                continue
             new = np.ones(b.num_rows, bool)
-            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in s])
-            if b.num_rows:
-                new[0] = tuple(x[0] for x in s) != last
-                last = tuple(x[-1] for x in s)
-            yield b.filter(pa.array(new))
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (b.column(i).to_numpy() for i in range(3))])
+            at = np.flatnonzero(new)
+            copies = np.diff(np.concatenate((at, [b.num_rows]))) > 1
+            held = b.slice(int(at[-1]), 2)  # its set may go on
+            found = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(copies)], names=[*found.schema.names, "copies"]).slice(0, len(at) - 1)
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([held.num_rows > 1] * held.num_rows)], names=[*held.schema.names, "copies"]).slice(0, 1)
         release()
 
     cols = ["s1", "s2", "s3", "k1", "at", "n", "raw", "prefix"]
     rows = sets.where("lead").select(cols).repartition("s1").sortWithinPartitions("s1", "s2", "s3", "k1", "at")
-    return rows.mapInArrow(run, "s1 long, s2 long, s3 long, k1 long, at long, n int, raw long, prefix array<long>")
+    return rows.mapInArrow(run, "s1 long, s2 long, s3 long, k1 long, at long, n int, raw long, prefix binary, copies boolean")
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
@@ -346,8 +372,8 @@ def _filter(tokens: DataFrame, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt, size = _Dealt(bits), 0
         for b in batches:
-            t = (b.column(0).flatten() if pa.types.is_list(b.column(0).type) else b.column(0)).to_numpy()
-            dealt.held.append(_slot(t[t >> 36 > 0]))  # level 0: a token that occurs once
+            t = _tokens(b.column(0))[0] if pa.types.is_binary(b.column(0).type) else b.column(0).to_numpy()
+            dealt.held.append(_slot(t[t >> 32 > 0]))  # level 0: a token that occurs once
             size += len(dealt.held[-1])
             if size > 1 << 22:
                 yield dealt.rows()
@@ -364,19 +390,18 @@ COLUMNS = ("token", "k1", "at", "np", "s2", "s3")
 
 def _probed(b: pa.RecordBatch, passing: np.ndarray) -> list[np.ndarray]:
     """COLUMNS of the tokens of a batch's prefixes that pass the filter: np holds size and position."""
-    lists = b.column(0)
-    t, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    t, size = _tokens(b.column(0))
     of = np.repeat(np.arange(b.num_rows), size)
     pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
     slot = _slot(t)
-    keep = np.flatnonzero((t >> 36 > 0) & ((passing[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+    keep = np.flatnonzero((t >> 32 > 0) & ((passing[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
     of = of[keep]
     k1, at, n, s2, s3 = (b.column(i).to_numpy()[of] for i in range(1, 6))
     return [t[keep], k1, at, (n.astype(np.int64) << 32) | pos[keep], s2, s3]
 
 
 def _prefixes(first: DataFrame) -> DataFrame:
-    return first.where(F.size("prefix") > 0).select("prefix", "k1", "at", "n", "s2", "s3")
+    return first.where(F.octet_length("prefix") > 0).select("prefix", "k1", "at", "n", "s2", "s3")
 
 
 def _rows(first: DataFrame, passing: np.ndarray) -> DataFrame:
@@ -392,6 +417,15 @@ def _rows(first: DataFrame, passing: np.ndarray) -> DataFrame:
     return _prefixes(first).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, those of equal place together: they compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _packed(first: DataFrame, passing: np.ndarray, buckets: int) -> DataFrame:
     """The same rows, as bytes of many at once, dealt into ``buckets`` by token; a bucket's share of a task is one row."""
 
@@ -408,7 +442,7 @@ def _packed(first: DataFrame, passing: np.ndarray, buckets: int) -> DataFrame:
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 c = [x[order] for x in c]
                 some = np.flatnonzero(np.diff(cut))
-                parts = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in some.tolist()], pa.binary()) for x in c]
+                parts = [pa.array([_planes(x[cut[k] : cut[k + 1]]) for k in some.tolist()], pa.binary()) for x in c]
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *parts], names=["bucket", *COLUMNS])
                 held, size = [], 0
         release()
@@ -416,10 +450,11 @@ def _packed(first: DataFrame, passing: np.ndarray, buckets: int) -> DataFrame:
     return _prefixes(first).mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS))
 
 
-def _meet(packed: DataFrame, threshold: Fraction) -> DataFrame:
+def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
     """Pairs of units that share a token and pass the filters: x is the earlier one, (k1, at) and the rest are y's.
 
-    Each unit is compared with the WINDOW earliest of its token, up to ENOUGH candidates. If there
+    Each unit is compared with the ``window`` earliest of its token in each step of sizes that its
+    partners can have, up to ``enough`` candidates. If there
     may be more, a row without x says so; ``_rest`` sees to those where that matters. So of a token's
     rows no more than that need to stay in memory, however many there are.
     """
@@ -427,41 +462,67 @@ def _meet(packed: DataFrame, threshold: Fraction) -> DataFrame:
 
     def compare(c: list[np.ndarray]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
         """The pairs among rows (COLUMNS), and the rows that must stay to be compared with others."""
-        order = np.lexsort((c[2], c[1], c[0]))
-        c = [x[order] for x in c]
+        order = np.lexsort((c[2], c[1]))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        step = np.floor(np.log(c[3] >> 32) / np.log(q / p) + 1e-9).astype(np.int64)  # partners' are one apart at most
+        key = (c[0] << 20) | (step << 1)  # sizes below 2^31 have fewer than 2^19 steps for all but thresholds next to 1
+        order = np.lexsort((place, key))
+        c, key, place = [x[order] for x in c], key[order], place[order]
         token, k1, at, np_, s2, s3 = c
         n, pos = np_ >> 32, np_ & 0xFFFFFFFF
         short = pos < n + (-(2 * p * n) // (p + q)) + 1
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
+        total = len(key)
+        new = np.ones(total, bool)
+        new[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(new)
-        begin = np.repeat(first, np.diff(np.concatenate((first, [len(token)]))))
-        rank = np.arange(len(token)) - begin
-        y = np.arange(len(token))
-        more, given, found = rank > WINDOW, np.zeros(len(token), np.int32), []
-        for j in range(WINDOW):
-            y = y[rank[y] > j]
-            if not len(y):
-                break
-            x = begin[y] + j
-            ok = (np.minimum(n[x], n[y]) * q >= np.maximum(n[x], n[y]) * p) & np.where(n[x] <= n[y], short[x], short[y])
-            u, v = x[ok], y[ok]
-            rest = np.minimum(n[u] - pos[u], n[v] - pos[v]) + np.minimum(pos[u], pos[v])
-            apart = sum(np.bitwise_count((s[u] ^ s[v]).view(np.uint64)).astype(np.int64) for s in (s2, s3))
-            ok = (rest * (p + q) >= (n[u] + n[v]) * p) & (apart * (p + q) <= (n[u] + n[v]) * (q - p))
-            u, v = u[ok], v[ok]
-            if len(v):
-                found.append((u, v))
-                given[v] += 1
-                full = given[y] >= ENOUGH
-                more[y[full & (rank[y] > j + 1)]] = True
+        end = np.concatenate((first[1:], [total]))
+        group = np.cumsum(new) - 1
+        rank = np.arange(total) - first[group]
+        more, given, found = np.zeros(total, bool), np.zeros(total, np.int32), []
+        for apart in (-1, 0, 1):
+            g = np.searchsorted(key[first], key[first] + 2 * apart)
+            g_ = np.minimum(g, len(first) - 1)
+            there = (g < len(first)) & (key[first[g_]] == key[first] + 2 * apart)
+            begin, size = np.where(there, first[g_], 0)[group], np.where(there, end[g_] - first[g_], 0)[group]
+            y = np.flatnonzero((size > 0) & (given < enough) if apart else (rank > 0) & (given < enough))
+            lo = 0
+            for hi in [w for w in (2, 8, 32, 128) if w < window] + [window]:
+                y = y[size[y] > lo]
+                y = y[place[begin[y] + lo] < place[y]]
+                at_once = max(1, PAIRS // (hi - lo))
+                for a in range(0, len(y), at_once):
+                    part = y[a : a + at_once]
+                    many = np.minimum(size[part], hi) - lo
+                    v = np.repeat(part, many)
+                    u = np.arange(len(v)) - np.repeat(np.cumsum(many) - many, many) + begin[v] + lo
+                    both = n[u] + n[v]
+                    wide = both * (q - p) // (p + q)
+                    ok = np.bitwise_count((s2[u] ^ s2[v]).view(np.uint64)) <= wide
+                    ok &= place[u] < place[v]
+                    u, v, both, wide = u[ok], v[ok], both[ok], wide[ok]
+                    ok = np.bitwise_count((s2[u] ^ s2[v]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s3[u] ^ s3[v]).view(np.uint64)) <= wide
+                    ok &= (np.minimum(n[u], n[v]) * q >= np.maximum(n[u], n[v]) * p) & np.where(n[u] <= n[v], short[u], short[v])
+                    rest = np.minimum(n[u] - pos[u], n[v] - pos[v]) + np.minimum(pos[u], pos[v])
+                    ok &= rest * (p + q) >= both * p
+                    u, v = u[ok], v[ok]
+                    if len(v):
+                        found.append((u, v))
+                        np.add.at(given, v, 1)
+                lo = hi
+                y = y[size[y] > lo]
+                y = y[place[begin[y] + lo] < place[y]]
+                full = given[y] >= enough
+                more[y[full]] = True
                 y = y[~full]
+            more[y] = True  # later than window of them
+            more |= (given >= enough) if apart < 1 else False
         u, v = (np.concatenate(s) for s in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         some = np.flatnonzero(more)
         none = np.concatenate([np.zeros(len(u), bool), np.ones(len(some), bool)])
         u, v = np.concatenate([u, some]), np.concatenate([v, some])
         cols = [pa.array(k1[u], mask=none), pa.array(at[u], mask=none), pa.array(k1[v]), pa.array(at[v]), *(pa.array(a[v], mask=~none) for a in (token, np_, s2, s3))]
-        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3"]), [x[rank <= WINDOW] for x in c]
+        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3"]), [x[rank <= window] for x in (token, k1, at, np_, s2, s3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -477,7 +538,7 @@ def _meet(packed: DataFrame, threshold: Fraction) -> DataFrame:
                     most = max(MOST, 2 * size)
                 bucket = k
                 if b is not None:
-                    held.append([np.frombuffer(b.column(j + 1)[i].as_buffer(), np.int64) for j in range(len(COLUMNS))])
+                    held.append([_numbers(b.column(j + 1)[i]) for j in range(len(COLUMNS))])
                     size += len(held[-1][0])
         release()
 
@@ -550,12 +611,15 @@ def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, kind: Kind, t
     """The pairs whose real tokens reach the threshold."""
     p, q = threshold.numerator, threshold.denominator
     ends = pairs.select(F.col("xk1").alias("k1"), F.col("xat").alias("at")).unionByName(pairs.select("k1", "at")).distinct()
-    raw = written(first.select("k1", "at", "raw").join(ends, ["k1", "at"], "left_semi"), "ends")
-    members = written(raw.join(_members(base, _marks(raw), kind), "raw").select("k1", "at", "tokens"), "members")
+    ends = written(ends, "ends")
+    maybe, _ = sieved(first.select("k1", "at", "raw", "s1", "s2", "s3"), ends, "k1", "at")
+    raw = written(maybe.join(ends, ["k1", "at"], "left_semi"), "raw")
+    members = written(raw.join(_members(base, _marks(raw), kind), "raw").select("k1", "at", "s1", "s2", "s3", "tokens"), "members")
     x = members.select(F.col("k1").alias("xk1"), F.col("at").alias("xat"), F.col("tokens").alias("x"))
     both = F.size(F.array_intersect("x", "tokens"))
     links = pairs.join(x, ["xk1", "xat"]).join(members, ["k1", "at"]).where(both * (p + q) >= (F.size("x") + F.size("tokens")) * p)
-    links = written(links.select("xk1", "xat", "k1", "at"), "links")
+    links = written(links.select("xk1", "xat", "k1", "at", "s1", "s2", "s3"), "links")
+    delete(ends)
     delete(raw)
     delete(members)
     return links
@@ -566,10 +630,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), "text")
 
 
-def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = False, window: int = WINDOW, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(every unit, its different sets at their earliest places, links between those).
 
-    A link is (xk1, xat, k1, at), x earlier. Links given are true ones, and enough: every set with
+    A link is (xk1, xat, k1, at, and that set's s1, s2, s3), x earlier. Links given are true ones, and enough: every set with
     an earlier partner has such a link; with ``connect``, sets connected by any links are
     connected by these. So a family of near copies gives links in proportion to its size.
     """
@@ -578,7 +642,7 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
     sets = written(unit_sets(base, kind, threshold, rarity(base, kind)), "sets")
     first = written(first_places(sets), "first")
     buckets = 4 * n_tasks(base.sparkSession)
-    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold), "found")
+    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold, window, enough), "found")
     links = _verified(base, first, written(found.where("xk1 is not null").select("xk1", "xat", "k1", "at").distinct(), "pairs"), kind, threshold)
     more = found.where("xk1 is null")
     of = None
