@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts lineage so that a lost executor costs a read, not the whole history. Returned frames
-    carry ``_gritstone_path`` so that loops can delete what they no longer need.
+    carry ``_gritstone_path`` so that loops can delete what they no longer need. ``snappy`` suits hashes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gritstone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     gc.collect()  # frames this result no longer needs let go of their shuffle files, on the executors too
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ BLOCKS = 64  # rows in which a sketch or filter reaches the driver
 AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
 REMEMBER = 200_000  # units a task remembers, so as to give their prefix once
 WINDOW = 1024  # earliest units of a token and size that others of it are compared with at first
-ENOUGH = 16  # candidates of a unit and token given at first
+ENOUGH = 6  # candidates of a unit and token given at first
 MOST = 1 << 20  # rows of a bucket compared at once
 PAIRS = 1 << 18  # pairs of rows compared at once
 RUN = 1 << 18  # rows of a stretch of tokens
@@ -54,7 +54,7 @@ def mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(raw: np.ndarray, breaks: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, breaks: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first byte) of the words of ``raw``, which end at ASCII white space and before each of ``breaks``."""
     n = len(raw)
     ink = (raw != 32) & ((raw < 9) | (raw > 13))
@@ -103,21 +103,22 @@ def lines_of(texts: pa.Array, whole: bool = True) -> Units:
     """Lines (between line feeds) that have words; a line's tokens are its words."""
     raw, offsets = _bytes(texts)
     h, start = word_hashes(raw, offsets)
-    row = np.searchsorted(offsets, start, side="right") - 1
+    none = np.zeros(0, np.int64)
+    if not whole:
+        return Units(h, none, none, none, none)
     ends = np.flatnonzero(raw == 10)
-    before = np.searchsorted(ends, start)
+    edge = np.union1d(np.searchsorted(start, ends), np.searchsorted(start, offsets))  # numbers of words at which a line may begin
+    at = edge[edge < len(h)]
+    row = np.searchsorted(offsets, start[at], side="right") - 1
+    before = np.searchsorted(ends, start[at])
     line = before - np.searchsorted(ends, offsets[:-1])[row]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-    at = np.flatnonzero(new)
-    row, line, before = row[at], line[at], before[at]
     hashes = np.zeros(0, np.uint64)
-    if whole and len(at):
+    if len(at):
         first = np.maximum(offsets[row], np.concatenate(([0], ends + 1))[before])
         last = np.minimum(offsets[row + 1], np.concatenate((ends, [len(raw)]))[before])
         view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
         hashes = np.array([digest(view[a:z]) for a, z in zip(first.tolist(), last.tolist())], dtype=np.uint64)
-    return Units(h, np.cumsum(new) - 1, row, line, hashes)
+    return Units(h, np.repeat(np.arange(len(at)), np.diff(np.concatenate((at, [len(h)])))), row, line, hashes)
 
 
 def shingles_of(width: int) -> Callable[[pa.Array, bool], Units]:
@@ -611,14 +612,14 @@ def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, kind: Kind, t
     """The pairs whose real tokens reach the threshold."""
     p, q = threshold.numerator, threshold.denominator
     ends = pairs.select(F.col("xk1").alias("k1"), F.col("xat").alias("at")).unionByName(pairs.select("k1", "at")).distinct()
-    ends = written(ends, "ends")
+    ends = written(ends, "ends", "snappy")
     maybe, _ = sieved(first.select("k1", "at", "raw", "s1", "s2", "s3"), ends, "k1", "at")
-    raw = written(maybe.join(ends, ["k1", "at"], "left_semi"), "raw")
-    members = written(raw.join(_members(base, _marks(raw), kind), "raw").select("k1", "at", "s1", "s2", "s3", "tokens"), "members")
+    raw = written(maybe.join(ends, ["k1", "at"], "left_semi"), "raw", "snappy")
+    members = written(raw.join(_members(base, _marks(raw), kind), "raw").select("k1", "at", "s1", "s2", "s3", "tokens"), "members", "snappy")
     x = members.select(F.col("k1").alias("xk1"), F.col("at").alias("xat"), F.col("tokens").alias("x"))
     both = F.size(F.array_intersect("x", "tokens"))
     links = pairs.join(x, ["xk1", "xat"]).join(members, ["k1", "at"]).where(both * (p + q) >= (F.size("x") + F.size("tokens")) * p)
-    links = written(links.select("xk1", "xat", "k1", "at", "s1", "s2", "s3"), "links")
+    links = written(links.select("xk1", "xat", "k1", "at", "s1", "s2", "s3"), "links", "snappy")
     delete(ends)
     delete(raw)
     delete(members)
@@ -639,20 +640,20 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    sets = written(unit_sets(base, kind, threshold, rarity(base, kind)), "sets")
-    first = written(first_places(sets), "first")
+    sets = written(unit_sets(base, kind, threshold, rarity(base, kind)), "sets", "snappy")
+    first = written(first_places(sets), "first", "snappy")
     buckets = 4 * n_tasks(base.sparkSession)
-    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold, window, enough), "found")
-    links = _verified(base, first, written(found.where("xk1 is not null").select("xk1", "xat", "k1", "at").distinct(), "pairs"), kind, threshold)
+    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold, window, enough), "found", "snappy")
+    links = _verified(base, first, written(found.where("xk1 is not null").select("xk1", "xat", "k1", "at").distinct(), "pairs", "snappy"), kind, threshold)
     more = found.where("xk1 is null")
     of = None
     if connect:
         of = components(links.select(F.xxhash64("xk1", "xat").alias("a"), F.xxhash64("k1", "at").alias("b")))
     else:
         more = more.join(links.select("k1", "at").distinct(), ["k1", "at"], "left_anti")
-    more = written(more, "more")
+    more = written(more, "more", "snappy")
     if not more.isEmpty():
-        rest = written(_rest(more, _rows(first, _filter(more.select("token"), 1)), threshold, of), "rest")
+        rest = written(_rest(more, _rows(first, _filter(more.select("token"), 1)), threshold, of), "rest", "snappy")
         links = links.unionByName(_verified(base, first, rest, kind, threshold))
     delete(found)
     return sets, first, links
