@@ -502,13 +502,14 @@ def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough:
                     ok = np.bitwise_count((s2[u] ^ s2[v]).view(np.uint64)) <= wide
                     ok &= place[u] < place[v]
                     u, v, both, wide = u[ok], v[ok], both[ok], wide[ok]
-                    ok = np.bitwise_count((s2[u] ^ s2[v]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s3[u] ^ s3[v]).view(np.uint64)) <= wide
+                    far = np.bitwise_count((s2[u] ^ s2[v]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s3[u] ^ s3[v]).view(np.uint64))
+                    ok = far <= wide
                     ok &= (np.minimum(n[u], n[v]) * q >= np.maximum(n[u], n[v]) * p) & np.where(n[u] <= n[v], short[u], short[v])
                     rest = np.minimum(n[u] - pos[u], n[v] - pos[v]) + np.minimum(pos[u], pos[v])
                     ok &= rest * (p + q) >= both * p
                     u, v = u[ok], v[ok]
                     if len(v):
-                        found.append((u, v))
+                        found.append((u, v, far[ok]))
                         np.add.at(given, v, 1)
                 lo = hi
                 y = y[size[y] > lo]
@@ -518,12 +519,12 @@ def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough:
                 y = y[~full]
             more[y] = True  # later than window of them
             more |= (given >= enough) if apart < 1 else False
-        u, v = (np.concatenate(s) for s in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        u, v, far = (np.concatenate(s) for s in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         some = np.flatnonzero(more)
         none = np.concatenate([np.zeros(len(u), bool), np.ones(len(some), bool)])
         u, v = np.concatenate([u, some]), np.concatenate([v, some])
-        cols = [pa.array(k1[u], mask=none), pa.array(at[u], mask=none), pa.array(k1[v]), pa.array(at[v]), *(pa.array(a[v], mask=~none) for a in (token, np_, s2, s3))]
-        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3"]), [x[rank <= window] for x in (token, k1, at, np_, s2, s3)]
+        cols = [pa.array(k1[u], mask=none), pa.array(at[u], mask=none), pa.array(k1[v]), pa.array(at[v]), *(pa.array(a[v], mask=~none) for a in (token, np_, s2, s3)), pa.array(np.concatenate([far, some]), mask=none)]
+        return pa.RecordBatch.from_arrays(cols, names=["xk1", "xat", "k1", "at", "token", "np", "s2", "s3", "far"]), [x[rank <= window] for x in (token, k1, at, np_, s2, s3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -543,7 +544,7 @@ def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough:
                     size += len(held[-1][0])
         release()
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "xk1 long, xat long, k1 long, at long, token long, np long, s2 long, s3 long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "xk1 long, xat long, k1 long, at long, token long, np long, s2 long, s3 long, far long")
 
 
 def _rest(found: DataFrame, rows: DataFrame, threshold: Fraction, apart_from: DataFrame | None) -> DataFrame:
@@ -569,7 +570,7 @@ def _rest(found: DataFrame, rows: DataFrame, threshold: Fraction, apart_from: Da
             side = side.withColumn(f"{v}c", F.coalesce(f"{v}c", f"{v}node")).drop(f"{v}node")
             x, y = (side, y) if v == "x" else (x, side)
         ok = ok & (F.col("xc") != F.col("yc"))
-    return x.join(y.hint("merge"), "token").where(ok).select("xk1", "xat", F.col("yk1").alias("k1"), F.col("yat").alias("at")).distinct()
+    return x.join(y.hint("merge"), "token").where(ok).select("xk1", "xat", F.col("yk1").alias("k1"), F.col("yat").alias("at"), apart.alias("far")).distinct()
 
 
 def _marks(raw: DataFrame) -> np.ndarray:
@@ -608,18 +609,32 @@ def _members(base: DataFrame, wanted: np.ndarray, kind: Kind) -> DataFrame:
     return base.select("text").mapInArrow(run, "raw long, tokens array<long>").dropDuplicates(["raw"])
 
 
-def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, kind: Kind, threshold: Fraction) -> DataFrame:
-    """The pairs whose real tokens reach the threshold."""
+def _verified(base: DataFrame, first: DataFrame, pairs: DataFrame, kind: Kind, threshold: Fraction, all_of: bool) -> DataFrame:
+    """The pairs whose real tokens reach the threshold; unless ``all_of``, of each y whose likeliest pair does only that.
+
+    Only texts that may hold one of the pairs' units are read in Python, and none moves.
+    """
     p, q = threshold.numerator, threshold.denominator
-    ends = pairs.select(F.col("xk1").alias("k1"), F.col("xat").alias("at")).unionByName(pairs.select("k1", "at")).distinct()
-    ends = written(ends, "ends", "snappy")
+    ends = written(pairs.select(F.col("xk1").alias("k1"), F.col("xat").alias("at")).unionByName(pairs.select("k1", "at")).distinct(), "ends", "snappy")
     maybe, _ = sieved(first.select("k1", "at", "raw", "s1", "s2", "s3"), ends, "k1", "at")
     raw = written(maybe.join(ends, ["k1", "at"], "left_semi"), "raw", "snappy")
-    members = written(raw.join(_members(base, _marks(raw), kind), "raw").select("k1", "at", "s1", "s2", "s3", "tokens"), "members", "snappy")
+    members = raw.join(_members(sieved(base, ends, "k1")[0], _marks(raw), kind), "raw").select("k1", "at", "s1", "s2", "s3", "tokens")
+    members = written(members, "members", "snappy")
     x = members.select(F.col("k1").alias("xk1"), F.col("at").alias("xat"), F.col("tokens").alias("x"))
     both = F.size(F.array_intersect("x", "tokens"))
-    links = pairs.join(x, ["xk1", "xat"]).join(members, ["k1", "at"]).where(both * (p + q) >= (F.size("x") + F.size("tokens")) * p)
-    links = written(links.select("xk1", "xat", "k1", "at", "s1", "s2", "s3"), "links", "snappy")
+
+    def true(pairs: DataFrame) -> DataFrame:
+        links = pairs.select("xk1", "xat", "k1", "at").join(x, ["xk1", "xat"]).join(members, ["k1", "at"])
+        links = links.where(both * (p + q) >= (F.size("x") + F.size("tokens")) * p)
+        return written(links.select("xk1", "xat", "k1", "at", "s1", "s2", "s3"), "links", "snappy")
+
+    if all_of:
+        links = true(pairs)
+    else:
+        best = pairs.groupBy("k1", "at").agg(F.min(F.struct("far", "xk1", "xat")).alias("x")).select("x.xk1", "x.xat", "k1", "at")
+        links = true(best)
+        others = pairs.join(links.select("k1", "at"), ["k1", "at"], "left_anti")
+        links = links.unionByName(true(others))
     delete(ends)
     delete(raw)
     delete(members)
@@ -644,7 +659,9 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
     first = written(first_places(sets), "first", "snappy")
     buckets = 4 * n_tasks(base.sparkSession)
     found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold, window, enough), "found", "snappy")
-    links = _verified(base, first, written(found.where("xk1 is not null").select("xk1", "xat", "k1", "at").distinct(), "pairs", "snappy"), kind, threshold)
+    place = ["xk1", "xat", "k1", "at"]
+    pairs = written(found.where("xk1 is not null").groupBy(place).agg(F.min("far").alias("far")), "pairs", "snappy")
+    links = _verified(base, first, pairs, kind, threshold, connect)
     more = found.where("xk1 is null")
     of = None
     if connect:
@@ -654,6 +671,6 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
     more = written(more, "more", "snappy")
     if not more.isEmpty():
         rest = written(_rest(more, _rows(first, _filter(more.select("token"), 1)), threshold, of), "rest", "snappy")
-        links = links.unionByName(_verified(base, first, rest, kind, threshold))
+        links = links.unionByName(_verified(base, first, rest, kind, threshold, connect))
     delete(found)
     return sets, first, links
