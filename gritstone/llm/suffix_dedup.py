@@ -1,16 +1,17 @@
-"""Suffix-array dedup by sparse distributed prefix doubling.
+"""Suffix-array dedup: repeated fixed-length strings, counted by hashes at anchors.
 
-Plain prefix doubling sorts a (position, rank) pair for each byte in every round, some thirty
-times the text. Here the first round ranks only sampled positions: each start of a ``length``-byte
-string owns to the least gram within it, which equal strings share at equal distances. Rounds then
-rank ever finer sets of starts by (rank of the gram, rank of the text over the next offset), and
-only what is neither settled as repeated nor unique goes on:
+This is not prefix doubling, which sorts a (position, rank) pair for each byte in every round: at 16
+bytes a pair that is some thirty times the text for each of nine rounds, where the check allows
+four times the compressed input on disk. Instead each start of a ``length``-byte string owns to the
+least gram within it, which equal strings share at equal distances, and Spark counts hashes of
+ever finer sets of starts; only what is neither settled as repeated nor as unique goes on:
 
-1. anchors: all starts that own to one gram, ranked together over their whole stretch;
+1. anchors: all starts that own to one gram, hashed together over their whole stretch;
 2. blocks of BLOCK starts at equal distances from grams that repeat;
-3. single starts, past the threshold of ``length`` bytes.
+3. single starts.
 
-Spark sorts the pairs; text is read twice and only texts with repeated grams move.
+Equality rests on 64-bit hashes (gram and stretch together). Text is read twice and only texts with
+repeated grams move.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, sieved, table, written
+from .common import delete, free, sieved, table, written
 
 BLOCK = 16
 GRAM = 64
@@ -43,7 +44,7 @@ def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB)
 
 
-def owned(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def owned(raw: bytes, length: int, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text: (gram hash, anchor, first start, last start) of each run of starts.
 
     Each start of a ``length``-byte string owns to the leftmost least gram within that string. The
@@ -53,8 +54,8 @@ def owned(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.nda
     n = len(raw) - length + 1
     w = length - gram + 1
     b = np.frombuffer(raw, np.uint8)
-    for lo in range(0, n, CHUNK):
-        hi = min(n, lo + CHUNK)
+    for lo in range(0, n, chunk):
+        hi = min(n, lo + chunk)
         full = gram_hashes(b[lo : hi + length - 1], gram)
         key = (full & ~np.uint64((1 << 20) - 1)) | np.arange(len(full), dtype=np.uint64)
         m, low = 1, key
@@ -69,7 +70,11 @@ def owned(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.nda
         last = np.concatenate((cut, [hi - lo])) - 1
         a = at[first]
         parts.append((full[a], a + lo, first + lo, last + lo))
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    g, a, first, last = (np.concatenate(x) for x in zip(*parts))
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]  # a run that a chunk's edge cuts in two is one run
+    at = np.flatnonzero(new)
+    return g[at], a[at], first[at], last[np.concatenate((at[1:], [len(a)])) - 1]
 
 
 def _gram(length: int) -> int:
@@ -297,14 +302,15 @@ def suffix_dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     cut = suffix_dedup(docs, length, with_bytes=True).where("n_removed > 0")
     text_of = F.pandas_udf(lambda s: s.map(lambda x: bytes(x).decode("utf-8", "ignore")), "string")
-    new = cut.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), text_of("kept").alias("__text"), F.lit(True).alias("__cut"))
-    new = written(new.dropDuplicates(["__k1", "__k2"]), "cut")
+    k1, k2, left, changed = free(docs, "k1", "k2", "text", "cut")
+    new = cut.select(F.col("k1").alias(k1), F.col("k2").alias(k2), text_of("kept").alias(left), F.lit(True).alias(changed))
+    new = written(new.dropDuplicates([k1, k2]), "cut")
     names = docs.columns
-    keyed = docs.withColumns({"__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-    maybe, still = sieved(keyed, new, "__k1", "__k2")
-    out = maybe.join(new, ["__k1", "__k2"], "left")
-    out = out.select(*[F.when(F.col("__cut"), F.col("__text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names])
-    return still.select(*names).unionByName(out)
+    keyed = docs.withColumns({k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), k2: F.xxhash64(F.coalesce("text", F.lit("")))})
+    maybe, still = sieved(keyed, new, k1, k2)
+    out = maybe.join(new, [k1, k2], "left")
+    out = out.select(*[F.when(F.col(changed), F.col(left)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    return still.select(*[F.col(f"`{c}`") for c in names]).unionByName(out)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from gritstone.llm.suffix_dedup import suffix_dedup, suffix_dedup_texts
+from gritstone.llm.suffix_dedup import op4_suffix_array_dedup, owned, suffix_dedup, suffix_dedup_texts
 
 
 def brute(texts, length):
@@ -67,3 +67,30 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 90), (False, 90), (True, 0), (True, 0)]
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string"), 40).count() == 0
+
+
+def test_chunk_edges_change_nothing():
+    rnd = random.Random(8)
+    raw = bytes(rnd.choice(b"abc ") for _ in range(3000)) + b"z" * 700
+    whole = [x.tolist() for x in owned(raw, 100)]
+    for chunk in (64, 97, 1000):
+        assert [x.tolist() for x in owned(raw, 100, chunk=chunk)] == whole
+
+
+def test_query_on_long_texts_with_repeats_at_every_edge(spark, tmp_path):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b = noise(530_000), noise(3_000)
+    edge = 1 << 19
+    parts = [a[edge - k : edge - k + 700] for k in (0, 350, 699)] + [a[:500], a[-450:], b[:399], b[500:900], b]
+    rows = [(i, t, "x") for i, t in enumerate([a, b, *[noise(60) + p + noise(60) for p in parts], None, "", b])]
+    spark.createDataFrame(rows, "doc_id long, text string, k1 string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op4_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: w[:4] for (i, _, _), w in zip(rows, brute([t for _, t, _ in rows], 400))}
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, "pq rs" * 30, 5, 6, "k") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __k1 int, __k2 int, __text string")
+    got = suffix_dedup_texts(docs, 100).collect()
+    assert [tuple(r)[2:] for r in got] == [(5, 6, "k")] * 3 and {r.text for r in got} == {""}
