@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sieved, table, written
+from .common import free, sieved, table, written
 from .components import components
 
 SEED = 42
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, id_type: str = "long") -> DataFrame:
     """(doc_id, fp long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +48,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    ids = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).alias("text"))
+    return ids.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def hamming_links(fps: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
@@ -74,6 +74,15 @@ def hamming_links(fps: DataFrame, max_bits: int = 3, segments: int = 2) -> DataF
     return probe.join(index.hint("merge"), ["seg", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def _components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint: the smallest doc_id it is connected to."""
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    comp = components(hamming_links(nodes.select("fp"), max_bits)).withColumnRenamed("id", "fp")
+    named = nodes.join(comp, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return named.join(first, "component").select("fp", "component_id")
+
+
 def simhash_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3
 ) -> DataFrame:
@@ -84,23 +93,25 @@ def simhash_dedup(
     and never give a component its id; repeated rows each give a row; an empty table gives none.
     """
     fps = written(fingerprints(docs, id_col, text_col, width), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    comp = components(hamming_links(nodes.select("fp"), max_bits)).withColumnRenamed("id", "fp")
-    named = nodes.join(comp, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = named.join(first, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_components(fps, max_bits), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def simhash_filter(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
 
-    All columns are kept. Rows with a null id stay only in a component without other ids.
+    All columns are kept. Rows with a null id stay only in a component without other ids; of rows
+    that share an id, each is judged by its own text.
     """
-    found = simhash_dedup(docs, "doc_id", "text", width, max_bits)
-    drop = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "drop")
-    maybe, rest = sieved(docs.withColumn("__id", F.col("doc_id").cast("long")), drop, "__id")
-    return rest.unionByName(maybe.join(drop.withColumnRenamed("__id", "__drop"), F.col("__id").eqNullSafe(F.col("__drop")), "left_anti")).drop("__id")
+    k1, k2 = free(docs, "k1", "k2")
+    place = {k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), k2: F.xxhash64(F.coalesce("text", F.lit("")))}
+    docs_ = docs.withColumns(place)
+    # one id may have several texts: the place of each row in the search is (id, text)
+    fps = written(fingerprints(docs_.select(F.struct(k1, k2).alias("place"), "text"), "place", "text", width, "struct<k1: long, k2: long>"), "fps")
+    comp = written(_components(fps.select(F.col("doc_id.k1").alias("doc_id"), "fp"), max_bits), "comp")
+    drop = fps.join(comp, "fp").where(F.col("doc_id.k1") != F.col("component_id"))
+    drop = written(drop.select(F.col("doc_id.k1").alias(k1), F.col("doc_id.k2").alias(k2)).distinct(), "drop")
+    maybe, rest = sieved(docs_, drop, k1, k2)
+    return rest.unionByName(maybe.join(drop, [k1, k2], "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

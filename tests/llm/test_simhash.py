@@ -78,3 +78,12 @@ def test_links_meet_all_pairs_of_small_distance(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_dedup(empty).count() == 0 and simhash_filter(empty).agg(F.count("*")).first()[0] == 0
+
+
+def test_filter_judges_rows_of_one_id_by_their_texts(spark):
+    from gritstone.llm.simhash import simhash_filter
+
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text, 1), (5, text, 2), (5, "quite another text of its own", 3)]
+    got = simhash_filter(spark.createDataFrame(rows, "doc_id long, text string, __id int"))
+    assert got.columns == ["doc_id", "text", "__id"] and sorted(r["__id"] for r in got.collect()) == [1, 3]
