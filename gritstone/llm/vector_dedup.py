@@ -52,19 +52,19 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _leaves(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Row numbers of leaves of LEAF rows at most, halved along random directions."""
+def _leaves(x: np.ndarray, rng: np.random.Generator, leaf: int) -> Iterator[np.ndarray]:
+    """Row numbers of leaves of ``leaf`` rows at most, halved along random directions."""
     todo = [np.arange(len(x))]
     while todo:
         at = todo.pop()
-        if len(at) <= LEAF:
+        if len(at) <= leaf:
             yield at
             continue
         order = at[np.argsort(x[at] @ rng.standard_normal(x.shape[1]), kind="stable")]
         todo += [order[: len(at) // 2], order[len(at) // 2 :]]
 
 
-def _tree(reps: DataFrame, seed: int, k: int, threshold: float, centres: dict, bits: int) -> DataFrame:
+def _tree(reps: DataFrame, seed: int, k: int, threshold: float, centres: dict, bits: int, leaf: int) -> DataFrame:
     """(u, w, sim) pairs, u < w: each vector's ``k`` nearest in its leaf of one tree, and all at the threshold."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _tree(reps: DataFrame, seed: int, k: int, threshold: float, centres: dict, b
             dim = t.column("dim")[0].as_py()
             x = _unit(t.column("v").combine_chunks(), dim)
             ids = t.column("id").to_numpy()
-            for at in _leaves(x, np.random.default_rng([seed, n])):
+            for at in _leaves(x, np.random.default_rng([seed, n]), leaf):
                 s = x[at] @ x[at].T
                 np.fill_diagonal(s, -2.0)
                 keep = s >= threshold
@@ -150,9 +150,16 @@ def _local_join(lists: DataFrame, reps: DataFrame, members: int, seed: int, thre
     return rows.repartition("mid").sortWithinPartitions("mid").mapInArrow(run, "u long, w long, sim double").dropDuplicates(["u", "w"])
 
 
-def _recall(links: DataFrame, reps: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of ``queries`` vectors, found by brute force against all, that are in ``links``."""
-    asked = reps.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(queries).toArrow()  # `queries` vectors at most
+def _recall(links: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: float, queries: int) -> float:
+    """Share of the true links of ``queries`` vectors, found by brute force against all, that are in ``links``.
+
+    Half of the vectors are among those whose nearest known neighbour is at the threshold or next to it.
+    """
+    some = lambda df, n: df.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n)
+    close = pairs.where(F.col("sim") >= threshold - 0.02)
+    close = close.select(F.col("u").alias("id")).unionByName(close.select(F.col("w").alias("id"))).distinct()
+    asked = some(reps.join(close, "id", "left_semi"), queries // 2).unionByName(some(reps, queries - queries // 2)).dropDuplicates(["id"])
+    asked = asked.toArrow()  # `queries` vectors at most
     if not asked.num_rows:
         return 1.0
     ids, labels, dims = (asked.column(c).to_numpy() for c in ("id", "label", "dim"))
@@ -218,7 +225,7 @@ def _exact(reps: DataFrame, size: DataFrame, threshold: float) -> DataFrame:
 
 def vector_dedup(
     vectors: DataFrame, threshold: float = 0.98, k: int = 6, trees: int = 3, max_rounds: int = 6, recall: float = 0.98,
-    queries: int = 400, sample: int = 5_000, id_col: str = "vec_id",
+    queries: int = 400, sample: int = 5_000, leaf: int = LEAF, id_col: str = "vec_id",
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; vectors link within a label at a cosine of ``threshold``.
 
@@ -235,10 +242,16 @@ def vector_dedup(
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = _valid() & F.col("vec_id").isNotNull()
-    classes = written(rows.where(fine).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")), "classes")
-    reps = written(classes.select("id", "label", F.size("embedding").cast("int").alias("dim"), F.col("embedding").alias("v")).dropDuplicates(["id"]), "reps")
+    per = rows.where(fine).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
+    for seed in range(20):  # a class's id is a hash of label and vector; no two classes may share one
+        classes = written(per.withColumn("id", F.xxhash64(F.lit(seed), "label", "embedding")), "classes")
+        if classes.groupBy("id").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("classes of vectors could not be told apart")
+    reps = written(classes.select("id", "label", F.size("embedding").cast("int").alias("dim"), F.col("embedding").alias("v")), "reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits = min(20, max(0, math.ceil(math.log2(max(1, largest) / (2 * LEAF)))))
+    bits = min(20, max(0, math.ceil(math.log2(max(1, largest) / (2 * leaf)))))
     seen = reps.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()  # `sample` vectors at most
     groups: dict[tuple[int, int], list[int]] = {}
     for i, key in enumerate(zip(seen.column("label").to_pylist(), seen.column("dim").to_pylist())):
@@ -249,7 +262,7 @@ def vector_dedup(
     keep = ["u", "w", "sim"]
     pairs = None
     for t in range(trees):
-        one = _tree(reps, t, k, threshold, centres, bits)
+        one = _tree(reps, t, k, threshold, centres, bits, leaf)
         pairs = one if pairs is None else pairs.unionByName(one)
     pairs = written(pairs.dropDuplicates(["u", "w"]), "pairs")
     longest = 2 * k
@@ -266,16 +279,16 @@ def vector_dedup(
         links = pairs.where(F.col("sim") >= threshold)
         after = links.count()
         if after - before <= 0.005 * after:
-            done = _recall(links, reps, threshold, queries) >= recall
+            done = _recall(links, pairs, reps, threshold, queries) >= recall
             if done:
                 break
-            extra = _tree(reps, trees + n, k, threshold, centres, bits)
+            extra = _tree(reps, trees + n, k, threshold, centres, bits, leaf)
             nxt = written(pairs.select(keep).unionByName(extra.select(keep)).dropDuplicates(["u", "w"]), "pairs")
             delete(pairs)
             pairs = nxt
     else:  # what the last round or its tree added counts too
-        done = _recall(pairs.where(F.col("sim") >= threshold), reps, threshold, queries) >= recall
-    size = classes.groupBy("id").agg(F.sum("size").alias("size"))
+        done = _recall(pairs.where(F.col("sim") >= threshold), pairs, reps, threshold, queries) >= recall
+    size = classes.select("id", "size")
     if done:
         links = written(pairs.where(F.col("sim") >= threshold).select("u", "w"), "links")
         delete(pairs)
@@ -287,10 +300,9 @@ def vector_dedup(
         exact = written(_exact(reps, size, threshold), "exact")
         degree = exact.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
         comp = components(exact.select("a", "b"))
-    known = (
-        classes.join(degree, "id", "left").join(comp, "id", "left")
-        .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
+    known = classes.join(degree, "id", "left").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    known = known.join(least, "component").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     linked = rows.where(fine).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -31,8 +31,7 @@ def brute(rows, threshold=0.98):
 
 
 @pytest.mark.parametrize("leaf", [1024, 32])
-def test_matches_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(module, "LEAF", leaf)
+def test_matches_brute_force(spark, leaf):
     rng = np.random.default_rng(leaf)
     rows = []
     for y in (0, 1, None):
@@ -44,7 +43,7 @@ def test_matches_brute_force(spark, monkeypatch, leaf):
     rows += [(0, None, 0), (0, [], 0), (0, [0.0] * 16, 0), (0, [1.0, None] * 8, 0), (0, [float("nan")] * 16, 0), (0, [1.0, 0.0], 0), (0, [1.0, 0.01], 0)]
     rows = [(int(i), v, y) for i, (_, v, y) in zip(rng.permutation(len(rows)), rows)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, id string").repartition(3)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup(frame).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup(frame, leaf=leaf).collect()}
     want = brute(rows)
     found, true = sum(g[0] for g in got.values()), sum(w[0] for w in want.values())
     assert got.keys() == want.keys() and all(got[i][0] <= want[i][0] for i in want)
@@ -57,12 +56,17 @@ def test_empty_table(spark):
 
 
 def test_a_dense_group_beyond_the_lists_is_whole(spark, monkeypatch):
-    monkeypatch.setattr(module, "LEAF", 8)
     monkeypatch.setattr(module, "BLOCK", 100, raising=False)
     rng = np.random.default_rng(3)
     c = rng.standard_normal(16)
     vectors = [(c + rng.standard_normal(16) * 0.05).tolist() for _ in range(300)] + [rng.standard_normal(16).tolist() for _ in range(30)]
     rows = [(int(i), v, int(i % 7 == 0)) for i, v in zip(rng.permutation(len(vectors)), vectors)] + [(900, vectors[0], 0), (901, vectors[0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup(frame, trees=1, max_rounds=1).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup(frame, trees=1, max_rounds=1, leaf=8).collect()}
     assert got == brute(rows)
+
+
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (7, [1.0, 0.01], 0)]
+    got = vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 0, 5), (5, 1, 5), (7, 1, 5)]
