@@ -7,12 +7,13 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .common import table
+from .common import free, table
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "space", "stops", "symbols", "non_ascii", "letters",
@@ -100,18 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, target: str
     return fit(x, np.array([r.y for r in rows], dtype=np.float64), **options)
 
 
-def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """``docs`` with a score double: how likely label 1 is. Texts never leave their partition."""
-    names = docs.columns
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, `__score` double"
-    at = names.index("text")
+def score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, a double: how likely label 1 is. Texts never leave their partition."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(at)], dtype=np.float64).reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.probability(x))], names=[*names, "__score"])
+    def run(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
+        return pd.Series(forest.probability(x))
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(name, F.pandas_udf(run, "double")("text"))  # only texts go to Python
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000) -> DataFrame:
@@ -134,7 +131,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns."""
     forest = train(docs, labels, sample)
-    return score(docs, forest).where(F.col("__score") >= threshold).drop("__score")
+    (name,) = free(docs, "score")
+    return score(docs, forest, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,8 @@ def test_query_and_stage_take_short_lines(spark, tmp_path):
     assert {r.doc_id: r.text for r in op5_line_dedup(spark, str(tmp_path)).collect()} == want
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == want
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, "z"), (2, "c b a\nd", 7, 8, "z")], "doc_id long, text string, __k1 int, __lines int, __k2 string")
+    assert sorted(tuple(r) for r in line_dedup(docs).collect()) == [(1, "a b c", 7, 8, "z"), (2, "d", 7, 8, "z")]
