@@ -17,9 +17,16 @@ COMPONENTS = (
     "webserver", "api", "model", "database", "migration",
 )
 TEMPLATE_LINES = (
-    "contributor license agreements", "you may not use this file except in compliance", "thank you for contributing",
+    "licensed to the apache software foundation", "contributor license agreements", "you may not use this file except in compliance", "thank you for contributing",
     "pull request guidelines", "read the pull request guidelines", "add meaningful description above",
 )
+DUPLICATE_WORDS = ("duplicate", "dupe of", "closing as duplicate", "superseded by")
+INVALID_WORDS = ("wontfix", "won't fix", "invalid", "not a bug", "by design", "works as intended")
+DUPLICATE_REASON = "This was closed as a duplicate or superseded report, so it does not define a new repository code-change task."
+INVALID_REASON = "Maintainers marked this invalid, by design, or otherwise not requiring a code change."
+UNLINKED_REASON = (
+    "This ticket was closed without a linked fixing PR in the source data, so this training label is NO (context snippet: %s)."
+)
 
 
 def _numbers(text: Column, pattern: str) -> Column:
@@ -47,7 +54,8 @@ def link_text(body: Column, comments: Column) -> Column:
 
 
 def strip_closure_signals(text: Column) -> Column:
-    """F-6: signals of the outcome become [STRIPPED], in order."""
+    """F-6: signals of the outcome become [STRIPPED], in order; null is empty."""
+    text = F.coalesce(text, F.lit(""))
     for p in CLOSURE_SIGNALS:
         text = F.regexp_replace(text, p, "[STRIPPED]")
     return text
@@ -98,9 +106,9 @@ def no_change_reason(title: Column, body: Column) -> Column:
     head = F.left(hint, F.lit(137))
     cut = F.when(F.length(hint) > 140, F.concat(F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.*) ", 1), F.lit("")), head), F.lit("."))).otherwise(hint)
     return (
-        F.when(any_of(("duplicate", "dupe of", "closing as duplicate", "superseded by")), F.lit("duplicate"))
-        .when(any_of(("wontfix", "won't fix", "invalid", "not a bug", "by design", "works as intended")), F.lit("invalid"))
-        .otherwise(F.concat(F.lit("no linked change: "), cut))
+        F.when(any_of(DUPLICATE_WORDS), F.lit(DUPLICATE_REASON))
+        .when(any_of(INVALID_WORDS), F.lit(INVALID_REASON))
+        .otherwise(F.format_string(UNLINKED_REASON, cut))
     )
 
 

@@ -111,14 +111,13 @@ def trajectory_in_order(ref: Column, got: Column) -> Column:
 
 def greedy_matches(ref: Column, got: Column) -> Column:
     """M-12: how many reference calls find a call of their own, first come, first served."""
-    n = F.size(got)
-    free = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def step(left: Column, r: Column) -> Column:
-        hit = F.filter(left, lambda i: calls_match(r, F.get(got, i)))
-        return F.when(F.size(hit) > 0, F.array_remove(left, F.get(hit, F.lit(0)))).otherwise(left)
+        hit = F.transform(left, lambda g: F.coalesce(calls_match(r, g), F.lit(False)))
+        at = F.array_position(hit, F.lit(True))
+        return F.when(at > 0, F.filter(left, lambda g, i: i != (at - 1).cast("int"))).otherwise(left)
 
-    return n - F.size(F.aggregate(ref, free, step))
+    return F.size(got) - F.size(F.aggregate(ref, got, step))
 
 
 def trajectory_any_order(ref: Column, got: Column) -> Column:

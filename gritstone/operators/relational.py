@@ -160,11 +160,16 @@ def left_default(df: DataFrame, other: DataFrame, on: list[str], defaults: dict[
 def asof_attach(df: DataFrame, other: DataFrame, on: list[str], condition: Column, item: Column, name: str) -> DataFrame:
     """J-3: the other side's rows of the key that existed by then, as an array; empty where none did.
 
-    Rows need a unique ``__id``-free identity: all of ``df``'s columns group together.
+    Nulls in other columns of ``df`` change nothing, and rows that repeat each get the array once; a
+    null key finds nothing.
     """
-    hit = df.join(other, on, "left").where(condition | item.isNull())
-    agg = hit.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.when(condition, item))).alias(name))
-    return df.join(agg, df.columns, "left").withColumn(name, F.coalesce(F.col(name), F.array()))
+    distinct = df.distinct()
+    hit = distinct.join(other, on).where(condition)
+    agg = hit.groupBy(*df.columns).agg(F.array_sort(F.collect_list(item)).alias(name))
+    old = {c: f"{c}_{name}" for c in df.columns}
+    agg = agg.select(*[F.col(c).alias(old[c]) for c in df.columns], name)
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in old.items()]
+    return df.join(agg, same, "left").select(*df.columns, F.coalesce(F.col(name), F.array()).alias(name))
 
 
 def invert_map(df: DataFrame, key: str, items: str, sequence: str, last_wins: bool) -> DataFrame:

@@ -24,7 +24,7 @@ def stratified_split(df: DataFrame, key: str, stratum: str, seed: int, test: flo
     byte and ranks within it, so a stratum of a third of all rows is not one task's window. A
     stratum of one goes to test, of two to test and val.
     """
-    h = seeded(key, seed)
+    h = F.coalesce(seeded(key, seed), F.lit(""))  # a null key sorts first
     d = df.select(key, stratum).distinct().withColumns({"__h": h, "__b": F.substring(h, 1, 2)})
     per = d.groupBy(stratum, "__b").agg(F.count("*").alias("c"))
     shift = per.select(
@@ -48,8 +48,8 @@ def balanced_sample(df: DataFrame, key: str, stratum: str, n: int | Column, seed
 
 def scarcest_cap(df: DataFrame, key: str, stratum: str, cap: int, seed: int) -> DataFrame:
     """R-7: as many of each class as the scarcest has, ``cap`` at most."""
-    least = df.groupBy(stratum).count().agg(F.least(F.min("count"), F.lit(cap)).alias("__cap"))
-    return balanced_sample(df.crossJoin(F.broadcast(least)), key, stratum, F.col("__cap"), seed).drop("__cap")  # one row
+    least = df.groupBy(stratum).count().agg(F.min("count")).first()[0]  # a number, so that tasks cut each class first
+    return balanced_sample(df, key, stratum, min(cap, least or 0), seed)
 
 
 def dominant_band(df: DataFrame, key: str, band: str, order: tuple[str, ...] = ("low", "medium", "high")) -> DataFrame:

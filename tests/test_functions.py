@@ -39,9 +39,9 @@ def test_stripping_and_truncation(spark):
 
 def test_reasons(spark):
     r = X.no_change_reason(F.col("t"), F.col("b"))
-    assert one(spark, r, t="Dupe of 3", b="") == "duplicate" and one(spark, r, t="a", b="Works as intended") == "invalid"
+    assert one(spark, r, t="Dupe of 3", b="") == X.DUPLICATE_REASON and one(spark, r, t="a", b="Works as intended") == X.INVALID_REASON
     long = one(spark, r, t="word " * 40, b="")
-    assert long.endswith("word.") and len(long) <= len("no linked change: ") + 140
+    assert long.endswith("word.).") and len(long) <= len(X.UNLINKED_REASON) + 140
     assert one(spark, X.label_reason(F.col("l"), F.col("s")), l=["Kind:Question"], s="x") == "question"
 
 

@@ -264,3 +264,21 @@ def test_registered_topk_has_no_cap(spark, tmp_path):
     e = spark.range(0, 200_060, 20).selectExpr("id as vec_id", "array(1.0D, cast(id as double)) as embedding")
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert catalog.QUERIES["vector_topk"](spark, str(tmp_path)).columns == ["qid", "vid", "score", "rank"]
+
+
+def test_asof_attach_with_nulls_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gritstone.operators import relational as R
+
+    left = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "x", 1), (None, "y", 9)], "k int, note string, cut int")
+    right = spark.createDataFrame([(1, 4, 10), (1, 6, 11), (2, 3, 12), (None, 1, 13)], "k int, t int, item int")
+    got = R.asof_attach(left, right, ["k"], F.col("t") <= F.col("cut"), F.col("item"), "seen").collect()
+    assert sorted((str(r.k), r.note or "", r.seen) for r in got) == [("1", "", [10]), ("1", "", [10]), ("2", "x", []), ("None", "y", [])]
+
+
+def test_stratified_split_keeps_null_keys(spark):
+    from gritstone.operators import sampling as S
+
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a")], "id int, s string")
+    assert S.stratified_split(df, "id", "s", 1).count() == 3
