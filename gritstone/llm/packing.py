@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Vocabulary, encode_pieces
-from .common import table, written
+from .common import release, table, written
 
-CACHE = 400_000  # words a worker remembers
+CACHE = 300_000  # words a task remembers
 Bins = Counter  # pattern (lengths, longest first) -> how many bins are filled so
 
 
@@ -63,6 +63,10 @@ class WordEncoder:
         self.ids: dict[bytes, bytes] = {}
         self.stem_ids: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Lets go of the words; workers live on after a task."""
+        self.ids, self.stem_ids = {}, {}
+
     def _ask(self, words: list[str]) -> list[bytes]:
         """Words through the tokenizer, a line break between two: tokens are dealt back by their places."""
         enc = self.tok.encode("\n".join(words), add_special_tokens=False)
@@ -112,8 +116,7 @@ class WordEncoder:
                 else:
                     found.append(text.encode("utf-8", "surrogatepass").split())
             if len(self.ids) > CACHE:
-                self.ids.clear()
-                self.stem_ids.clear()
+                self.forget()
             new = [w for w in set().union(*(f for f in found if isinstance(f, list))) if w not in self.ids]
             self._learn(new)
             for f in found:
@@ -145,6 +148,8 @@ def pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        enc.forget()
+        release()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

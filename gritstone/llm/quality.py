@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Forest, fit
-from .common import free, table
+from .common import free, release, table
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "space", "stops", "symbols", "non_ascii", "letters",
@@ -71,6 +71,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             x = [[float(v) for v in statistics(t.as_py())] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        release()
 
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "doc_id long, x array<double>")
@@ -104,11 +105,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, target: str
 def score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``, a double: how likely label 1 is. Texts never leave their partition."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
-        return pd.Series(forest.probability(x))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(forest.probability(np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))))
+        release()
 
-    return docs.withColumn(name, F.pandas_udf(run, "double")("text"))  # only texts go to Python
+    udf = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return docs.withColumn(name, udf("text"))  # only texts go to Python
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, free, sieved, table, written
+from .common import delete, free, release, sieved, table, written
 
 BLOCK = 16
 GRAM = 64
@@ -131,6 +131,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                  _lists(sizes, **dict(zip(("g", "h", "a", "p1", "p2"), cols)))],
                 names=["doc_id", "k1", "k2", "n_bytes", "sha", "anchors"],
             )
+        release()
 
     return docs.mapInArrow(
         run, "doc_id long, k1 long, k2 long, n_bytes long, sha string, anchors array<struct<g: long, h: long, a: int, p1: int, p2: int>>"
@@ -284,6 +285,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
             out = [pa.array(c, k) for c, k in zip(cols, kinds)]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "k1", "k2"]
             yield pa.RecordBatch.from_arrays(out if with_bytes else out[:5], names=names if with_bytes else names[:5])
+        release()
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept binary, k1 long, k2 long" * with_bytes
