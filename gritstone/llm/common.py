@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone (the path may be in any store)."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once by bytes, where the session doesn't: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -43,6 +54,7 @@ def written(df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
     carry ``_gritstone_path`` so that loops can delete what they no longer need. ``snappy`` suits hashes.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/gritstone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     gc.collect()  # frames this result no longer needs let go of their shuffle files, on the executors too
