@@ -93,7 +93,7 @@ def n_tasks(spark: SparkSession) -> int:
 
 
 #: Bits of the filter of ``sieved``; a fixed size.
-MARKS = 1 << 24
+MARKS = 1 << 22
 
 
 def sieved(df: DataFrame, keys: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ from .common import delete, n_tasks, release, sieved, written
 from .components import components
 
 SLOTS = 1 << 24  # counters of the rarity sketch, which only orders tokens; a fixed size
-PROBE = 1 << 28  # bits of the filter of tokens in two prefixes or more; a fixed size
+PROBE = 1 << 26  # bits of the filter of tokens in two prefixes or more; a fixed size
 MARKS = 1 << 22  # bits of the filter of units to be verified; a fixed size
 BLOCKS = 64  # rows in which a sketch or filter reaches the driver
 AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
@@ -219,7 +219,10 @@ def _gathered(rows: DataFrame, bits: int, finish: Callable[[np.ndarray], bytes])
                     yield give()
                     total[:] = 0
                 block = k
-                total += np.bincount(np.frombuffer(b.column(1)[i].as_buffer(), np.int32) & (wide - 1), minlength=wide)
+                x = np.frombuffer(b.column(1)[i].as_buffer(), np.int32) & (wide - 1)  # sorted
+                if len(x):
+                    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                    total[x[at]] += np.diff(np.append(at, len(x)))
         if block is not None:
             yield give()
         release()
