@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import gritstone.plans.activity  # noqa: F401  (registers its queries in the catalogue)
 from gritstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
