@@ -113,7 +113,7 @@ def critic_examples(prs: DataFrame, friction: DataFrame | None = None, cap: int
     clean = F.when(F.size("files") == 1, NO_FINDINGS["one"]).when(F.exists("files", lambda f: F.lower(f.filename).contains("test")), NO_FINDINGS["tests"]).otherwise(NO_FINDINGS["clean"])
     label = (
         F.when(~merged & closed & ((F.size("__asked") > 0) | (F.size("__notes") > 0)), "REJECT").when(merged & ((F.size("__asked") > 0) | (F.size("__notes") > 0)), "REVISE")
-        .when(merged & ~F.exists(reviews, lambda r: r.state == "CHANGES_REQUESTED") & ~any_note, "ACCEPT")
+        .when(merged & ~F.exists(reviews, lambda r: r.state.eqNullSafe("CHANGES_REQUESTED")) & ~any_note, "ACCEPT")
     )
     why = F.when(F.col("label") == "REJECT", F.coalesce(first(F.col("__asked")), first(F.col("__notes")))).when(F.col("label") == "REVISE", F.coalesce(first(F.col("__notes")), first(F.col("__asked")))).otherwise(clean)
     rows = p.withColumn("label", label).where("label is not null").withColumn("reasoning", F.left(why, F.lit(400)))

@@ -273,7 +273,7 @@ def batch_score(s: DataFrame, prs: DataFrame) -> DataFrame:
     each = (
         on(elapsed_days(parse_ts(F.col("pr.created_at")), first) > 7, 0.15) + on(F.size(reviews) > 3, 0.10) + on(upto(F.col("pr.closed_at")) & ~merged, 0.15)
         + on((F.size(F.coalesce(F.col("pr.requested_reviewers"), F.array())) > 0) & (F.size(reviews) == 0), 0.10)
-        + on(F.exists(runs, lambda c: c.conclusion == "failure") & ~F.exists(runs, lambda c: c.conclusion == "success"), 0.15)
+        + on(F.exists(runs, lambda c: c.conclusion.eqNullSafe("failure")) & ~F.exists(runs, lambda c: c.conclusion.eqNullSafe("success")), 0.15)
     )
     by_pr = p.select("issue_number", "snapshot_tier", each.alias("w")).groupBy("issue_number", "snapshot_tier").agg(F.sum("w").alias("pr_score"))
     times = F.transform("comments", lambda c: parse_ts(c.created_at))
