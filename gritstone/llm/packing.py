@@ -9,6 +9,8 @@ from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count as count_from
+from itertools import takewhile
 
 import numpy as np
 import public_tokenizers
@@ -186,12 +188,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
+def _some(b: tuple) -> dict[tuple, int]:
+    """Sizes of one piece or two of a bin; equal lengths count once, so a bin of 2,048 has 2,100 entries at most."""
+    n = Counter(b)
+    kinds = sorted(n, reverse=True)
+    pairs = {(x, y): x + y for i, x in enumerate(kinds) for y in kinds[i:] if x != y or n[x] > 1}
+    return {(x,): x for x in kinds} | pairs
+
+
 def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     """The exchange between bins a (fuller) and b that raises squared fill most, or None."""
     gap = capacity - sum(a)
     best, move = 0, None
-    singles = {(x,): x for x in b} | ({(x, y): x + y for i, x in enumerate(b) for y in b[i + 1 :]} if len(b) <= 40 else {})
-    outs = {(): 0} | {(x,): x for x in a} | ({(x, y): x + y for i, x in enumerate(a) for y in a[i + 1 :]} if len(a) <= 40 else {})
+    singles, outs = _some(b), {(): 0} | _some(a)
     order = sorted((v, k) for k, v in outs.items())
     sums = [v for v, _ in order]
     for take, size in singles.items():
@@ -217,25 +226,30 @@ def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(na.elements(), reverse=True)), tuple(sorted(nb.elements(), reverse=True))
 
 
-def local_search(bins: Bins, capacity: int, steps: int = 5_000, partners: int = 200) -> Bins:
+def local_search(bins: Bins, capacity: int) -> Bins:
     """Moves and exchanges (one for one, two for one) between underfull bins until none raises squared fill.
 
-    The emptiest kind of bin gives to the fullest underfull ones, all equal pairs at once; a kind
-    that can give nothing rests. Ends at the lower bound of bins, after ``steps`` exchanges, or
-    when nothing moves. Never makes more bins.
+    The emptiest kind of bin gives to the underfull ones, fullest first, all equal pairs at once; a
+    kind that can give nothing rests until a new kind appears, and then meets that one. Ends at the lower bound of bins or
+    when nothing moves: each exchange raises squared fill, so it ends. Never makes more bins.
     """
     total = sum(sum(p) * n for p, n in bins.items())
     bound = -(-total // capacity)
     bins = Counter(bins)
     count = sum(bins.values())
     open_ = sorted((sum(p), p) for p in bins if sum(p) < capacity)
-    done: set[tuple] = set()
+    clock = count_from(1)
+    born = {p: next(clock) for _, p in open_}  # in order of birth: a kind is born anew when a second bin of it comes
+    tried: dict[tuple, int] = {}  # a giver has met all partners born up to this
 
     def add(p: tuple, n: int) -> None:
         if not p:
             return
-        if not bins[p] and sum(p) < capacity:
-            insort(open_, (sum(p), p))
+        if bins[p] < 2 and sum(p) < capacity:
+            if not bins[p]:
+                insort(open_, (sum(p), p))
+            born.pop(p, None)
+            born[p] = next(clock)
         bins[p] += n
 
     def drop(p: tuple, n: int) -> None:
@@ -244,15 +258,22 @@ def local_search(bins: Bins, capacity: int, steps: int = 5_000, partners: int =
             del bins[p]
             if sum(p) < capacity:
                 open_.remove((sum(p), p))
+                del born[p]
+
+    def partners(giver: tuple) -> list[tuple]:
+        """Kinds as full as the giver or fuller that it has not met, fullest first."""
+        upto = tried.get(giver, 0)
+        new = list(takewhile(lambda p: born[p] > upto, reversed(born)))
+        return sorted((p for p in new if sum(p) >= sum(giver)), key=lambda p: (-sum(p), p))
 
-    while steps and count > bound:
-        giver = next((p for _, p in open_ if p not in done), None)
+    while count > bound:
+        newest = next(reversed(born.values()), 0)
+        giver = next((p for _, p in open_ if tried.get(p, 0) < newest), None)
         if giver is None:
             break
-        moved = False
-        for _, p in reversed(open_[-partners:]):
+        for p in partners(giver):
             same = p == giver
-            if same and bins[p] < 2 or sum(p) < sum(giver):
+            if same and bins[p] < 2:
                 continue
             found = _exchange(p, giver, capacity)
             if found and sum(found[0]) ** 2 + sum(found[1]) ** 2 > sum(p) ** 2 + sum(giver) ** 2:
@@ -263,13 +284,10 @@ def local_search(bins: Bins, capacity: int, steps: int = 5_000, partners: int =
                     add(x, many)
                 if not found[1]:
                     count -= many
-                done.discard(found[0])
-                done.discard(found[1])
-                steps -= 1
-                moved = True
+                tried.pop(giver, None)
                 break
-        if not moved:
-            done.add(giver)
+        else:
+            tried[giver] = newest
     return bins
 
 

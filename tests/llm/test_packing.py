@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gritstone.llm.packing import best_fit, local_search, pack, word_encoder
+from gritstone.llm.packing import _exchange, best_fit, local_search, pack, word_encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -75,3 +75,20 @@ def test_local_search_keeps_pieces_and_never_adds_bins():
 
 def test_local_search_empties_bins():
     assert sum(local_search(Counter({(6, 2): 1, (5, 3): 1, (4,): 1}), 10).values()) == 2
+
+
+def test_search_ends_only_where_no_pair_of_bins_gains():
+    random.seed(3)
+    for lengths in ([random.randint(1, 3) for _ in range(400)], [random.randint(30, 60) for _ in range(90)], [random.randint(31, 36) for _ in range(300)]):
+        counts = Counter(lengths)
+        bins = local_search(best_fit(counts, 100), 100)
+        assert Counter(x for p, n in bins.items() for x in p for _ in range(n)) == counts
+        if sum(bins.values()) == -(-sum(lengths) // 100):
+            continue
+        loose = sorted((p for p in bins if sum(p) < 100), key=sum)
+        for i, b in enumerate(loose):
+            for a in loose[i:]:
+                if a == b and bins[a] < 2:
+                    continue
+                found = _exchange(a, b, 100)
+                assert not found or sum(map(lambda x: sum(x) ** 2, found)) <= sum(a) ** 2 + sum(b) ** 2
