@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -49,9 +49,9 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The page's non-empty text blocks, in page order, with what their ancestors say."""
     out: list[Block] = []
-    # element: (tag, number, what it says of its blocks, its section's number)
-    stack: list[tuple[str, int, float, int]] = [("", 0, 0.0, 0)]
-    links = 0
+    # element: (tag, number, what it says of its blocks, its section's number, place of the nearest one that is not inline)
+    stack: list[tuple[str, int, float, int, int]] = [("", 0, 0.0, 0, 0)]
+    opened: Counter = Counter()  # open elements by tag, so that no tag looks through all of them
     cur: Block | None = None
     at, n, low = 0, 0, None
 
@@ -68,10 +68,10 @@ def blocks(html: str) -> list[Block]:
         if cur is None:
             if piece.isspace():
                 return
-            holder = next(e for e in reversed(stack) if e[0] not in INLINE)
+            holder = stack[stack[-1][4]]
             cur = Block(tag=holder[0], parent=stack[-2][1] if len(stack) > 1 and holder is stack[-1] else holder[1], section=holder[3], lean=holder[2])
         cur.parts.append(piece)
-        if links:
+        if opened["a"]:
             cur.linked += len(piece)
 
     while True:
@@ -90,12 +90,13 @@ def blocks(html: str) -> list[Block]:
             if name == "br":
                 say(" ")
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if name not in INLINE:
                 end()
-            if depth:
-                links -= sum(e[0] == "a" for e in stack[depth:])
-                del stack[depth:]
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
             continue
         if name in RAW and not m[3].endswith("/"):
             if low is None:
@@ -114,15 +115,14 @@ def blocks(html: str) -> list[Block]:
         if name not in INLINE:
             end()
             if name in ("p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "header", "nav", "aside", "form", "blockquote", "pre", "main", "hr"):
-                close_tag("p", stack)
+                close_tag("p", stack, opened)
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                close_tag(name, stack, stop=("ul", "ol", "dl", "table"))
-            links = sum(e[0] == "a" for e in stack)
+                close_tag(name, stack, opened, stop=("ul", "ol", "dl", "table"))
         if name in VOID or m[3].endswith("/"):
             continue
         n += 1
-        _, _, lean, section = stack[-1]
-        inside = any(e[0] in ("article", "main") for e in stack)
+        _, _, lean, section, holder = stack[-1]
+        inside = opened["article"] or opened["main"]
         if name in ("article", "main"):
             lean, section = max(lean, -4.0) + 5.0 if lean > -8 else lean, n
         elif name in AWAY:
@@ -141,16 +141,19 @@ def blocks(html: str) -> list[Block]:
                     lean += 2.0
             if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
                 lean -= 9.0
-        stack.append((name, n, lean, section))
-        links += name == "a"
+        stack.append((name, n, lean, section, holder if name in INLINE else len(stack)))
+        opened[name] += 1
     end()
     return out
 
 
-def close_tag(name: str, stack: list, stop: tuple = ("article", "section", "div", "body", "td", "li", "blockquote", "main")) -> None:
+def close_tag(name: str, stack: list, opened: Counter, stop: tuple = ("article", "section", "div", "body", "td", "li", "blockquote", "main")) -> None:
     """Ends an open ``name`` whose end tag the page leaves out."""
+    if not opened[name]:
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i][0] == name:
+            opened.subtract(e[0] for e in stack[i:])
             del stack[i:]
             return
         if stack[i][0] in stop:

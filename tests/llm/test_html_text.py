@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 
@@ -53,3 +54,11 @@ def test_query_rows(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert sorted(map(str, ((r.page_id, r.url, r.text) for r in got))) == sorted(map(str, ((i, u, main_text(h)) for i, u, h in rows)))
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "a", "section", "b"])
+def test_deeply_nested_elements_take_linear_time(tag):
+    start = time.perf_counter()
+    page = "<article><p>" + P.format(1) + "</p>" + f"<{tag}>x " * 100_000 + f"</{tag}>" * 100_000 + "</em>" * 100_000
+    assert "1" in main_text(page)
+    assert time.perf_counter() - start < 30
