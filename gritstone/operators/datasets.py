@@ -174,3 +174,46 @@ def files_of_issue(rows: DataFrame, issue: str, files: str, order: str) -> DataF
 def prs_per_issue(rows: DataFrame, issue: str) -> DataFrame:
     """A-19."""
     return rows.groupBy(issue).agg(F.count("*").alias("n")).agg(F.count("*").alias("issues"), F.avg("n").alias("mean"), F.max("n").alias("max"))
+
+
+#: Conclusions that fail, parts of the names of checks that count, approvals that say nothing.
+FAILED = ("failure", "timed_out", "action_required")
+KEY_CHECKS = ("static checks", "tests", "ci/cd", "build", "lint", "mypy")
+PLAIN_APPROVALS = ("lgtm", "lgtm!", "+1", "looks good", "approved")
+
+
+def strict_critic_label(prs: DataFrame) -> DataFrame:
+    """P-27: ``prs`` with label and reasoning (null where no rule fits), by the stricter rules.
+
+    Texts are trimmed before they are measured; suggestions give no reason; a failed check that
+    counts bars acceptance; an approval's own words are the reason where they say something.
+    """
+    body = lambda x: F.trim(F.coalesce(x.body, F.lit("")))
+    reviews, inline, runs = (F.coalesce(c, F.array()) for c in ("reviews", "review_comments", "check_runs"))
+    long_note = lambda c: F.coalesce(c.diff_hunk != "", F.lit(False)) & (F.length(body(c)) > 20)
+    asked = F.filter(reviews, lambda r: r.state.eqNullSafe("CHANGES_REQUESTED") & (F.length(body(r)) > 20))
+    notes = F.filter(inline, lambda c: long_note(c) & ~body(c).startswith("```suggestion"))
+    counts = lambda c: F.lower(F.coalesce(c["name"], F.lit(""))).rlike("|".join(KEY_CHECKS))
+    failed = F.exists(runs, lambda c: F.coalesce(c.conclusion.isin(*FAILED), F.lit(False)) & counts(c))
+    barred = F.exists(reviews, lambda r: r.state.eqNullSafe("CHANGES_REQUESTED")) | F.exists(inline, long_note)
+    spoken = F.filter(reviews, lambda r: r.state.eqNullSafe("APPROVED") & (F.length(body(r)) > 10) & ~F.lower(body(r)).isin(*PLAIN_APPROVALS))
+    first = lambda a: body(F.get(a, F.lit(0)))
+    merged = F.col("pr.merged_at").isNotNull()
+    patched = F.exists(F.coalesce("files", F.array()), lambda f: F.coalesce(f.patch != "", F.lit(False)))
+    signal = (F.size(asked) > 0) | (F.size(notes) > 0)
+    label = F.when(~patched, None).when(~merged & signal, "REJECT").when(merged & signal, "REVISE").when(merged & ~barred & ~failed, "ACCEPT")
+    by_review = F.when(F.size(asked) > 0, first(asked)).otherwise(first(notes))
+    by_note = F.when(F.size(notes) > 0, first(notes)).otherwise(first(asked))
+    names = F.transform("files", lambda f: F.lower(f.filename))
+    clean = F.when(F.size("files") == 1, NO_FINDINGS["one"]).when(F.exists(names, lambda f: F.contains(f, F.lit("test"))), NO_FINDINGS["tests"]).otherwise(NO_FINDINGS["clean"])
+    accept = F.when(F.size(spoken) > 0, F.left(first(spoken), F.lit(300))).otherwise(clean)
+    why = F.when(label == "REJECT", F.left(by_review, F.lit(400))).when(label == "REVISE", F.left(by_note, F.lit(400))).when(label == "ACCEPT", accept)
+    return prs.withColumns({"label": label, "reasoning": why})
+
+
+def pooled(pools: list[DataFrame], key: str, seed: int) -> DataFrame:
+    """U-5: all pools' rows in one seeded order."""
+    out = pools[0]
+    for p in pools[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(seeded(key, seed))

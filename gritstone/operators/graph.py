@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clamp01
 
+SCORES = 1 << 22  # scores a task holds at once
+
 
 def issue_graph(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G-1: issue nodes and resolved_by edges."""
@@ -55,16 +63,71 @@ def _bounded(queries: DataFrame, most: int) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", vec: str = "embedding", most: int = 10_000) -> DataFrame:
-    """V-1: the ``k`` nearest by cosine of each query, self included; ties by id.
+    """V-1: the ``k`` nearest by cosine (six digits) of each query, self included; ties by id.
 
-    A stated query set against all rows: at most ``most`` queries are broadcast (more is an error),
-    and each task keeps its own ``k`` best of a query before anything moves.
+    A stated query set against all rows: at most ``most`` queries (more is an error) go to every
+    task as one matrix of unit vectors, and a task keeps its ``k`` best of a query before anything
+    moves. Vectors that are null, zero or hold null or non-finite components have no neighbours;
+    neither have vectors of different lengths.
     """
-    q = _bounded(queries, most).select(F.col(qid).alias("qid"), F.col(vec).alias("__q"))
-    pairs = vectors.select(F.col(vid).alias("vid"), F.col(vec).alias("__v")).join(F.broadcast(q))
-    scored = pairs.select("qid", "vid", F.round(cosine(F.col("__q"), F.col("__v")), 6).alias("score")).where("score is not null")
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+    asked = _bounded(queries.where(fine), most).select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("v")).toArrow()  # `most` rows at most
+    ids = asked.column("qid").combine_chunks()
+    sets = {d: (at, _unit_rows(asked.column("v").combine_chunks().take(pa.array(at)), d)) for d, at in _by_size(asked.column("v").combine_chunks())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, kind = 0, None
+        for b in batches:
+            kind = b.column(0).type
+            for d, rows in _by_size(b.column(1)):
+                if d not in sets:
+                    continue
+                at, q = sets[d]
+                step = max(1, SCORES // len(at))
+                for a in range(0, len(rows), step):
+                    part = b.take(pa.array(rows[a : a + step]))
+                    part = part.take(pc.sort_indices(part.column(0)))
+                    score = np.rint(q @ _unit_rows(part.column(1), d).T * 1e6).astype(np.int64)
+                    n = score.shape[1]
+                    key = score * n - np.arange(n)  # one order of scores, then of ids
+                    best = np.argpartition(-key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), score.shape)
+                    held.append((np.repeat(at, best.shape[1]), np.take_along_axis(score, best, 1).ravel(), part.column(0).take(pa.array(best.ravel()))))
+                    size += best.size
+                    if size > SCORES:
+                        held = [_best(held, k)]
+                        size = 2 * len(held[0][0])
+        if held:
+            q_, score_, v_ = _best(held, k)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q_)), v_, pa.array(score_ / 1e6)], names=["qid", "vid", "score"])
+
+    cols = vectors.where(fine).select(F.col(vid).alias("vid"), F.col(vec).cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), T.StructField("vid", vectors.schema[vid].dataType), T.StructField("score", T.DoubleType())])
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return cols.mapInArrow(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _by_size(lists: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """(length, places of the lists of that length)."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return [(int(d), np.flatnonzero(size == d)) for d in np.unique(size)]
+
+
+def _unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The ``k`` best (query, score, id) of each query."""
+    q, score = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    v = pa.concat_arrays([h[2] for h in held])
+    place = np.empty(len(q), np.int64)
+    place[pc.sort_indices(v).to_numpy()] = np.arange(len(q))
+    order = np.lexsort((place, -score, q))
+    first = np.searchsorted(q[order], q[order])
+    keep = order[np.arange(len(order)) - first < k]
+    return q[keep], score[keep], v.take(pa.array(keep))
 
 
 def vector_topk_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", vec: str = "embedding", most: int = 10_000) -> DataFrame:
@@ -206,3 +269,45 @@ def first_alias_in_index(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """F-15: (id, path) of the first alias the index knows."""
     e = wanted.select("id", F.posexplode("aliases").alias("pos", "path")).join(index.select("path"), "path", "left_semi")
     return e.groupBy("id").agg(F.min_by("path", "pos").alias("path"))
+
+
+def similar_edges(queries: DataFrame, vectors: DataFrame, k: int = 5, vid: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """G-13: (src, dst, score, rank) edges from each vector of a stated set to the ``k`` most similar others."""
+    top = vector_topk_in_blocks(queries.select(F.col(vid).alias("qid"), vec), vectors, k + 1, "qid", vid, vec).where("qid <> vid")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vid"))
+    return top.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "score", "rank")
+
+
+def text_vector(title: Column, body: Column, dim: int = 64) -> Column:
+    """V-2, offline: signed word counts of title and body in ``dim`` hashed places, of length one; null without words."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    sign = lambda h: F.when(h < 0, -1.0).otherwise(1.0)
+    at = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dim)) == i), F.lit(0.0), lambda a, h: a + sign(h))
+    counts = once(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: at(hs, i)))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return once(counts, lambda v: once(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
+
+
+def code_spans(index: DataFrame, issues: DataFrame, k: int = 20) -> DataFrame:
+    """P-33: an issue's first ``k`` symbols (by path, then line) that hold one of its words, or whose file's name does.
+
+    ``index`` is (path, symbols array of name, type, start_line, end_line); ``issues``, a stated
+    query set, is (qid, text). Words are those of over three letters and nothing but letters.
+    """
+    said = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, "^[.,;:!?()\\[\\]{}\"'`#]+|[.,;:!?()\\[\\]{}\"'`#]+$", ""))
+    words = F.array_distinct(F.filter(said, lambda w: w.rlike(r"^\p{L}{4,}$")))
+    asked = _bounded(issues.select("qid", words.alias("words")), 10_000)
+    rows = index.select("path", F.lower(F.regexp_extract("path", r"([^/]*)$", 1)).alias("file"), F.explode("symbols").alias("s"))
+    has = lambda c: F.exists("words", lambda w: F.contains(c, w))
+    hit = rows.join(F.broadcast(asked)).where(has(F.col("file")) | has(F.lower(F.coalesce("s.name", F.lit("")))))
+    spans = hit.select("qid", "path", F.col("s.name").alias("symbol"), F.col("s.type").alias("type"), F.col("s.start_line").alias("start_line"), F.col("s.end_line").alias("end_line"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("path", "start_line", "symbol"))
+    return spans.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def symbol_counts(index: DataFrame) -> DataFrame:
+    """A-26: classes, functions and files of a symbol index."""
+    size = lambda c: F.sum(F.coalesce(F.size(F.coalesce(c, F.array().cast("array<string>"))), F.lit(0))).cast("long")
+    return index.agg(size("classes").alias("classes"), size("functions").alias("functions"), F.count("*").alias("files"))

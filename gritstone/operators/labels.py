@@ -128,3 +128,36 @@ def cost_estimate(s: DataFrame, per: dict[str, float] = COST_PER_SNAPSHOT) -> Da
     """L-24: cost by model from the number of snapshots."""
     n = s.agg(F.count("*").alias("n"))
     return n.select(F.explode(F.create_map(*[x for k, v in per.items() for x in (F.lit(k), F.col("n") * v)])).alias("model", "cost"))
+
+
+#: The timeline events a reasoner sees.
+REASONER_EVENTS = ("assigned", "labeled", "cross-referenced", "review_requested")
+
+
+def reasoner_timeline(timeline: Column) -> Column:
+    """P-29: only the events a reasoner sees; null is empty."""
+    return F.filter(F.coalesce(timeline, F.array()), lambda e: e.event.isin(*REASONER_EVENTS))
+
+
+def review_text(prs: Column, reviews_chars: int = 600, inline_chars: int = 400) -> Column:
+    """O-12: (reviews, inline) of an array of change records: a line for each text that is not blank, in order, then cut.
+
+    Signals of the outcome are stripped; a review gives 300 characters, an inline comment 200.
+    """
+    said = lambda x: F.trim(F.coalesce(x.body, F.lit(""))) != ""
+    clean = lambda x, n: F.left(X.strip_closure_signals(F.trim(x.body)), F.lit(n))
+    who = lambda x: F.coalesce(x.user.login, F.lit("?"))
+    or_none = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+
+    def of_reviews(pr: Column) -> Column:
+        number = F.coalesce(pr.pr_number.cast("string"), F.lit("?"))
+        line = lambda r: F.concat(F.lit("[PR #"), number, F.lit(" \u2014 "), or_none(r.state), F.lit(" by "), who(r), F.lit("]: "), clean(r, 300))
+        return F.transform(F.filter(F.coalesce(pr.reviews, F.array()), said), line)
+
+    def of_inline(pr: Column) -> Column:
+        at = lambda c: F.coalesce(F.when(c.line != 0, c.line), c.original_line)
+        line = lambda c: F.concat(F.lit("["), who(c), F.lit(" on "), or_none(c.path), F.lit(":"), or_none(at(c)), F.lit("]: "), clean(c, 200))
+        return F.transform(F.filter(F.coalesce(pr.review_comments, F.array()), said), line)
+
+    joined = lambda f, n: F.left(F.array_join(F.flatten(F.transform(F.coalesce(prs, F.array()), f)), "\n"), F.lit(n))
+    return F.struct(joined(of_reviews, reviews_chars).alias("reviews"), joined(of_inline, inline_chars).alias("inline"))

@@ -51,7 +51,9 @@ def rank_value(df: DataFrame, value: str, places: dict[str, str], by: list[str]
 def _running(c: DataFrame, value: str, ranges: int = 256) -> DataFrame:
     """Running counts in order of ``value`` without one task for all: within ranges, then shifted by the ranges before."""
     cuts = c.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("q"))
-    part = c.crossJoin(F.broadcast(cuts)).withColumn("r", F.size(F.filter("q", lambda x: x < F.col(value)))).drop("q")  # one row of cuts
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((ranges - 1).bit_length()))])  # a binary search for the number of cuts below
+    below = F.aggregate(steps, F.lit(0), lambda r, s: r + F.when(F.get("q", r + s - 1) < F.col(value), s).otherwise(0))
+    part = c.crossJoin(F.broadcast(cuts)).withColumn("r", below).drop("q")  # one row of cuts
     sums = part.groupBy("r").agg(F.sum("c").alias("s"))
     shift = sums.select("r", (F.sum("s").over(Window.orderBy("r")) - F.col("s")).alias("shift"), F.sum("s").over(Window.partitionBy()).alias("n"))
     within = F.sum("c").over(Window.partitionBy("r").orderBy(value))
@@ -191,3 +193,25 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
 def is_disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:
     """U-6, R-9."""
     return a.select(key).intersect(b.select(key)).isEmpty()
+
+
+def weakest(df: DataFrame, metric: str, key: str, n: int = 5) -> DataFrame:
+    """O-11: the ``n`` rows of the least metric (null counts last); ties by key."""
+    return df.orderBy(F.asc_nulls_last(metric), key).limit(n)
+
+
+def token_report(df: DataFrame, tokens: str, most: int) -> DataFrame:
+    """A-21: least, middle, 90 % and greatest token count, and how many rows have more than ``most``."""
+    places = rank_value(df, tokens, {"median": "floor(n / 2)", "p90": "floor(n * 0.9)"})
+    over = df.agg(F.count(F.when(F.col(tokens) > most, 1)).alias("over"))
+    return places.crossJoin(over).select("n", "min", "median", "p90", "max", "over")  # one row each
+
+
+def unique_in_order(items: Column) -> Column:
+    """W-12: each item at its first place only."""
+    return F.array_distinct(items)
+
+
+def unique_sorted(items: Column) -> Column:
+    """U-4: different items, sorted, as the original's order is not defined."""
+    return F.array_sort(F.array_distinct(items))

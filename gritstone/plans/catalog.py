@@ -446,6 +446,54 @@ def retrieval_confidence(spark, d):
     return s.select("qid", F.col("c.sim_top3_mean").alias("sim_top3_mean"), F.col("c.margin_norm").alias("margin_norm"), F.col("c.entropy_norm").alias("entropy_norm"), F.col("c.candidate_count").alias("candidate_count"))
 
 
+@query(_TOPK + """, n as (select qid, vid, score, row_number() over (partition by qid order by score desc, vid) as rank from t where rank <= 6 and qid <> vid)
+select qid as src, vid as dst, round(score, 4) as score, rank from n where rank <= 5""")
+def similar_edges(spark, d):
+    """G-13: edges to the five most similar others."""
+    e = _t(spark, d, "embeddings", "vec_id", "embedding")
+    return G.similar_edges(e.where("vec_id % 20 = 0"), e).withColumn("score", F.round("score", 4))
+
+
+@query("""
+with w as (select len(string_split_regex(trim(text, e' \\t\\n\\x0b\\x0c\\r'), '[ \\t\\n\\x0b\\x0c\\r]+')) as k from documents),
+r as (select k, row_number() over (order by k) - 1 as i, count(*) over () as n from w)
+select max(n) as n, min(k) as min, max(k) filter (i = n // 2) as median, max(k) filter (i = (n * 9) // 10) as p90, max(k) as max, count(*) filter (k > 500) as over from r""")
+def token_report(spark, d):
+    """A-21: words of documents, and those beyond a limit."""
+    w = F.size(F.split(F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), r"[ \t\n\x0b\f\r]+")).alias("k")
+    return R.token_report(_t(spark, d, "documents", "text").select(w), "k", 500)
+
+
+@query("select s_suppkey, s_acctbal from supplier order by s_acctbal, s_suppkey limit 5")
+def weakest(spark, d):
+    """O-11: suppliers of the least balance."""
+    return R.weakest(_t(spark, d, "supplier", "s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey")
+
+
+@query("""
+with w as (select doc_id, string_split(text, ' ') as w from documents where len(text) < 2000)
+select doc_id, len(list_distinct(w)) as n_unique, w[1] as first, array_to_string(list_sort(list_distinct(w)), ' ') as sorted from w""")
+def unique_words(spark, d):
+    """W-12, U-4: words of short texts once each, in order and sorted."""
+    w = _t(spark, d, "documents", "doc_id", "text").where(F.length("text") < 2000).select("doc_id", F.split("text", " ").alias("w"))
+    u = w.select("doc_id", R.unique_in_order(F.col("w")).alias("u"), R.unique_sorted(F.col("w")).alias("s"))
+    return u.select("doc_id", F.size("u").alias("n_unique"), F.get("u", F.lit(0)).alias("first"), F.array_join("s", " ").alias("sorted"))
+
+
+@query("""
+with q as (select c_custkey as qid, lower(c_mktsegment) as w from customer where c_custkey % 20 = 0 and length(c_mktsegment) > 3 and regexp_full_match(c_mktsegment, '[A-Za-z]+')),
+s as (select 'part/' || p_partkey || '.py' as path, p_type as symbol, p_size as start_line from part),
+h as (select qid, path, symbol, start_line from q join s on contains(lower(symbol), w) or contains(lower(regexp_extract(path, '([^/]*)$', 1)), w)),
+r as (select *, row_number() over (partition by qid order by path, start_line, symbol) as rank from h) select qid, path, symbol, start_line, rank from r where rank <= 20""")
+def code_spans(spark, d):
+    """P-33: parts as symbols, searched with words of customers' segments."""
+    s = F.struct(F.col("p_type").alias("name"), F.lit("type").alias("type"), F.col("p_size").alias("start_line"), F.col("p_size").alias("end_line"))
+    p = _t(spark, d, "part", "p_partkey", "p_type", "p_size")
+    index = p.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.array(s).alias("symbols"))
+    asked = _t(spark, d, "customer", "c_custkey", "c_mktsegment").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("qid"), F.col("c_mktsegment").alias("text"))
+    return G.code_spans(index, asked).select("qid", "path", "symbol", "start_line", "rank")
+
+
 @query("""
 with s as (select distinct l_partkey as seed from lineitem where l_partkey % 20 = 0),
 h as (select distinct l_orderkey, l_partkey as seed from lineitem where l_partkey in (select seed from s)),

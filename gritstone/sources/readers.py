@@ -154,3 +154,14 @@ def discover(df: DataFrame, created: str, since: str, most: int | None = None) -
     """S-15 to S-17: newest first, none before ``since``, at most ``most``."""
     out = df.where(F.col(created) >= F.lit(since).cast("timestamp_ntz")).orderBy(F.desc(created))
     return out.limit(most) if most is not None else out
+
+
+def discover_new(df: DataFrame, done: DataFrame, number: str, created: str, since: str, quota: int) -> DataFrame:
+    """S-16: the newest ``quota`` numbers that are not ``done``, none before ``since``; changes are not told from issues."""
+    new = df.where(F.col(number).isNotNull()).join(done.select(number), number, "left_anti")
+    return discover(new, created, since, quota)
+
+
+def one_record(df: DataFrame, key: str, number: int) -> DataFrame:
+    """S-18: the record of one number; the filter reaches the scan, and no row is an empty frame."""
+    return df.where(F.col(key) == number).limit(1)

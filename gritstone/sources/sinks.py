@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,3 +120,48 @@ def last_good(found: DataFrame, cached: DataFrame) -> DataFrame:
     if cached.isEmpty():
         raise LookupError("discovery found nothing and there is no earlier result")
     return cached
+
+
+def load_strict(df: DataFrame, good: Column, target: str) -> None:
+    """K-4: rows appended, or an error and nothing written where any row is bad; Spark retries tasks itself."""
+    bad = df.where(~F.coalesce(good, F.lit(False)))
+    if not bad.isEmpty():
+        raise ValueError("rows that cannot be loaded")
+    append_batch(df, target, "parquet")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def save_checkpoint(df: DataFrame, path: str) -> None:
+    """K-16: replaces what was saved."""
+    replace(df, path)
+
+
+def load_checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """K-16: what was saved, or None."""
+    fs, p = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else None
+
+
+def clear_checkpoint(spark: SparkSession, path: str) -> None:
+    """K-16: nothing happens where there is none."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def bootstrap(spark: SparkSession, script: str) -> int:
+    """K-22: runs each statement of a script whose statements end at line ends in semicolons; how many there were."""
+    found = [s.strip() for s in re.split(r";[ \t]*(?:\n|$)", script)]
+    found = [s for s in found if s]
+    for s in found:
+        spark.sql(s)
+    return len(found)
+
+
+def write_symbol_index(index: DataFrame, path: str) -> None:
+    """K-26: JSON rows of the files that have symbols."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    index.where((size("classes") > 0) | (size("functions") > 0)).write.mode("overwrite").json(path)

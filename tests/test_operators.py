@@ -282,3 +282,98 @@ def test_stratified_split_keeps_null_keys(spark):
 
     df = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a")], "id int, s string")
     assert S.stratified_split(df, "id", "s", 1).count() == 3
+
+
+def test_vector_topk_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    vs = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(80)] + [(90, None), (91, []), (92, [0.0] * 3), (93, [1.0, None, 2.0]), (94, [float("nan"), 1.0, 1.0]), (95, [1.0, 1.0])]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>").repartition(3)
+    ok = {i: v for i, v in vs if v and None not in v and any(v) and not any(x != x for x in v)}
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+
+    want = set()
+    for q, a in ok.items():
+        near = sorted((-round(cosine(a, b), 6), i) for i, b in ok.items() if len(a) == len(b))[:4]
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(near)}
+    got = {(r.qid, r.vid, round(r.score, 6), r["rank"]) for r in G.vector_topk(df.withColumnRenamed("vec_id", "qid"), df, 4).collect()}
+    assert got == want
+    edges = G.similar_edges(df.where("vec_id < 5"), df, 2).collect()
+    assert all(e.src != e.dst for e in edges) and {e["rank"] for e in edges} == {1, 2}
+
+
+def test_text_vectors(spark):
+    rows = [("Fix the scheduler", "it hangs"), ("fix THE scheduler", "it; hangs"), (None, None), ("other words", "here")]
+    v = [r[0] for r in spark.createDataFrame(rows, "t string, b string").select(G.text_vector(F.col("t"), F.col("b"), 16)).collect()]
+    assert v[0] == v[1] and v[2] is None and len(v[3]) == 16
+    assert abs(sum(x * x for x in v[3]) - 1) < 1e-9
+
+
+def test_code_spans(spark):
+    sym = "path string, symbols array<struct<name: string, type: string, start_line: int, end_line: int>>"
+    index = spark.createDataFrame([("core/dag.py", [("DagRun", "class", 5, 9), ("helper", "function", 1, 2)]), ("ui/scheduler.ts", [("x", "function", 1, 1)]), ("e.py", None)], sym)
+    got = G.code_spans(index, spark.createDataFrame([(1, "The Scheduler, (dagrun) a2b dag"), (2, None)], "qid int, text string")).collect()
+    assert sorted((r.qid, r.path, r.symbol, r["rank"]) for r in got) == [(1, "core/dag.py", "DagRun", 1), (1, "ui/scheduler.ts", "x", 2)]
+    counted = G.symbol_counts(spark.createDataFrame([("a", ["A"], ["f", "g"]), ("b", None, [])], "path string, classes array<string>, functions array<string>")).first()
+    assert tuple(counted) == (1, 2, 2)
+
+
+def test_reasoner_texts(spark):
+    row = (1, [("labeled",), ("closed",), (None,), ("assigned",)], [(7, [("APPROVED", " good work ", ("ann",)), ("COMMENTED", "  ", ("bob",))], [("see this line", "a.py", 0, 12, None)]), (None, None, None)])
+    ddl = """k int, timeline array<struct<event: string>>, prs array<struct<pr_number: bigint, reviews: array<struct<state: string, body: string, user: struct<login: string>>>,
+        review_comments: array<struct<body: string, path: string, line: bigint, original_line: bigint, user: struct<login: string>>>>>"""
+    r = spark.createDataFrame([row, (2, None, None)], ddl).select("k", L.reasoner_timeline(F.col("timeline")).event.alias("e"), L.review_text(F.col("prs")).alias("t")).orderBy("k").collect()
+    assert r[0].e == ["labeled", "assigned"] and r[1].e == []
+    assert r[0].t.reviews == "[PR #7 \u2014 APPROVED by ann]: good work" and r[0].t.inline == "[? on a.py:12]: see this line"
+    assert tuple(r[1].t) == ("", "")
+
+
+def test_strict_critic_labels(spark):
+    def pr(n, merged=None, reviews=(), notes=(), runs=(), patch="+x", files=1):
+        return (n, {"merged_at": merged}, [{"filename": f"f{i}.py", "patch": patch} for i in range(files)], [{"state": s, "body": b} for s, b in reviews], [{"body": b, "diff_hunk": "@@"} for b in notes], [{"name": a, "conclusion": c} for a, c in runs])
+
+    long_ = "this needs a good deal of rework"
+    rows = [
+        pr(1, None, [("CHANGES_REQUESTED", long_)], ["an inline note that is long enough"]), pr(2, "t", [("CHANGES_REQUESTED", long_)], ["an inline note that is long enough"]),
+        pr(3, "t"), pr(4, "t", [("APPROVED", "LGTM"), ("APPROVED", "very well tested, thanks")], files=2), pr(5, "t", runs=[("Unit Tests", "failure")]), pr(6, "t", runs=[("labeler", "failure")]),
+        pr(7, None, [("CHANGES_REQUESTED", "   " + "x" * 18 + "    ")]), pr(8, "t", notes=["```suggestion\nsome long suggested line"]), pr(9, "t", patch=None), (10, None, None, None, None, None),
+    ]
+    ddl = """pr_number bigint, pr struct<merged_at: string>, files array<struct<filename: string, patch: string>>, reviews array<struct<state: string, body: string>>,
+        review_comments array<struct<body: string, diff_hunk: string>>, check_runs array<struct<name: string, conclusion: string>>"""
+    got = {r.pr_number: (r.label, r.reasoning) for r in DS.strict_critic_label(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {
+        1: ("REJECT", long_), 2: ("REVISE", "an inline note that is long enough"), 3: ("ACCEPT", DS.NO_FINDINGS["one"]), 4: ("ACCEPT", "very well tested, thanks"), 5: (None, None),
+        6: ("ACCEPT", DS.NO_FINDINGS["one"]), 7: (None, None), 8: (None, None), 9: (None, None), 10: (None, None),
+    }
+    pools = DS.pooled([spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(3,)], "k int")], "k", 1)
+    assert sorted(r.k for r in pools.collect()) == [1, 2, 3]
+
+
+def test_checkpoints_loads_and_bootstrap(spark, tmp_path):
+    from gritstone.sources import readers, sinks
+
+    at = f"{tmp_path}/cp"
+    assert sinks.load_checkpoint(spark, at, "n int") is None
+    sinks.save_checkpoint(spark.createDataFrame([(1,), (2,)], "n int"), at)
+    sinks.save_checkpoint(spark.createDataFrame([(3,)], "n int"), at)
+    assert [r.n for r in sinks.load_checkpoint(spark, at, "n int").collect()] == [3]
+    sinks.clear_checkpoint(spark, at)
+    sinks.clear_checkpoint(spark, at)
+    assert sinks.load_checkpoint(spark, at, "n int") is None
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    with pytest.raises(ValueError):
+        sinks.load_strict(df, F.col("s") != "", f"{tmp_path}/t")
+    sinks.load_strict(df, F.col("n") > 0, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    assert sinks.bootstrap(spark, "create or replace temp view boot_a as select ';' as x;\n\ncreate or replace temp view boot_b as select 2 as y;") == 2
+    assert spark.table("boot_a").first().x == ";"
+    index = spark.createDataFrame([("a", ["A"], None), ("b", [], []), ("c", None, ["f"])], "path string, classes array<string>, functions array<string>")
+    sinks.write_symbol_index(index, f"{tmp_path}/index")
+    assert sorted(r.path for r in spark.read.schema("path string").json(f"{tmp_path}/index").collect()) == ["a", "c"]
+    items = spark.createDataFrame([(1, "2020-01-01"), (2, "2021-01-01"), (3, "2018-01-01"), (4, "2022-01-01"), (None, "2023-01-01")], "number int, day string").withColumn("created_at", F.col("day").cast("timestamp_ntz"))
+    got = readers.discover_new(items, spark.createDataFrame([(4,)], "number int"), "number", "created_at", "2019-01-01", 1)
+    assert [r.number for r in got.collect()] == [2]
+    assert readers.one_record(items, "number", 3).first().day == "2018-01-01"
