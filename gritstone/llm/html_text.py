@@ -7,6 +7,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -26,13 +27,38 @@ INLINE = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "figure"}
-WORDS_AWAY = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|foot|header|masthead|menu|modal|nav\w*|"
-    r"newsletter|notices?|alert|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|side|signup|social|sponsor\w*|"
-    r"subscribe|tags?|toolbar|topbar|widget|contentinfo|complementary|navigation|search|discussion|feedback|login|legal|copyright|recommended)(?=$|[\s_-])",
+#: Words of classes, ids and roles. Those of the first list mark what is never the article's; those of the second what often is not.
+AWAY_ALWAYS = re.compile(
+    r"(?:^|[_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|foot|header|masthead|menu|modal|nav\w*|"
+    r"newsletter|notices?|alert|pagination|pager|popup|promo\w*|replies|reply|respond|sidebar|side|signup|sponsor\w*|"
+    r"subscribe|topbar|contentinfo|complementary|navigation|login|copyright)(?=$|[_-])",
     re.I,
 )
-WORDS_TOWARDS = re.compile(r"(?:^|[\s_-])(article|content|entry|main|post|story|body|text)(?=$|[\s_-])", re.I)
+AWAY_OFTEN = re.compile(r"(?:^|[_-])(related|share|sharing|social|tags?|toolbar|widget|search|discussion|feedback|legal|recommended)(?=$|[_-])", re.I)
+TOWARDS = re.compile(r"(?:^|[_-])(article|content|entry|main|post|story|body|text)(?=$|[_-])", re.I)
+OWN_HEAD = re.compile(r"(?:article|content|entry|post|story)[_-]+header", re.I)
+TEXT_TAGS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+@lru_cache(4096)
+def named_lean(words: str, tag: str, inside: bool) -> tuple[float, bool]:
+    """What names say of an element's blocks (above zero: content), and whether they set it apart from its neighbours.
+
+    A name that ends in a word for content after one that often marks none says little; an article's
+    own header is part of it; a paragraph that a doubtful word names can stand by its form.
+    """
+    low, high = 0.0, 0.0
+    for name in words.split():
+        if AWAY_ALWAYS.search(name):
+            if not (inside and OWN_HEAD.fullmatch(name)):
+                return -9.0, True
+            continue
+        towards = list(TOWARDS.finditer(name))
+        if AWAY_OFTEN.search(name):
+            low = min(low, -1.0 if towards and towards[-1].end() == len(name) else -7.0 if tag in TEXT_TAGS else -9.0)
+        elif towards and tag not in INLINE:
+            high = 2.0
+    return low or high, False
 
 
 @dataclass
@@ -135,10 +161,10 @@ def blocks(html: str) -> list[Block]:
             named = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])}
             words = " ".join(named.get(k, "") for k in ("class", "id", "role"))
             if words.strip():
-                if WORDS_AWAY.search(words):
-                    lean -= 9.0
-                elif WORDS_TOWARDS.search(words) and name not in INLINE:
-                    lean += 2.0
+                said, apart = named_lean(words, name, bool(inside))
+                lean += said
+                if apart:
+                    section = n
             if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
                 lean -= 9.0
         stack.append((name, n, lean, section, holder if name in INLINE else len(stack)))
@@ -160,6 +186,11 @@ def close_tag(name: str, stack: list, opened: Counter, stop: tuple = ("article",
             return
 
 
+def reserved(b: Block) -> bool:
+    """Whether a block is a note of rights."""
+    return "©" in b.text[:3] or "all rights reserved" in b.text.lower()
+
+
 def content_odds(b: Block) -> float:
     """Log-odds that a block is main text: a linear classifier over its form and its ancestors."""
     words = b.text.count(" ") + 1
@@ -171,7 +202,7 @@ def content_odds(b: Block) -> float:
         odds += 0.5
     elif b.tag in ("li", "td", "th", "dt", "dd"):
         odds -= 0.5
-    if "©" in b.text[:3] or "all rights reserved" in b.text.lower():
+    if reserved(b):
         odds -= 4.0
     return max(-12.0, min(12.0, odds))
 
@@ -242,11 +273,13 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def main_text(html: str | None, near: float = 0.6, kin: float = 1.2) -> str:
-    """The page's main text; empty if it has none or the page is null."""
+    """The page's main text; empty if it has none or the page is null.
+
+    Where the cut leaves no block, those that nothing marks as boilerplate and that are not mostly
+    links are the text.
+    """
     found = blocks(html or "")
     odds = [content_odds(b) for b in found]
-    if not any(o > 0 for o in odds):
-        return ""
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
@@ -258,6 +291,8 @@ def main_text(html: str | None, near: float = 0.6, kin: float = 1.2) -> str:
             edges.append((j, i, kin))
         last[b.section] = i
     keep = min_cut(odds, edges) if any(o < 0 for o in odds) else [True] * len(odds)
+    if not any(keep):  # a page of few words: what nothing marks as boilerplate
+        keep = [b.lean >= 0 and 2 * b.linked < len(b.text) and not reserved(b) for b in found]
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -34,6 +34,13 @@ ARTICLE = " ".join(f"Some words of an article that go on for a while, {i} and th
     ("<article><script>var a = '<p>no</p>';</script><style>p{{}}</style>{}<!-- <p>no</p> --></article>", ARTICLE),
     ("<body>{}</body>", ARTICLE),
     ("<article>{}<p>Of.</article>", ARTICLE + " Of."),
+    ("<div class='post-share-story'>{}</div>", ARTICLE),
+    ("<article>{}<p class='tag'>A paragraph that is part of the article, whatever its class may be.</p></article>", ARTICLE + " A paragraph that is part of the article, whatever its class may be."),
+    ("<article><p class='related'>It starts with a paragraph that is part of the article.</p>{}</article>", "It starts with a paragraph that is part of the article. " + ARTICLE),
+    ("<article><div class='entry-header'><h1>Title of it</h1></div>{}<div class='entry-footer'>Filed under many things by us</div></article>", "Title of it " + ARTICLE),
+    ("<article>{}<p class='advert'>Buy our many good things in this shop of ours, today only.</p></article>", ARTICLE),
+    ("<article>{}<div class='share-buttons'><a href=x>Share</a> <a href=y>Send</a></div></article>", ARTICLE),
+    ("<div class='article-sidebar'><p>Many words of a sidebar that nobody wants to read at all, ever.</p></div><div class=content>{}</div>", ARTICLE),
 ])
 def test_pages(page, text):
     assert main_text(page.format("".join(P.format(i) for i in range(3)))) == text
@@ -43,6 +50,12 @@ def test_characters_white_space_and_blocks():
     assert main_text("<article><h1>A &amp; B</h1><p>x&nbsp;y\n\t z<b>bold</b>er &#233;&lt;p&gt;<br>next</article>") == "A & B x y zbolder é<p> next"
 
 
+def test_short_pages():
+    assert main_text("<body><p>Opening hours.</p><table><tr><td>Mon</td><td>9</td></tr></table></body>") == "Opening hours. Mon 9"
+    assert main_text("<nav><a href=x>Home</a></nav><p>Gone.</p><footer>x</footer>") == "Gone."
+    assert main_text("<nav><ul><li><a href=x>Home</a></ul></nav><ul><li><a href=y>More</a></li></ul><p>© all of us</p>") == ""
+
+
 def test_broken_and_empty_pages():
     for page in (None, "", "<", "<>", "<p", "<!--", "<script>x", "</p></div>", "<nav>" * 500, "\x00", "<a href='x>"):
         assert isinstance(main_text(page), str)
