@@ -141,7 +141,7 @@ w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as
 o as (select *, (sum(source_size) over ())::double as total,
         coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as below,
         (sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following))::double as above from w),
-u as (select coalesce(min((total - below) / above) filter (most / weight >= (total - below) / above), 0) as unit from o),
+u as (select coalesce(max((total - below) / above) filter (most / weight >= (total - below) / above), 0) as unit from o),
 t as (select source, source_size, least(weight::double * unit, most) as target,
         case when source_size > 0 then least(weight::double * unit, most) / source_size else 0 end as rate from w, u),
 k as (select unnest(range(32)) as k),
