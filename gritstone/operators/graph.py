@@ -131,18 +131,13 @@ def _best(held: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def vector_topk_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", vec: str = "embedding", most: int = 10_000) -> DataFrame:
-    """V-1 for a query set of any size: ``vector_topk`` block by block, results joined in one frame.
+    """V-1 for a query set of any size: over ``most`` queries meet the vectors in blocks, by one shuffle and without the driver."""
+    if queries.limit(most + 1).count() <= most:
+        return vector_topk(queries, vectors, k, qid, vid, vec, most)
+    from .vector_index import fine, topk_in_blocks
 
-    Queries are dealt by a hash of their id, about half of ``most`` to a block, so that no block
-    exceeds it by chance; rows of one id share a block.
-    """
-    blocks = max(1, -(-2 * queries.count() // most)) if queries.limit(most + 1).count() > most else 1
-    block = F.pmod(F.xxhash64(qid), F.lit(blocks))
-    parts = [vector_topk(queries.where(block == b) if blocks > 1 else queries, vectors, k, qid, vid, vec, most) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    every = lambda df, id_, name: df.where(fine(vec)).select(F.col(id_).alias(name), F.col(vec).cast("array<double>").alias("v"), F.size(vec).alias("list"))
+    return topk_in_blocks(every(queries, qid, "qid"), every(vectors, vid, "vid"), k)
 
 
 def retrieve_files(top: DataFrame, resolved: DataFrame, touches: DataFrame) -> DataFrame:

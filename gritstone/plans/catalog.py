@@ -19,6 +19,7 @@ from ..operators import issues as I
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import sampling as S
+from ..operators.vector_index import VectorIndex
 from ..streaming import streams as ST
 
 #: Makes the lines of an order unique; line numbers alone repeat.
@@ -454,6 +455,25 @@ def similar_edges(spark, d):
     return G.similar_edges(e.where("vec_id % 20 = 0"), e).withColumn("score", F.round("score", 4))
 
 
+def _index(spark, d) -> tuple[VectorIndex, DataFrame]:
+    e = _t(spark, d, "embeddings", "vec_id", "embedding")
+    return VectorIndex.create(e, _shared(spark, "vectors")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@query(_TOPK + " select qid, vid, round(score, 4) as score, rank from t where rank <= 8")
+def vector_index_all_lists(spark, d):
+    """K-24, V-1: an index's search through all its lists: exact."""
+    index, q = _index(spark, d)
+    return index.search(q, 8, len(index.centroids)).select("qid", "vid", F.round("score", 4).alias("score"), "rank")
+
+
+@query()
+def vector_index_search(spark, d):
+    """K-24, V-1: an index's search through as many lists as an audit of 200 queries asks for (0.9 of the neighbours found)."""
+    index, q = _index(spark, d)
+    return index.search(q, 8, index.enough_lists(q, 8)).select("qid", "vid", F.round("score", 4).alias("score"), "rank")
+
+
 @query("""
 with w as (select len(string_split_regex(trim(text, e' \\t\\n\\x0b\\x0c\\r'), '[ \\t\\n\\x0b\\x0c\\r]+')) as k from documents),
 r as (select k, row_number() over (order by k) - 1 as i, count(*) over () as n from w)
@@ -650,14 +670,19 @@ def mean_stdev(spark, d):
 # --- streaming --------------------------------------------------------------------------------
 
 
-def _stream(spark, d, build) -> DataFrame:
-    """Runs a stream over the events table to its end and returns what it wrote, from the shared folder."""
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder of ``spark.checkpoint.dir``; one of this machine only where that is unset and the master local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="gritstone-stream-")
-    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+        shared = "file://" + tempfile.mkdtemp(prefix=f"gritstone-{name}-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stream(spark, d, build) -> DataFrame:
+    """Runs a stream over the events table to its end and returns what it wrote, from the shared folder."""
+    out = _shared(spark, "stream")
     events = _t(spark, d, "events")
     # a folder, or one file named by a pattern
     src = spark.readStream.schema(events.schema).format("parquet").load(f"{d}/events.parquet*")
