@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-import gritstone.plans.activity  # noqa: F401  (registers its queries in the catalogue)
+import gritstone.plans.activity
+import gritstone.plans.code  # noqa: F401  (both register their queries in the catalogue)
 from gritstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
