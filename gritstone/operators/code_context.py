@@ -64,6 +64,12 @@ def outlines(blobs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     return blobs.select(*keys, text).mapInArrow(run, schema)
 
 
+def landed(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back: files are parsed once, whatever reads their outlines."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- stabbing join -----------------------------------------------------------------------------
 
 
@@ -148,15 +154,16 @@ def structural_context(symbols: DataFrame, hunks: DataFrame, files: DataFrame, k
     return ranked.unionByName(own).select(*key, "rank", "symbol", "symbol_type", "start_line", "end_line", "touched")
 
 
-def python_context(blobs: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
+def python_context(blobs: DataFrame, patches: DataFrame, key: list[str], shape: DataFrame | None = None) -> DataFrame:
     """F-32 with texts: ``blobs`` (key, path, text), ``patches`` (key, patch); adds ``code``, the lines of each window.
 
+    ``shape`` is their outlines, best ``landed``: they are read several times.
     Only files whose path ends in .py; of one without lines, the patch stands for its code. A file without a patch shows its first symbols.
     """
     from ..functions.diffs import hunk_headers
 
     py = blobs.where(F.col("path").endswith(".py"))
-    shape = outlines(py, key)
+    shape = outlines(py, key) if shape is None else shape
     lines = old_lines(hunk_headers(F.col("patch")))
     hunks = patches.select(*key, F.posexplode(lines).alias("i", "h")).select(*key, (F.col("i") + 1).alias("nth"), "h.lo", "h.hi")
     rows = structural_context(shape.select(*key, F.inline("symbols")), hunks, shape.select(*key, "n_lines"), key)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.diffs import hunk_headers
 from ..operators import code_context as C
-from .catalog import _t, query
+from .catalog import _shared, _t, query
 
 #: Lines of each function, of each file, and of each change, as the texts below have them.
 _FILES = """
@@ -32,6 +32,10 @@ def _blobs(spark, d):
     return g.select("c", F.format_string("src/c%d.py", F.col("c")).alias("path"), F.concat_ws("\n", head, "functions").alias("text"))
 
 
+def _shape(spark, d, blobs, keys):
+    return C.landed(C.outlines(blobs, keys), _shared(spark, "outlines"))
+
+
 def _patches(spark, d):
     """(c, patch): hunks at the orders that are closed."""
     k = _orders(spark, d).where("st = 'F'").groupBy("c").agg(F.array_sort(F.collect_list("k")).alias("ks"))
@@ -51,14 +55,14 @@ select c, rank, symbol, symbol_type, start_line, end_line, touched from r where
 union all select h.c, nth, 'hunk_' || nth, 'fallback_hunk_window', greatest(1, lo - 8), least(n_lines, hi + 9), true from h join f using (c) where h.c % 7 = 0 and nth <= 6""")
 def structural_context(spark, d):
     """F-32, F-26, O-8: symbols around each file's change; hunks where a file doesn't parse."""
-    return C.python_context(_blobs(spark, d), _patches(spark, d), ["c"]).select("c", "rank", "symbol", "symbol_type", "start_line", "end_line", "touched")
+    return C.python_context(_blobs(spark, d), _patches(spark, d), ["c"], _shape(spark, d, _blobs(spark, d), ["c"])).select("c", "rank", "symbol", "symbol_type", "start_line", "end_line", "touched")
 
 
 @query(_FILES + """, j as (select h.c, h.nth, h.lo as line, s.name as symbol, s.hi - s.lo + 1 as n_lines, row_number() over (partition by h.c, h.nth order by s.lo desc, s.hi, s.name) as r
 from h join s on s.c = h.c and h.lo between s.lo and s.hi) select c, nth, line, symbol, n_lines from j where r = 1""")
 def innermost_symbol(spark, d):
     """F-26, F-27: the innermost symbol that holds a change's first line, by a stabbing join."""
-    s = C.outlines(_blobs(spark, d), ["c"]).select("c", F.inline("symbols"))
+    s = _shape(spark, d, _blobs(spark, d), ["c"]).select("c", F.inline("symbols"))
     got = C.innermost(_hunks(spark, d).select("c", "nth", F.col("lo").alias("line")), s, ["c"], "line", ["nth"])
     return got.select("c", "nth", "line", F.col("name").alias("symbol"), (F.col("hi") - F.col("lo") + 1).alias("n_lines"))
 
@@ -81,5 +85,5 @@ def supporting_windows(spark, d):
     path = lambda c: F.format_string("src/c%d.py", c)
     changed = mine.join(ranges, "c", "left").select(F.col("c").alias("task"), path(F.col("c")).alias("path"), F.lit(0).alias("nth"), "ranges")
     near = mine.select(F.col("c").alias("task"), F.posexplode(F.array(F.col("c") + 3, F.col("c") + 4)).alias("nth", "x")).select("task", path(F.col("x")).alias("path"), "nth")
-    got = C.supporting_windows(mine.select(F.col("c").alias("task"), F.lit("s").alias("snapshot")), changed, near, C.outlines(blobs, ["snapshot", "path"]))
+    got = C.supporting_windows(mine.select(F.col("c").alias("task"), F.lit("s").alias("snapshot")), changed, near, _shape(spark, d, blobs, ["snapshot", "path"]))
     return got.withColumnRenamed("task", "c")

@@ -65,10 +65,26 @@ class LastMessages(StatefulProcessor):
         pass
 
 
-def bounded_rounds(open_rows: DataFrame, step, most: int = 3) -> DataFrame:
-    """T-6: ``step`` (frame -> frame with ``done``) on rows that are not done, ``most`` times; rounds are counted."""
+def bounded_rounds(open_rows: DataFrame, step, folder: str, most: int = 3) -> DataFrame:
+    """T-6: ``step`` (frame -> frame with ``done``) on rows that are not done, ``most`` times; rounds are counted.
+
+    Each round's rows are written to ``folder`` (a new one, shared by all executors) and read
+    from there, so ``step`` sees a row once a round, however often the result is read, and a step that
+    does not give the same twice (a model) is kept as it was. A round that leaves nothing open is the last.
+    """
+    spark, rounds = open_rows.sparkSession, []
     rows = open_rows.withColumns({"done": F.lit(False), "rounds": F.lit(0)})
-    for _ in range(most):
-        todo = step(rows.where("not done")).withColumn("rounds", F.col("rounds") + 1)
-        rows = rows.where("done").unionByName(todo)
-    return rows
+    for n in range(1, most + 1):
+        after = step(rows.where("not done")).withColumns({"done": F.coalesce(F.col("done"), F.lit(False)), "rounds": F.lit(n)})
+        at = f"{folder.rstrip('/')}/round={n}"
+        after.write.parquet(at)
+        rows = spark.read.schema(after.schema).parquet(at)
+        rounds.append(rows)
+        if rows.where("not done").isEmpty():
+            break
+    if not rounds:
+        return rows
+    out = rounds[-1]
+    for r in rounds[:-1]:
+        out = out.unionByName(r.where("done"))
+    return out

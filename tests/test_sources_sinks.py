@@ -9,6 +9,8 @@ from gritstone import schema
 from gritstone.operators.relational import dedup_latest
 from gritstone.sources import readers as R
 from gritstone.sources import sinks as K
+from gritstone.sources import chunks as CH
+from gritstone.sources import records as RC
 from gritstone.sources.paged import PagedSource
 
 
@@ -67,6 +69,95 @@ def test_paged_source(spark):
     assert sorted(json.loads(r.record)["n"] for r in df.collect()) == [10, 11, 20, 21, 30, 31]
 
 
+def full(page):
+    return [{"n": 10 * page + i} for i in range(3)] if page < 5 else [{"n": 50}] if page == 5 else []
+
+
+@pytest.mark.parametrize("per_task", [1, 2, 3, 9])
+@pytest.mark.parametrize("most", [1, 3, 4, 12, 13, 99])
+def test_paged_source_caps_all_partitions(spark, per_task, most):
+    spark.dataSource.register(PagedSource)
+    read = lambda **o: [json.loads(r.record)["n"] for r in spark.read.format("paged").options(pages=9, pages_per_task=per_task, max_items=most, fetch="tests.test_sources_sinks.full", **o).load().collect()]
+    want = [r["n"] for p in range(1, 9) for r in full(p)][:most]
+    assert sorted(read()) == sorted(read(per_page=3)) == want
+
+
+def asked(page):
+    if page not in (2, 3):
+        raise ValueError(page)
+    return [page]
+
+
+def test_paged_source_fetches_only_the_pages_asked_for(spark):
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("paged").options(pages=9, pages_per_task=2, push_filters=True, fetch="tests.test_sources_sinks.asked").load()
+        assert sorted(r.page for r in df.where("page >= 2 and page < 4").collect()) == [2, 3]
+        assert [r.page for r in df.where("page in (3, 12)").collect()] == [3] and df.where("page > 9").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def service(part, key, page):
+    """Stands for the service: two changes, an issue, long lists, and calls that fail."""
+    if part in ("pr", "issue"):
+        if key == 3:
+            raise OSError("gone")
+        if key == 4:
+            return None
+        return {"number": key, "title": f"t{key}", "body": "Fixes #7", "head": {"sha": f"sha{key}"}, "labels": [{"name": "bug"}, {"name": ""}]}
+    if part == "requested_reviewers":
+        return {"users": [{"login": "ann"}, {"login": "bob"}], "teams": []}
+    if part == "comments":
+        return [{"body": "closes #8", "created_at": "x"}]
+    if part == "files":
+        return [{"filename": f"f{i}"} for i in range(100 * (page - 1), min(100 * page, 205))]
+    if part == "reviews" and key == 2:
+        raise TimeoutError("slow")
+    if part == "reviews":
+        return [{"id": 1, "state": "APPROVED", "user": {"login": "ann"}}]
+    if part == "check_runs":
+        return [{"name": "tests", "conclusion": "success"}, {"name": "lint", "conclusion": {"sha1": "failure", "sha2": "neutral"}[key]}]
+    return []
+
+
+def test_records_are_assembled_from_endpoints(spark):
+    numbers = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (None,)], "number long")
+    name = "tests.test_sources_sinks.service"
+    parts = RC.fetch_parts(numbers, "number", name, RC.CHANGE_PARTS)
+    runs = RC.fetch_parts(RC.head_shas(parts), "sha", name, RC.COMMIT_PARTS)
+    linked = spark.createDataFrame([(1, 7)], "number long, linked_issue_number long")
+    df = RC.assemble_changes(parts, runs, linked, "o/r", "2026-01-01")
+    from gritstone.schema import RAW_ISSUE, RAW_PR
+
+    kind = spark.createDataFrame([], RAW_PR).schema
+    assert [(f.name, f.dataType) for f in df.drop("failed").schema] == [(f.name, f.dataType) for f in kind]
+    got = {r.pr_number: r for r in df.collect()}
+    assert set(got) == {1, 2} and len(got[1].files) == 205 and got[1].linked_issue_number == "7" and got[2].linked_issue_number is None
+    assert (got[1].ci_conclusion, got[2].ci_conclusion) == ("failure", "mixed") and got[1].silent_reviewers == ["bob"] and got[2].silent_reviewers == ["ann", "bob"]
+    assert got[2].failed == ["reviews"] and got[2].reviews == [] and got[1].failed == []
+    issues = RC.assemble_issues(RC.fetch_parts(numbers, "number", name, RC.ISSUE_PARTS), "o/r", "2026-01-01")
+    assert [(f.name, f.dataType) for f in issues.drop("failed").schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], RAW_ISSUE).schema]
+    one = {r.issue_number: r for r in issues.collect()}
+    assert set(one) == {1, 2} and sorted(one[1].linked_pr_numbers) == [7, 8] and one[1].label_names == ["bug"] and one[1].sub_issues == []
+
+
+def test_chunks_survive_a_failure_between_data_and_manifest(spark, tmp_path):
+    t = CH.ChunkedTable(spark, f"file://{tmp_path}/t", "key", spark.createDataFrame([], "key long, v string").schema)
+    keys = spark.createDataFrame([(i,) for i in range(10)] + [(3,), (None,)], "key long")
+    work = lambda k: k.where("key <> 5").withColumn("v", F.format_string("v%d", "key"))
+    whole, t.mark = t.mark, lambda chunk, rows: whole(chunk, rows) if chunk < 1 else (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        t.run(keys, work, 3)
+    assert sorted(r.key for r in t.rows().collect()) == [0, 1, 2] == sorted(r.key for r in t.done().collect())  # the second chunk's data is there, and isn't seen
+    t.mark = whole
+    assert t.run(keys, work, 3) == 3
+    assert sorted(r.key for r in t.rows().collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    assert t.run(keys, work, 3) == 1 and t.rows().count() == 9  # a key without a row is tried again
+    assert t.run(keys, lambda k: k.withColumn("v", F.lit("late")), 3) == 1 and t.run(keys, work, 3) == 0 and t.rows().count() == 10
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b\nc"), (1, "a")], "k int, t string")
     p = str(tmp_path / "t")

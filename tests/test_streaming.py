@@ -47,7 +47,21 @@ def test_hourly_closes_windows_behind_the_watermark(spark, tmp_path):
     assert s.count() == 4
 
 
-def test_bounded_rounds(spark):
+def test_bounded_rounds(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
     df = spark.createDataFrame([(i, 0) for i in range(5)], "need int, have int")
-    out = ST.bounded_rounds(df, lambda d: d.withColumn("have", F.col("have") + 1).withColumn("done", F.col("have") >= F.col("need")), 3)
-    assert sorted((r.need, r.rounds, r.done) for r in out.collect()) == [(0, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False)]
+
+    def step(d):
+        def once(batches):
+            for b in batches:
+                calls.add(len(b))
+                yield b.assign(have=b["have"] + 1, luck=__import__("random").random())
+
+        return d.select("need", "have").mapInPandas(once, "need int, have int, luck double").withColumn("done", F.col("have") >= F.col("need"))
+
+    out = ST.bounded_rounds(df, step, f"file://{tmp_path}/r", 3)
+    for _ in range(2):
+        assert sorted((r.need, r.rounds, r.done) for r in out.collect()) == [(0, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 3, False)]
+    assert calls.value == 5 + 3 + 2  # one call a row and round
+    assert {(r.need, r.luck) for r in out.collect()} == {(r.need, r.luck) for r in out.collect()}
+    assert ST.bounded_rounds(df.where("need < 2"), step, f"file://{tmp_path}/s", 9).count() == 2
