@@ -20,13 +20,13 @@ class Metrics:
     """
 
     def __init__(self) -> None:
-        self._known: dict[str, tuple[Callable, dict[str, T.DataType]]] = {}
+        self._known: dict[str, tuple[Callable, dict[str, str]]] = {}
 
     def register(self, name: str, inputs: dict[str, str], function: Callable[..., pa.Array]) -> None:
         """``function`` takes the columns of ``inputs`` (name to type) in order, as arrays, and returns as many numbers."""
         if name in self._known:
             raise ValueError(f"{name} is registered")
-        self._known[name] = function, {c: T._parse_datatype_string(t) for c, t in inputs.items()}
+        self._known[name] = function, dict(inputs)
 
     def row(self, name: str, inputs: dict[str, str]):
         """Registers a function of one row's values that returns a number (or None)."""
@@ -44,8 +44,8 @@ class Metrics:
             for c, t in self._known.get(n, (None, {}))[1].items():
                 if c not in df.columns:
                     wrong.append(f"{n} needs column {c}")
-                elif df.schema[c].dataType != t:
-                    wrong.append(f"{n} needs {c} as {t.simpleString()}, it is {df.schema[c].dataType.simpleString()}")
+                elif df.schema[c].dataType != T._parse_datatype_string(t):
+                    wrong.append(f"{n} needs {c} as {t}, it is {df.schema[c].dataType.simpleString()}")
         if wrong:
             raise TypeError("; ".join(wrong))
 
