@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,6 +220,37 @@ class VectorIndex:
         return min(probe, max(1, len(self.centroids)))
 
 
+def tfidf_vectors(rows: DataFrame, id_: str, title: str, body: str, dims: int = 384, slot: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """V-2, offline: (id, embedding): hashed word weights of title and body, of length one; null without a word that tells texts apart.
+
+    A word is a run of letters and digits, in small letters, and counts in the place ``slot`` modulo
+    ``dims`` gives. A place weighs ln((texts + 1) / (texts that have it + 1)). Two passes over the texts,
+    one aggregate of ``dims`` rows, which tasks get as an array; texts don't move. Null titles and
+    bodies are empty; repeated rows are texts of their own.
+    """
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    s = rows.select(id_, F.transform(words, lambda w: F.pmod(slot(w), F.lit(dims)).cast("int")).alias("slots"))
+    n = rows.count()
+    idf = np.full(dims, np.log(n + 1.0))
+    for r in s.select(F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").count().collect():  # dims at most
+        idf[r["slot"]] = np.log((n + 1.0) / (r["count"] + 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, max(1, SCORES // dims)):
+                part = b.slice(a, max(1, SCORES // dims))
+                slots = part.column("slots")
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+                v = np.bincount(row * dims + slots.flatten().to_numpy(), minlength=part.num_rows * dims).reshape(-1, dims) * idf
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                flat = pa.array((v / np.where(norm > 0, norm, 1)).ravel())
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dims), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.if_else(pa.array(norm.ravel() > 0), vectors, pa.scalar(None, vectors.type))], names=[id_, "embedding"])
+
+    return s.mapInArrow(run, T.StructType([s.schema[id_], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

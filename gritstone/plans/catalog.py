@@ -19,7 +19,7 @@ from ..operators import issues as I
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import sampling as S
-from ..operators.vector_index import VectorIndex
+from ..operators.vector_index import VectorIndex, tfidf_vectors
 from ..streaming import streams as ST
 
 #: Makes the lines of an order unique; line numbers alone repeat.
@@ -474,6 +474,22 @@ def vector_index_search(spark, d):
     return index.search(q, 8, index.enough_lists(q, 8)).select("qid", "vid", F.round("score", 4).alias("score"), "rank")
 
 
+@query("""
+with d as (select doc_id, [x for x in regexp_split_to_array(lower(concat(source, chr(10), text)), '[^\\p{L}\\p{N}]+') if x <> ''] as w from documents),
+u as (select doc_id, ('0x' || substr(md5(unnest(w)), 1, 8))::bigint % 384 as slot from d),
+t as (select doc_id, slot, count(*) as tf from u group by all),
+i as (select slot, ln(((select count(*) from documents) + 1.0)::double / (count(*) + 1)) as idf from t group by slot),
+v as (select doc_id, slot, tf * idf as v from t join i using (slot)),
+n as (select doc_id, sqrt(sum(v * v)) as norm from v group by doc_id)
+select doc_id, count(*) filter (v > 0) as n_places, round(max(v / norm), 5) as largest, round(sum(v / norm), 4) as total from v join n using (doc_id) where norm > 0 group by doc_id""")
+def text_vectors(spark, d):
+    """V-2: hashed word weights of documents."""
+    slot = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long")
+    v = tfidf_vectors(_t(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", 384, slot).where("embedding is not null")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_places"), F.round(F.array_max("embedding"), 5).alias("largest"), F.round(total, 4).alias("total"))
+
+
 @query("""
 with w as (select len(string_split_regex(trim(text, e' \\t\\n\\x0b\\x0c\\r'), '[ \\t\\n\\x0b\\x0c\\r]+')) as k from documents),
 r as (select k, row_number() over (order by k) - 1 as i, count(*) over () as n from w)

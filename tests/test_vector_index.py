@@ -1,7 +1,11 @@
 """The vector index against exact search."""
 
+import re
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gritstone.operators import vector_index as V
 from gritstone.operators.graph import vector_topk, vector_topk_in_blocks
@@ -78,3 +82,18 @@ def test_large_query_sets_meet_in_blocks(spark, vectors):
     few = vectors.where("vec_id < 400")
     want = rows(vector_topk(asked(vectors), few, 3))
     assert rows(vector_topk_in_blocks(asked(vectors), few, 3, most=10)) == want
+
+
+def test_text_vectors_equal_a_plain_computation(spark, tmp_path):
+    texts = [(i, f"title {i % 5}", f"Shared words, and word{i} word{i % 7} word{i % 7}") for i in range(60)] + [(100, None, None), (101, "", " .,!"), (102, "Ünï", None), (103, "x " * 50_000, "y")]
+    df = spark.createDataFrame(texts, "number long, title string, body string").repartition(3)
+    slot = lambda w: F.crc32(w.cast("binary"))
+    got = {r.number: r.embedding for r in V.tfidf_vectors(df, "number", "title", "body", 32, slot).collect()}
+    count = {i: np.bincount([zlib.crc32(w.encode()) % 32 for w in re.findall(r"[^\W_]+", f"{t or ''}\n{b or ''}".lower())], minlength=32) for i, t, b in texts}
+    idf = np.log((len(texts) + 1) / (sum(c > 0 for c in count.values()) + 1))
+    for i, c in count.items():
+        v = c * idf
+        assert got[i] is None if not np.linalg.norm(v) else np.allclose(got[i], v / np.linalg.norm(v))
+    index = V.VectorIndex.create(V.tfidf_vectors(df, "number", "title", "body"), f"file://{tmp_path}/t", vid="number")
+    near = rows(index.search(V.tfidf_vectors(df, "number", "title", "body").where("number = 7").withColumnRenamed("number", "qid"), 3, len(index.centroids)))
+    assert near[0][2] == 7 and near[0][3] == 1.0
