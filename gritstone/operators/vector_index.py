@@ -213,11 +213,16 @@ class VectorIndex:
         return r.hit / r.n if r.n else 1.0
 
     def enough_lists(self, queries: DataFrame, k: int, least: float = 0.9, probe: int = 8, qid: str = "qid", vec: str = "embedding") -> int:
-        """Lists to probe: ``probe``, and twice as many until ``least`` of the neighbours are found, or all lists."""
-        audit = self.audit(queries, k, qid, vec) if probe < len(self.centroids) else None
-        while probe < len(self.centroids) and self.recall(audit, k, probe) < least:
+        """Lists to probe: ``probe``, and twice as many until ``least`` of the neighbours are found.
+
+        From a quarter of the lists on, all are taken: vectors without groups spread over them anyway, and
+        a search of all lists deals no query to each of its lists.
+        """
+        some = len(self.centroids) / 4
+        audit = self.audit(queries, k, qid, vec) if probe < some else None
+        while probe < some and self.recall(audit, k, probe) < least:
             probe *= 2
-        return min(probe, max(1, len(self.centroids)))
+        return probe if probe < some else max(1, len(self.centroids))
 
 
 def tfidf_vectors(rows: DataFrame, id_: str, title: str, body: str, dims: int = 384, slot: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
