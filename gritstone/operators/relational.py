@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` as columns that ``df`` doesn't have: helper columns never replace a caller's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while f"__{n}".lower() in taken:
+            n += "_"
+        taken.add(f"__{n}".lower())
+        out.append(f"__{n}")
+    return out
+
+
 def dedup_latest(df: DataFrame, key: str | list[str], version: Column, sequence: Column) -> DataFrame:
     """A-1: of each key the row with the greatest version; of equal versions the first in sequence.
 
@@ -68,16 +79,18 @@ def summary_line(df: DataFrame, value: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """W-7, O-9, O-10, R-5: the first ``n`` rows of each group. Spark prunes each task's rows to ``n`` first."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+    (r,) = free(df, "r")
+    return df.withColumn(r, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(r) <= n).drop(r)
 
 
 def first_last(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """W-5: the first and last ``k`` rows of each group, each row once; ``edge`` says which."""
     up, down = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    a, z = free(df, "a", "z")
     return (
-        df.withColumns({"__a": F.row_number().over(up), "__z": F.row_number().over(down)})
-        .where((F.col("__a") <= k) | (F.col("__z") <= k))
-        .withColumn("edge", F.when(F.col("__a") <= k, "first").otherwise("last")).drop("__a", "__z")
+        df.withColumns({a: F.row_number().over(up), z: F.row_number().over(down)})
+        .where((F.col(a) <= k) | (F.col(z) <= k))
+        .withColumn("edge", F.when(F.col(a) <= k, "first").otherwise("last")).drop(a, z)
     )
 
 
@@ -93,16 +106,18 @@ def max_gap(df: DataFrame, by: list[str], ts: str) -> DataFrame:
     """W-1 to W-3 over rows: the largest gap between consecutive times of each group, in seconds."""
     w = Window.partitionBy(*by).orderBy(ts)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    return df.withColumn("__g", gap).groupBy(*by).agg((F.max("__g") / 1e6).alias("max_gap_s"), F.count("*").alias("n"))
+    (g,) = free(df, "g")
+    return df.withColumn(g, gap).groupBy(*by).agg((F.max(g) / 1e6).alias("max_gap_s"), F.count("*").alias("n"))
 
 
 def merge_intervals(df: DataFrame, by: list[str], lo: str, hi: str, adjacent: int = 1) -> DataFrame:
     """W-8 over rows: overlapping and adjacent intervals of each group made one."""
     w = Window.partitionBy(*by).orderBy(lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col(lo) <= F.col("__before") + adjacent, 0).otherwise(1)).over(w)
+    b, i = free(df, "before", "island")
+    island = F.sum(F.when(F.col(lo) <= F.col(b) + adjacent, 0).otherwise(1)).over(w)
     df = df.select(*by, lo, hi).distinct()  # so that no two rows tie in the order
-    return df.withColumn("__before", before).withColumn("__island", island).groupBy(*by, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
+    return df.withColumn(b, before).withColumn(i, island).groupBy(*by, i).agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop(i)
 
 
 def clip_budget(df: DataFrame, by: list[str], order: list[str], size: str, budget: int) -> DataFrame:
@@ -115,7 +130,8 @@ def clip_budget(df: DataFrame, by: list[str], order: list[str], size: str, budge
 def stop_at_budget(df: DataFrame, by: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """W-10, W-11: rows before the first that would exceed the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("__s", F.sum(size).over(w)).where(F.col("__s") <= budget).drop("__s")
+    (s,) = free(df, "s")
+    return df.withColumn(s, F.sum(size).over(w)).where(F.col(s) <= budget).drop(s)
 
 
 def window_usage(df: DataFrame, by: list[str], ts: str, value: str, seconds: int = 60) -> DataFrame:
@@ -124,24 +140,36 @@ def window_usage(df: DataFrame, by: list[str], ts: str, value: str, seconds: int
     return df.withColumn("used", F.sum(value).over(w))
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep_on_match: list[str] = ()) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], keep_on_match: list[str] = (), newest: Column | None = None) -> DataFrame:
     """K-5: source rows replace target rows of their key; ``keep_on_match`` columns keep the target's value.
 
-    Rows of the target whose key is null never match. The caller writes aside and swaps.
+    Of source rows with one key, one stays: that with the greatest ``newest`` (a null is least), of those
+    the one with the greatest hash of its columns. A null key never matches: such rows of both sides
+    all stay. The caller writes aside and swaps.
     """
-    rest = target.join(source.select(*keys).distinct(), keys, "left_anti")
+    names = target.columns
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    rest = [c for c in source.columns if c not in keys]
+    order = F.struct((F.lit(0) if newest is None else newest).alias("v"), F.xxhash64(*source.columns).alias("h"))
+    (row,) = free(source, "row")
+    one = source.where(known).groupBy(*keys).agg(F.max_by(F.struct(F.lit(0).alias("any"), *rest), order).alias(row))
+    one = one.select(*[F.col(c) if c in keys else F.col(row)[c].alias(c) for c in source.columns])
+    out = target.join(one.select(*keys), keys, "left_anti").select(*names)
     if keep_on_match:
-        old = target.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep_on_match], F.lit(True).alias("__hit"))
-        source = source.join(old, keys, "left").select(
-            *[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in keep_on_match else F.col(c) for c in target.columns]
-        )
-    return rest.unionByName(source.select(*target.columns))
+        held = dict(zip(keep_on_match, free(source, *keep_on_match)))
+        (hit,) = free(source.withColumns({h: F.lit(0) for h in held.values()}), "hit")
+        old = target.select(*keys, *[F.col(c).alias(h) for c, h in held.items()], F.lit(True).alias(hit))
+        one = one.join(old, keys, "left").select(*[F.when(F.col(hit), F.col(held[c])).otherwise(F.col(c)).alias(c) if c in held else F.col(c) for c in names])
+    return out.unionByName(one.select(*names)).unionByName(source.where(~known).select(*names))
 
 
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """K-20: the source's rows with a new key, of equal keys the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return source.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").join(target.select(*keys), keys, "left_anti").select(*source.columns)
+    (r,) = free(source, "r")
+    return source.withColumn(r, F.row_number().over(w)).where(F.col(r) == 1).drop(r).join(target.select(*keys), keys, "left_anti").select(*source.columns)
 
 
 def without_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,11 +211,12 @@ def invert_map(df: DataFrame, key: str, items: str, sequence: str, last_wins: bo
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """J-10, J-11: 0-based positions in an order: numbered within sorted ranges, then shifted by the ranges before."""
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = sorted_.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = part.groupBy("__p").agg(F.count("*").alias("__n"))
-    shift = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__s"))  # one row a partition
-    return part.join(F.broadcast(shift), "__p").withColumn(name, F.col("__i") + F.col("__s")).drop("__m", "__p", "__i", "__s")
+    m, p, i, n, shift = free(df, "m", "p", "i", "n", "s")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(m, F.monotonically_increasing_id())
+    part = sorted_.withColumns({p: F.shiftright(m, 33), i: F.col(m).bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = part.groupBy(p).agg(F.count("*").alias(n))
+    before = sizes.select(p, (F.sum(n).over(Window.orderBy(p)) - F.col(n)).alias(shift))  # one row a partition
+    return part.join(F.broadcast(before), p).withColumn(name, F.col(i) + F.col(shift)).drop(m, p, i, shift)
 
 
 def is_disjoint(a: DataFrame, b: DataFrame, key: str) -> bool:

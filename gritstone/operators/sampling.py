@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_percent
+from .relational import free
 
 
 def seeded(key: str, seed: int) -> Column:
@@ -43,7 +44,8 @@ def stratified_split(df: DataFrame, key: str, stratum: str, seed: int, test: flo
 def balanced_sample(df: DataFrame, key: str, stratum: str, n: int | Column, seed: int) -> DataFrame:
     """R-3, R-5, R-6: up to ``n`` rows of each stratum, first by md5."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(key, seed), key))
-    return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    (r,) = free(df, "r")
+    return df.withColumn(r, rank).where(F.col(r) <= n).drop(r)
 
 
 def scarcest_cap(df: DataFrame, key: str, stratum: str, cap: int, seed: int) -> DataFrame:

@@ -360,10 +360,11 @@ def leak_rows(spark, d):
     return S.leaks(_t(spark, d, "documents", "doc_id", "text"), "text", r"(?i)license|copyright").select("doc_id")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'O' and o_orderpriority = '1-URGENT')")
 def anti_join(spark, d):
-    """J-8, J-12, G-5."""
-    return R.without_done(_t(spark, d, "customer", "c_custkey"), _t(spark, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    """J-8, J-12, G-5: customers without an urgent open order."""
+    o = _t(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderpriority").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'")
+    return R.without_done(_t(spark, d, "customer", "c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("select doc_id from documents where doc_id in (select doc_id from labels)")
@@ -517,16 +518,17 @@ def unique_words(spark, d):
 
 
 @query("""
-with q as (select c_custkey as qid, lower(c_mktsegment) as w from customer where c_custkey % 20 = 0 and length(c_mktsegment) > 3 and regexp_full_match(c_mktsegment, '[A-Za-z]+')),
-s as (select 'part/' || p_partkey || '.py' as path, p_type as symbol, p_size as start_line from part),
-h as (select qid, path, symbol, start_line from q join s on contains(lower(symbol), w) or contains(lower(regexp_extract(path, '([^/]*)$', 1)), w)),
+with q as (select p_partkey as qid, unnest(string_split(lower(p_name), ' ')) as w from part where p_partkey % 20 = 0),
+u as (select distinct qid, w from q where regexp_full_match(w, '[a-z]{4,}')),
+s as (select 'part/' || p_partkey || '.py' as path, p_name as symbol, p_size as start_line from part),
+h as (select distinct qid, path, symbol, start_line from u join s on contains(lower(symbol), w) or contains(lower(regexp_extract(path, '([^/]*)$', 1)), w)),
 r as (select *, row_number() over (partition by qid order by path, start_line, symbol) as rank from h) select qid, path, symbol, start_line, rank from r where rank <= 20""")
 def code_spans(spark, d):
-    """P-33: parts as symbols, searched with words of customers' segments."""
-    s = F.struct(F.col("p_type").alias("name"), F.lit("type").alias("type"), F.col("p_size").alias("start_line"), F.col("p_size").alias("end_line"))
-    p = _t(spark, d, "part", "p_partkey", "p_type", "p_size")
+    """P-33: parts as symbols, searched with the words of parts' names."""
+    p = _t(spark, d, "part", "p_partkey", "p_name", "p_size")
+    s = F.struct(F.col("p_name").alias("name"), F.lit("type").alias("type"), F.col("p_size").alias("start_line"), F.col("p_size").alias("end_line"))
     index = p.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.array(s).alias("symbols"))
-    asked = _t(spark, d, "customer", "c_custkey", "c_mktsegment").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("qid"), F.col("c_mktsegment").alias("text"))
+    asked = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"))
     return G.code_spans(index, asked).select("qid", "path", "symbol", "start_line", "rank")
 
 
@@ -560,13 +562,39 @@ def label_stats(spark, d):
 with w as (select doc_id, (case when contains(lower(source), 'src1') then 2 else 0 end) + (case when contains(lower(text), 'tion') then 1 else 0 end) + (case when contains(lower(text), 'heit') then 1 else 0 end) as score from documents)
 select doc_id, score from w where score > 0 order by score desc, doc_id limit 40""")
 def keyword_rank(spark, d):
-    """O-4, O-5: documents by keywords in path and symbols."""
+    """Documents by keywords, as expressions; the operator is in keyword_rank_quiet."""
     i = _t(spark, d, "documents", "doc_id", "source", "text")
     hit = lambda c, w: F.contains(F.lower(c), F.lit(w)).cast("int")
     score = 2 * hit("source", "src1") + hit("text", "tion") + hit("text", "heit")
     return i.select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(40)
 
 
+@query("""
+with w as (select p_partkey as qid, string_split(lower(p_name), ' ') as words from part where p_partkey % 20 = 0),
+i as (select 'src/' || lower(p_brand) || '/' || p_partkey || '.py' as path, lower(p_name) as symbol, lower(p_type) as kind from part where p_size <> 1),
+s as (select qid, path, list_sum([case when contains(path, x) then 2 else 0 end + case when contains(symbol, x) then 1 else 0 end + case when contains(kind, x) then 1 else 0 end for x in words])::bigint as score from w cross join i),
+r as (select *, row_number() over (partition by qid order by score desc, path) as rank from s where score > 0) select qid, path, score, rank from r where rank <= 10""")
+def keyword_rank_quiet(spark, d):
+    """O-4, O-5: parts as indexed files, asked with the words of parts' names; noisy paths are left out."""
+    p = _t(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    noise = F.when(F.col("p_size") == 1, "vendor/").otherwise("src/")
+    index = p.select(F.concat(noise, F.lower("p_brand"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.array("p_name").alias("classes"), F.array("p_type").alias("functions"))
+    words = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.split(F.lower("p_name"), " ").alias("words"))
+    return G.keyword_rank(index, words, 10, "^vendor/").select("qid", "path", F.col("score").cast("long").alias("score"), "rank")
+
+
+@query(_TOPK + """, k as (select qid, vid, round(score, 4) as score from t where rank <= 8 and qid <> vid),
+r as (select distinct l_suppkey as issue, l_orderkey as pr from lineitem where l_quantity > 48), f as (select distinct l_orderkey as pr, l_partkey as part from lineitem where l_quantity > 48)
+select qid, vid as issue, score, count(*) as n_files from k join r on r.issue = k.vid join f using (pr) group by all""")
+def graph_retrieve_files(spark, d):
+    """G-6: from neighbours over suppliers' orders to parts: paths by neighbour."""
+    line = _t(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_partkey", "l_quantity").where("l_quantity > 48")
+    resolved = line.select(F.col("l_suppkey").alias("issue"), F.col("l_orderkey").alias("pr")).distinct()
+    touches = line.select(F.col("l_orderkey").alias("pr"), F.col("l_partkey").alias("filename")).distinct()
+    rows = G.retrieve_files(_topk(spark, d), resolved, touches)
+    return rows.groupBy("qid", "issue", F.round("score", 4).alias("score")).agg(F.count("*").alias("n_files"))
+
+
 # --- text -------------------------------------------------------------------------------------
 
 

@@ -47,6 +47,25 @@ def test_upsert_and_insert(spark):
     assert [(r.k, r.v) for r in R.insert_new(t, n, ["k"], [F.col("c")]).collect()] == [(3, "y")]
 
 
+def test_upsert_keeps_one_row_of_a_key(spark):
+    t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, __row string, __hit int")
+    s = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, None, None), (3, "x", 5), (3, "x", 5), (None, "n", 1), (None, "n", 1)], t.schema)
+    got = sorted((tuple(r) for r in R.upsert(t, s, ["k"], ["__hit"], F.col("__hit")).collect()), key=str)
+    assert got == sorted([(1, "new", 1), (2, "b", 1), (3, "x", 5), (None, "n", 1), (None, "n", 1)], key=str)
+
+
+def test_helper_columns_leave_the_callers(spark):
+    df = spark.createDataFrame([(1, 3, "r", "a", 7), (1, 5, "r", "z", 8), (2, 4, "r", "s", 9)], "k int, v int, __r string, __s string, __m int")
+    for out in (R.top_per_group(df, ["k"], [F.col("v")], 5), S.balanced_sample(df, "v", "k", 5, 1), R.stop_at_budget(df, ["k"], ["v"], "v", 99), R.insert_new(df.limit(0), df, ["v"], [F.col("k")])):
+        assert sorted(map(tuple, out.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(r.position for r in R.with_position(df, [F.col("v")]).where("__m > 0 and __s is not null").collect()) == [0, 1, 2]
+    ab = df.withColumnsRenamed({"__r": "__a", "__s": "__z"})
+    assert set(ab.columns) < set(R.first_last(ab, ["k"], ["v"], 1).columns)
+    odd = df.select("k", F.col("v").alias("__before"), (F.col("v") + 1).alias("__island"), F.col("v").cast("timestamp").alias("__g"))
+    assert {tuple(r) for r in R.merge_intervals(odd, ["k"], "__before", "__island").collect()} == {(1, 3, 6), (2, 4, 5)}
+    assert {tuple(r) for r in R.max_gap(odd, ["k"], "__g").collect()} == {(1, 2.0, 2), (2, None, 1)}
+
+
 def test_budgets_and_windows(spark):
     df = spark.createDataFrame([("a", i, 4) for i in range(5)], "g string, o int, size int")
     assert [r.kept for r in R.clip_budget(df, ["g"], ["o"], "size", 10).orderBy("o").collect()] == [4, 4, 2]
