@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clamp01
+from .relational import percentiles
 
 SCORES = 1 << 22  # scores a task holds at once
 
@@ -184,9 +185,11 @@ def friction(reviews: DataFrame, applies: DataFrame, k: int = 2, least: int = 20
 
 
 def label_stats(issues: DataFrame) -> DataFrame:
-    """G-12: days open by label: mean, median and 90 % (interpolated)."""
+    """G-12: days open by label: mean, median and 90 % (interpolated). A label of any size is spread over tasks."""
     e = issues.select(F.explode("labels").alias("label"), "days_open")
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.avg("days_open").alias("avg"), F.percentile("days_open", 0.5).alias("p50"), F.percentile("days_open", 0.9).alias("p90"))
+    p = percentiles(e, "days_open", {"p50": 0.5, "p90": 0.9}, ["label"]).select(F.col("label").alias("l"), "p50", "p90")
+    m = e.groupBy("label").agg(F.count("*").alias("n"), F.avg("days_open").alias("avg"))
+    return m.join(p, F.col("label").eqNullSafe(F.col("l")), "left").select("label", "n", "avg", "p50", "p90")
 
 
 def pr_history(touches: DataFrame, pr_nodes: DataFrame, seeds: DataFrame, k: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import percentiles
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -80,8 +82,10 @@ def judge_summary(df: DataFrame, score: str, label: str, correct: Column) -> Dat
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:
-    """M-9."""
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """M-9: mean, median (interpolated), least and greatest value of each group, which may be of any size."""
+    p = percentiles(df, value, {"median": 0.5}, [by]).withColumnRenamed(by, "k")
+    m = df.groupBy(by).agg(F.avg(value).alias("mean"))
+    return m.join(p, F.col(by).eqNullSafe(F.col("k")), "left").select(by, "mean", "median", "min", "max")
 
 
 def mean_stdev(df: DataFrame, value: str) -> DataFrame:

@@ -44,17 +44,12 @@ def rank_value(df: DataFrame, value: str, places: dict[str, str], by: list[str]
     """Values at 0-based places of the sorted column; ``places`` maps names to SQL over ``n``.
 
     A-7 ``floor(n / 2)``, A-8 ``floor(n / 10)``, A-11 and A-12 ``floor(n * 0.33)``, A-14
-    ``floor(0.9 * (n - 1))``. Values are counted first and ranked by running counts, so the window
-    holds distinct values, not rows.
+    ``floor(0.9 * (n - 1))``. Values are counted first and ranked by running counts within ranges of
+    values, so a window holds a range's distinct values, not a group's, and not rows.
     """
     by = by or []
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    if by:
-        upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
-        n = F.sum("c").over(Window.partitionBy(*by))
-        r = c.withColumns({"upto": upto, "n": n})
-    else:
-        r = _running(c, value)
+    r = _running_by(c, by, value) if by else _running(c, value)
     hit = lambda e: F.max(F.when((F.col("upto") > F.expr(e)) & (F.col("upto") - F.col("c") <= F.expr(e)), F.col(value)))
     return r.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("min"), *[hit(e).alias(k) for k, e in places.items()], F.max(value).alias("max"))
 
@@ -71,6 +66,41 @@ def _running(c: DataFrame, value: str, ranges: int = 256) -> DataFrame:
     return part.withColumn("w", within).join(F.broadcast(shift), "r").select(value, "c", (F.col("w") + F.col("shift")).alias("upto"), "n")  # `ranges` rows
 
 
+#: One value in so many, by its hash, is a candidate for a cut of its group; a group has so many ranges at most.
+CUT_ONE_IN, RANGES = 1 << 14, 256
+
+
+def _running_by(c: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Running counts of each group in order of ``value``: within ranges of the group's values, then shifted by the ranges before.
+
+    Cuts are values chosen by a hash, so they are the same whenever they are computed. A group
+    with few values has none and is one range; one with nine tenths of all values is RANGES of
+    them, none much larger than the others.
+    """
+    g, q, r, shift, w = free(c, "group", "cuts", "range", "shift", "within")
+    keyed = c.withColumn(g, F.struct(*by))  # nulls within a struct are equal
+    some = keyed.where(F.pmod(F.xxhash64(value), F.lit(CUT_ONE_IN)) == 0).groupBy(g).agg(F.sort_array(F.collect_list(value)).alias(q))
+    thin = F.filter(F.col(q), lambda x, i: F.pmod(i, F.ceil(F.size(q) / (RANGES - 1)).cast("int")) == 0)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((RANGES - 1).bit_length()))])  # a binary search for the number of cuts below
+    below = F.aggregate(steps, F.lit(0), lambda a, s: a + F.when(F.get(q, a + s - 1) < F.col(value), s).otherwise(0))
+    part = keyed.join(some.select(g, thin.alias(q)), g, "left").withColumn(r, F.coalesce(below, F.lit(0))).drop(q)
+    sums = part.groupBy(g, r).agg(F.sum("c").alias(w))
+    before = sums.select(g, r, (F.sum(w).over(Window.partitionBy(g).orderBy(r)) - F.col(w)).alias(shift), F.sum(w).over(Window.partitionBy(g)).alias("n"))  # RANGES rows a group
+    within = part.withColumn(w, F.sum("c").over(Window.partitionBy(g, r).orderBy(value)))
+    return within.join(before, [g, r]).select(*by, value, "c", (F.col(w) + F.col(shift)).alias("upto"), "n")
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """A-7, G-12, M-9: values at shares of each group's sorted rows, interpolated between neighbours; with n, min and max."""
+    places = {}
+    for k, x in shares.items():
+        places |= {f"{k}_lo": f"floor({x!r}D * (n - 1))", f"{k}_hi": f"ceil({x!r}D * (n - 1))"}
+    r = rank_value(df, value, places, by)
+    at = lambda k, x: F.lit(x) * (F.col("n") - 1) - F.floor(F.lit(x) * (F.col("n") - 1))
+    between = [(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * at(k, x)).alias(k) for k, x in shares.items()]
+    return r.select(*(by or []), "n", "min", *between, "max")
+
+
 def summary_line(df: DataFrame, value: str) -> DataFrame:
     """A-15: n, min, median cut to an integer, the value at 90 %, max."""
     a = df.agg(F.median(value).cast("int").alias("p50"))

@@ -47,6 +47,26 @@ def test_upsert_and_insert(spark):
     assert [(r.k, r.v) for r in R.insert_new(t, n, ["k"], [F.col("c")]).collect()] == [(3, "y")]
 
 
+@pytest.mark.parametrize("one_in", [1 << 14, 8, 1])
+def test_order_statistics_of_groups_by_ranges(spark, monkeypatch, one_in):
+    monkeypatch.setattr(R, "CUT_ONE_IN", one_in)
+    monkeypatch.setattr(R, "RANGES", 16)
+    rows = [("hot", (i * 7919) % 5003 / 4) for i in range(9000)] + [(f"g{i % 40}", float(i % 9)) for i in range(900)] + [(None, float(i)) for i in range(50)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        v = sorted(v for k, v in rows if k == g and v is not None)
+        at = lambda q: v[int(q * (len(v) - 1))] + (v[min(len(v) - 1, int(q * (len(v) - 1)) + 1)] - v[int(q * (len(v) - 1))]) * (q * (len(v) - 1) % 1)  # noqa: B023, E731
+        want[g] = (len(v), v[0], round(at(0.5), 6), round(at(0.9), 6), v[-1], v[len(v) // 3])
+    p = {r.g: r for r in R.percentiles(df, "v", {"p50": 0.5, "p90": 0.9}, ["g"]).collect()}
+    t = {r.g: r for r in R.rank_value(df, "v", {"third": "floor(n / 3)"}, ["g"]).collect()}
+    assert {g: (r.n, r.min, round(r.p50, 6), round(r.p90, 6), r.max, t[g].third) for g, r in p.items()} == want
+    if one_in == 8:  # the hot group is many ranges, of like size
+        c = df.where("v is not null").groupBy("g", "v").agg(F.count("*").alias("c"))
+        plan = R._running_by(c, ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()
+        assert "__range" in plan.split("windowspecdefinition", 1)[1]
+
+
 def test_upsert_keeps_one_row_of_a_key(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, __row string, __hit int")
     s = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, None, None), (3, "x", 5), (3, "x", 5), (None, "n", 1), (None, "n", 1)], t.schema)
