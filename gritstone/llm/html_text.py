@@ -37,6 +37,8 @@ AWAY_ALWAYS = re.compile(
 AWAY_OFTEN = re.compile(r"(?:^|[_-])(related|share|sharing|social|tags?|toolbar|widget|search|discussion|feedback|legal|recommended)(?=$|[_-])", re.I)
 TOWARDS = re.compile(r"(?:^|[_-])(article|content|entry|main|post|story|body|text)(?=$|[_-])", re.I)
 OWN_HEAD = re.compile(r"(?:article|content|entry|post|story)[_-]+header", re.I)
+#: Names that tell a state of an element or what else the page has, not what the element is: all of the name, or the rest of it.
+STATE = re.compile(r"(?:^|[_-])(?:has|no|not|with|without|hide|show)[_-].*|.*[_-](?:open|opened|closed|free|enabled|disabled|visible|collapsed|expanded)$|side[_-]by[_-]side", re.I)
 TEXT_TAGS = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -45,10 +47,13 @@ def named_lean(words: str, tag: str, inside: bool) -> tuple[float, bool]:
     """What names say of an element's blocks (above zero: content), and whether they set it apart from its neighbours.
 
     A name that ends in a word for content after one that often marks none says little; an article's
-    own header is part of it; a paragraph that a doubtful word names can stand by its form.
+    own header is part of it; a paragraph that a doubtful word names can stand by its form. What a
+    name says of a state (``has-sidebar``, ``comments-open``, ``story-with-banner``) is no name of a
+    container; of a paragraph or heading it is (``no-comments``).
     """
     low, high = 0.0, 0.0
     for name in words.split():
+        name = name if tag in TEXT_TAGS else STATE.sub("", name)
         if AWAY_ALWAYS.search(name):
             if not (inside and OWN_HEAD.fullmatch(name)):
                 return -9.0, True
@@ -149,10 +154,10 @@ def blocks(html: str) -> list[Block]:
         n += 1
         _, _, lean, section, holder = stack[-1]
         inside = opened["article"] or opened["main"]
-        if name in ("article", "main"):
-            lean, section = max(lean, -4.0) + 5.0 if lean > -8 else lean, n
+        if name in ("article", "main"):  # a page's one main element counts whatever a wrapper is called
+            lean, section = max(lean, -4.0) + 5.0 if lean > -8 or name == "main" else lean, n
         elif name in AWAY:
-            lean, section = lean - (2.0 if name == "figure" else 9.0), n
+            lean, section = lean - 2.0 if name == "figure" else min(lean - 9.0, -6.0) if name in ("nav", "aside", "footer", "menu") else lean - 9.0, n
         elif name == "header":
             lean, section = lean - (2.0 if inside else 9.0), n
         elif name in ("section", "div", "body"):
@@ -163,8 +168,8 @@ def blocks(html: str) -> list[Block]:
             if words.strip():
                 said, apart = named_lean(words, name, bool(inside))
                 lean += said
-                if apart:
-                    section = n
+                if apart:  # however much the article around it is one
+                    lean, section = min(lean, -8.0), n
             if "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", "")):
                 lean -= 9.0
         stack.append((name, n, lean, section, holder if name in INLINE else len(stack)))

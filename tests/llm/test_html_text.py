@@ -46,6 +46,23 @@ def test_pages(page, text):
     assert main_text(page.format("".join(P.format(i) for i in range(3)))) == text
 
 
+#: Wrappers of themes: names that tell a state, or what else the page has.
+WRAPPERS = ['div class="content has-sidebar"', 'main class="no-sidebar"', 'article class="post comments-open"', 'div class="nav-open"', 'div class="ad-free"', 'div id="page" class="with-header"', 'div class="side-by-side"', 'div class="story-with-banner"', 'section class="layout sidebar-collapsed has_comments"']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_keep_their_article_and_drop_the_rest(wrapper, inner):
+    around = "<nav><a href='/'>Home page of this site</a></nav>", "<div class='sidebar'><p>Many words of a sidebar that nobody wants to read at all, ever.</p></div><section class='comments'><p>I have read this article and found that it was good to read.</p></section>"
+    page = f"<{wrapper}>{around[0]}<{inner}>{''.join(P.format(i) for i in range(3))}</{inner}>{around[1]}</{wrapper.split()[0]}>"
+    assert main_text(page) == ARTICLE
+
+
+def test_main_element_in_a_wrapper_named_away():
+    assert main_text(f"<div class='sidebar-layout sidebar'><main>{''.join(P.format(i) for i in range(3))}</main></div>") == ARTICLE
+    assert main_text(f"<article>{''.join(P.format(i) for i in range(3))}<p class='no-comments'>Comments on this are closed.</p></article>") == ARTICLE
+
+
 def test_characters_white_space_and_blocks():
     assert main_text("<article><h1>A &amp; B</h1><p>x&nbsp;y\n\t z<b>bold</b>er &#233;&lt;p&gt;<br>next</article>") == "A & B x y zbolder é<p> next"
 
