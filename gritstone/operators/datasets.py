@@ -166,6 +166,22 @@ def patcher_examples(prs: DataFrame, blobs: DataFrame) -> DataFrame:
     return t.select("pr_number", "path", F.concat_ws("\n", F.concat(F.lit("TASK: "), "title"), F.concat(F.lit("FILE: "), "path"), shown).alias("input"), F.col("patch").alias("output"), meta.alias("meta"))
 
 
+def with_code_context(examples: DataFrame, structural: DataFrame, supporting: DataFrame, task: str = "pr_number", path: str = "path") -> DataFrame:
+    """L-29 with F-31 and F-32: ``examples`` with ``structural`` (symbol windows of the file) and ``supporting`` (files that help), in rank order.
+
+    ``structural`` is (task, path, rank, symbol, ..., touched), ``supporting`` (task, rank, path, source, ...), both of
+    bounded size for each example. An example without any has empty arrays.
+    """
+
+    def gathered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (*keys, "rank")]
+        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", *rest))).alias(name))
+
+    s, t = gathered(structural, [task, path], "structural"), gathered(supporting.withColumnsRenamed({path: "file"} if path in supporting.columns else {}), [task], "supporting")
+    j = examples.join(s, [task, path], "left").join(t, task, "left")
+    return j.select(*examples.columns, F.coalesce("structural", F.array().cast(s.schema["structural"].dataType)).alias("structural"), F.coalesce("supporting", F.array().cast(t.schema["supporting"].dataType)).alias("supporting"))
+
+
 def files_of_issue(rows: DataFrame, issue: str, files: str, order: str) -> DataFrame:
     """A-20: all changes' files of an issue, once each, in order."""
     return rows.groupBy(issue).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(files).alias("f")))), lambda x: x.f))).alias(files))

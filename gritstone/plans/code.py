@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.diffs import hunk_headers
 from ..operators import code_context as C
+from ..operators import datasets as DS
 from .catalog import _shared, _t, query
 
 #: Lines of each function, of each file, and of each change, as the texts below have them.
@@ -67,7 +68,8 @@ def innermost_symbol(spark, d):
     return got.select("c", "nth", "line", F.col("name").alias("symbol"), (F.col("hi") - F.col("lo") + 1).alias("n_lines"))
 
 
-@query(_FILES + """, own as (select c from f where c % 5 = 0),
+#: Files that help with each file's change.
+_HELP = """, own as (select c from f),
 i as (select own.c, own.c + 1 as x, 'resolved_import::import' as source, 1 as g, 0 as a from own where c % 7 > 0
   union all select c, c + 2, 'resolved_import::import_from_star', 1, 1 from own where c % 7 > 0
   union all select c, c + 3, 'graphrag_co_touch_neighbor', 2, 0 from own
@@ -75,15 +77,41 @@ i as (select own.c, own.c + 1 as x, 'resolved_import::import' as source, 1 as g,
 y as (select t.c, t.name, row_number() over (partition by t.c order by t.lo, -t.hi, t.name) - 1 as pos from t join own using (c) where touched or not exists (select 1 from h where h.c = t.c)),
 e as (select c, x, source, g, a from i union all
   select y.c, o.c, 'rg_callee_occurrence::' || name, 3, pos from y join o on 'o' || (o.k + 1) = y.name where pos < 3 and o.c <> y.c),
-u as (select e.c, x, n_lines, arg_min(source, g * 100 + a) as source, min(g * 100 + a) as ord from e join f on f.c = e.x where e.x <> e.c group by e.c, x, n_lines)
+u as (select e.c, x, n_lines, arg_min(source, g * 100 + a) as source, min(g * 100 + a) as ord from e join f on f.c = e.x where e.x <> e.c group by e.c, x, n_lines)"""
+
+
+@query(_FILES + _HELP + """
 select c, row_number() over (partition by c order by ord, 'src/c' || x || '.py') as rank, 'src/c' || x || '.py' as path, source, 1 as line_start, greatest(1, least(n_lines, 70)) as line_end from u""")
 def supporting_windows(spark, d):
-    """F-31, F-28: files that help with every fifth file's change: imports, files changed with it, callers."""
+    """F-31, F-28: files that help with each file's change: imports, files changed with it, callers."""
     blobs = _blobs(spark, d).withColumn("snapshot", F.lit("s"))
-    mine = _orders(spark, d).where("c % 5 = 0").select("c").distinct()
+    return _helping(spark, d, _shape(spark, d, blobs, ["snapshot", "path"])).withColumnRenamed("task", "c")
+
+
+def _helping(spark, d, shape):
+    mine = _orders(spark, d).select("c").distinct()
     ranges = _patches(spark, d).select("c", C.old_lines(hunk_headers(F.col("patch"))).alias("ranges"))
     path = lambda c: F.format_string("src/c%d.py", c)
     changed = mine.join(ranges, "c", "left").select(F.col("c").alias("task"), path(F.col("c")).alias("path"), F.lit(0).alias("nth"), "ranges")
     near = mine.select(F.col("c").alias("task"), F.posexplode(F.array(F.col("c") + 3, F.col("c") + 4)).alias("nth", "x")).select("task", path(F.col("x")).alias("path"), "nth")
-    got = C.supporting_windows(mine.select(F.col("c").alias("task"), F.lit("s").alias("snapshot")), changed, near, _shape(spark, d, blobs, ["snapshot", "path"]))
-    return got.withColumnRenamed("task", "c")
+    return C.supporting_windows(mine.select(F.col("c").alias("task"), F.lit("s").alias("snapshot")), changed, near, shape)
+
+
+@query(_FILES + _HELP + """, p as (select *, row_number() over (partition by c order by lo, hi, name, kind) as pos from t),
+n as (select c, least(8, count(*)) as n_symbols, least(8, count(*) filter (touched)) as n_touched from p where touched or pos <= 6 group by c
+  union all select c, least(6, count(*)), least(6, count(*)) from h where c % 7 = 0 group by c)
+select own.c, coalesce(n_symbols, 0) as n_symbols, coalesce(n_touched, 0) as n_touched, (select count(*) from u where u.c = own.c) as n_supporting,
+  coalesce((select arg_min(source, ord) from u where u.c = own.c), 'none') as first_source from own left join n on n.c = own.c""")
+def patcher_context(spark, d):
+    """L-29, F-31, F-32: examples of each file's change with the symbols around it and the files that help."""
+    blobs = _blobs(spark, d).withColumn("snapshot", F.lit("s"))
+    shape = _shape(spark, d, blobs, ["snapshot", "path"])
+    examples = blobs.select(F.col("c").alias("pr_number"), "path")
+    own = shape.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("pr_number"), "path", "n_lines", "symbols")
+    key = ["pr_number", "path"]
+    hunks = _hunks(spark, d).select(F.col("c").alias("pr_number"), F.format_string("src/c%d.py", "c").alias("path"), "nth", "lo", "hi")
+    around = C.structural_context(own.select(*key, F.inline("symbols")), hunks, own.select(*key, "n_lines"), key)
+    e = DS.with_code_context(examples, around, _helping(spark, d, shape).withColumnRenamed("task", "pr_number"))
+    touched = F.size(F.filter("structural", lambda x: x.touched))
+    first = F.coalesce(F.get("supporting", F.lit(0)).source, F.lit("none"))
+    return e.select(F.col("pr_number").alias("c"), F.size("structural").alias("n_symbols"), touched.alias("n_touched"), F.size("supporting").alias("n_supporting"), first.alias("first_source"))
