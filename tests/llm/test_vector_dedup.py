@@ -70,3 +70,13 @@ def test_rows_of_one_id_are_vectors_of_their_own(spark):
     rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (7, [1.0, 0.01], 0)]
     got = vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 0, 5), (5, 1, 5), (7, 1, 5)]
+
+
+def test_an_audit_finds_a_rare_link(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3000, 16))
+    v[1711] = v[42] + 1e-3
+    reps = spark.createDataFrame([(i, 0, 16, x.tolist()) for i, x in enumerate(v)], "id long, label long, dim int, v array<double>")
+    none = spark.createDataFrame([], "u long, w long, sim double")
+    assert module._recall(none, none, reps, 0.98, 50) == 0.0
+    assert module._recall(spark.createDataFrame([(42, 1711, 1.0)], none.schema), none, reps, 0.98, 50) == 1.0
