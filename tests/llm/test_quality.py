@@ -26,6 +26,38 @@ def test_flat_traversal_is_a_tree_walk():
     assert ((f.probability(x) > 0.5) == y).mean() > 0.95
 
 
+def test_fit_equals_a_plain_search():
+    """Every node looks at all its rows for every feature and cut."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) / 2 > 0.4).astype(float)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    cuts = [sorted({np.sort(c)[int(np.floor((len(y) - 1) * k / 16))] for k in range(1, 16)}) for c in x.T]
+
+    def grow(rows, left, g, h):
+        best, pick = 1e-6, None
+        gs, hs = g[rows].sum(), h[rows].sum()
+        for f in range(3) if left else ():
+            for c in cuts[f]:
+                low = rows[x[rows, f] <= c]
+                gl, hl = g[low].sum(), h[low].sum()
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                if min(hl, hs - hl) >= 1 and gain > best + 1e-9:
+                    best, pick = gain, (f, c)
+        if pick is None:
+            margin[rows] -= 0.3 * gs / (hs + 1)
+            return
+        low = x[rows, pick[0]] <= pick[1]
+        grow(rows[low], left - 1, g, h)
+        grow(rows[~low], left - 1, g, h)
+
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-margin))
+        grow(np.arange(len(y)), 3, p - y, p * (1 - p))
+    assert np.allclose(fit(x, y, trees=6, depth=3, rate=0.3, bins=16).margin(x), margin, atol=1e-8)
+
+
 def test_one_class_or_no_rows_is_constant():
     for y in (np.zeros(0), np.ones(5)):
         f = fit(np.zeros((len(y), 2)), y)
