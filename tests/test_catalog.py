@@ -7,7 +7,8 @@ import pytest
 
 import gritstone.plans.activity
 import gritstone.plans.code
-import gritstone.plans.work  # noqa: F401  (all three register their queries in the catalogue)
+import gritstone.plans.training
+import gritstone.plans.work  # noqa: F401  (all register their queries in the catalogue)
 from gritstone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
