@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diffs as D
 from ..functions import text as X
+from .relational import free
 from .sampling import balanced_sample, scarcest_cap, seeded
 
 EXTENSIONS = ("py", "md", "rst", "yaml", "yml", "toml", "cfg", "ini", "sh", "ts", "tsx", "js", "json", "sql", "txt")
@@ -73,14 +74,15 @@ def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
 
 def validation_errors(df: DataFrame) -> DataFrame:
     """P-23: an array of error codes a record (id, base_sha, diff, touched_files, allowed_edit_files)."""
-    n = df.groupBy("id").agg((F.count("*") > 1).alias("__twice"))
+    (twice,) = free(df, "twice")
+    n = df.groupBy("id").agg((F.count("*") > 1).alias(twice))
     d = df.join(n, "id", "left")
     code = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
     errors = F.array_compact(F.array(
-        code(F.col("id").isNull() | (F.col("id") == ""), "missing_id"), code(F.col("__twice"), "duplicate_id"), code(~F.coalesce(F.col("base_sha"), F.lit("")).rlike("^[0-9a-f]{40}$"), "bad_sha"),
+        code(F.col("id").isNull() | (F.col("id") == ""), "missing_id"), code(F.col(twice), "duplicate_id"), code(~F.coalesce(F.col("base_sha"), F.lit("")).rlike("^[0-9a-f]{40}$"), "bad_sha"),
         code(~D.is_git_diff(F.col("diff")), "not_unified"), code(F.size("allowed_edit_files") <= 0, "no_allowed_files"), code(F.size(F.array_except("touched_files", "allowed_edit_files")) > 0, "touched_outside_allowed"),
     ))
-    return d.withColumn("errors", errors).drop("__twice")
+    return d.withColumn("errors", errors).drop(twice)
 
 
 def sanitize_prs(raw: Column) -> Column:

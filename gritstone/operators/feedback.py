@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chosen_text
+from .relational import free
 
 KEY = ["channel_id", "message_ts", "user_id"]
 
@@ -47,8 +48,9 @@ def teacher_labels(events: DataFrame, answers: DataFrame, model: str, run: str)
 
 def replace_unaccepted(labels: DataFrame, new: DataFrame) -> DataFrame:
     """K-21: new labels take the place of labels of their event that were not accepted."""
-    keys = new.select("feedback_id").distinct().withColumn("__new", F.lit(True))
-    kept = labels.join(keys, "feedback_id", "left").where("__new is null or qc_status = 'accepted'").drop("__new")
+    (hit,) = free(labels, "hit")
+    keys = new.select("feedback_id").distinct().withColumn(hit, F.lit(True))
+    kept = labels.join(keys, "feedback_id", "left").where(F.col(hit).isNull() | (F.col("qc_status") == "accepted")).drop(hit)
     return kept.unionByName(new)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.times import boundary_days, elapsed_days, max_gap_days, parse_ts, whole_days
+from .relational import free
 
 # Timeline events that snapshots keep.
 KEEP_EVENTS = (
@@ -119,11 +120,12 @@ def enrich(issues: DataFrame, prs: DataFrame, edges: DataFrame) -> tuple[DataFra
     """
     i = issues.join(link_map(edges).withColumnRenamed("issue", "issue_number"), "issue_number", "left")
     i = i.withColumn("resolved_by_prs", F.coalesce("resolved_by_prs", F.array().cast("array<bigint>"))).withColumn("has_linked_pr", F.size("resolved_by_prs") > 0)
+    (first,) = free(prs, "first")
     back = edges.groupBy(F.col("pr").alias("pr_number")).agg(
-        F.array_sort(F.collect_set("issue")).alias("linked_issue_numbers"), F.min_by("issue", F.struct("source", "issue")).alias("__first")
+        F.array_sort(F.collect_set("issue")).alias("linked_issue_numbers"), F.min_by("issue", F.struct("source", "issue")).alias(first)
     )
     p = prs.join(back, "pr_number", "left").withColumn("linked_issue_numbers", F.coalesce("linked_issue_numbers", F.array().cast("array<bigint>")))
-    return i, p.withColumn("linked_issue_number", F.coalesce(normal_number(F.col("linked_issue_number")), "__first")).drop("__first")
+    return i, p.withColumn("linked_issue_number", F.coalesce(normal_number(F.col("linked_issue_number")), first)).drop(first)
 
 
 def link_statistics(issues: DataFrame, prs: DataFrame) -> DataFrame:

@@ -26,19 +26,19 @@ def stratified_split(df: DataFrame, key: str, stratum: str, seed: int, test: flo
     stratum of one goes to test, of two to test and val.
     """
     h = F.coalesce(seeded(key, seed), F.lit(""))  # a null key sorts first
-    d = df.select(key, stratum).distinct().withColumns({"__h": h, "__b": F.substring(h, 1, 2)})
-    per = d.groupBy(stratum, "__b").agg(F.count("*").alias("c"))
+    d = df.select(F.col(key).alias("k"), F.col(stratum).alias("s"), h.alias("h"), F.substring(h, 1, 2).alias("b")).distinct()
+    per = d.groupBy("s", "b").agg(F.count("*").alias("c"))
     shift = per.select(
-        F.col(stratum).alias("__s"), F.col("__b").alias("__sb"),
-        (F.sum("c").over(Window.partitionBy(stratum).orderBy("__b")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(stratum)).alias("n"),
+        F.col("s").alias("of"), F.col("b").alias("of_b"),
+        (F.sum("c").over(Window.partitionBy("s").orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("s")).alias("n"),
     )  # 256 rows a stratum
-    rank = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__h", key))
-    r = d.withColumn("__r", rank).join(shift, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__sb")))
-    place = F.col("__r") + F.col("before")
+    rank = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "k"))
+    r = d.withColumn("r", rank).join(shift, F.col("s").eqNullSafe(F.col("of")) & (F.col("b") == F.col("of_b")))
+    place = F.col("r") + F.col("before")
     n_test = F.greatest(F.lit(1), F.bround(F.col("n") * test).cast("long"))
     n_val = F.greatest(F.lit(1), F.bround(F.col("n") * val).cast("long"))
     split = F.when(place <= n_test, "test").when(place <= n_test + n_val, "val").otherwise("train")
-    return r.select(key, stratum, split.alias("split"))
+    return r.select(F.col("k").alias(key), F.col("s").alias(stratum), split.alias("split"))
 
 
 def balanced_sample(df: DataFrame, key: str, stratum: str, n: int | Column, seed: int) -> DataFrame:

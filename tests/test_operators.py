@@ -86,6 +86,21 @@ def test_helper_columns_leave_the_callers(spark):
     assert {tuple(r) for r in R.max_gap(odd, ["k"], "__g").collect()} == {(1, 2.0, 2), (2, None, 1)}
 
 
+def test_helper_columns_of_builders_leave_the_callers(spark, corpus):
+    odd = spark.createDataFrame([(i, i % 3, i % 2, "x") for i in range(60)], "n int, c int, before int, __h string")
+    want = {r.n: r.split for r in S.stratified_split(odd.withColumnRenamed("c", "stratum"), "n", "stratum", 3).collect()}
+    assert {r.n: r.split for r in S.stratified_split(odd, "n", "c", 3).collect()} == want and len(want) == 60
+    assert S.stratified_split(odd.withColumnsRenamed({"n": "k", "before": "s2"}), "k", "c", 3).columns == ["k", "c", "split"]
+    v = spark.createDataFrame([("1", "a" * 40, "--- a\n+++ b", ["x"], ["x"], 5)], "id string, base_sha string, diff string, touched_files array<string>, allowed_edit_files array<string>, __twice int")
+    assert DS.validation_errors(v).first()["__twice"] == 5
+    labels = spark.createDataFrame([(1, "accepted", 7), (2, "too_short", 8), (3, None, 9)], "feedback_id int, qc_status string, __new int")
+    new = spark.createDataFrame([(2, "accepted", 6), (1, "accepted", 5)], labels.schema)
+    assert sorted(map(tuple, FB.replace_unaccepted(labels, new).collect()), key=str) == sorted([(1, "accepted", 7), (3, None, 9), (2, "accepted", 6), (1, "accepted", 5)], key=str)
+    issues, prs = corpus
+    p = I.enrich(issues, prs.withColumn("__first", F.lit(4)), I.issue_pr_edges(issues, prs))[1]
+    assert {r["__first"] for r in p.collect()} == {4}
+
+
 def test_budgets_and_windows(spark):
     df = spark.createDataFrame([("a", i, 4) for i in range(5)], "g string, o int, size int")
     assert [r.kept for r in R.clip_budget(df, ["g"], ["o"], "size", 10).orderBy("o").collect()] == [4, 4, 2]
