@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_fences
 from .relational import percentiles
 
+MISSING_SCORE = 3.0  # fixed value: a judge's dimension that is not given
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -68,11 +71,15 @@ def mean_by(df: DataFrame, by: str, values: list[str]) -> DataFrame:
 
 
 def judge_scores(raw: Column, dims: tuple[str, ...]) -> Column:
-    """M-7: dimension scores from JSON, each within 1 to 5, and their mean; null where unreadable."""
-    x = F.from_json(raw, ", ".join(f"{d} double" for d in dims))
-    clamped = F.array(*[F.least(F.greatest(x[d], F.lit(1.0)), F.lit(5.0)) for d in dims])
-    known = F.filter(clamped, lambda v: v.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+    """M-7: the mean of dimension scores from JSON (also in a code fence), each cut to a whole number within 1 to 5.
+
+    A dimension that is missing counts MISSING_SCORE; the score is null where the text is no JSON object or a
+    dimension's value is no number (null too).
+    """
+    x = F.from_json(strip_fences(raw), "map<string, string>")
+    value = lambda d: F.when(F.map_contains_key(x, F.lit(d)), F.try_element_at(x, F.lit(d)).try_cast("double")).otherwise(MISSING_SCORE)
+    clamp = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v.cast("int").cast("double"), F.lit(1.0)), F.lit(5.0)))  # noqa: E731  (least and greatest skip nulls)
+    return F.when(x.isNotNull(), sum((clamp(value(d)) for d in dims), F.lit(0.0)) / len(dims))
 
 
 def judge_summary(df: DataFrame, score: str, label: str, correct: Column) -> DataFrame:

@@ -139,6 +139,9 @@ def test_metrics(spark):
     ev = spark.createDataFrame([([(([("hi", None), (None, ("tool", "{}"))],),), (([("bye", None)],),), (([],),)],)], "e array<struct<content: struct<parts: array<struct<text: string, function_call: struct<name: string, args: string>>>>>>")
     assert ev.select(M.final_response(F.col("e"))).first()[0] == "bye" and ev.select(M.tool_calls(F.col("e"))).first()[0][0].tool_name == "tool"
     assert spark.range(1).select(M.judge_scores(F.lit('{"x": 9, "y": 0}'), ("x", "y"))).first()[0] == 3.0
+    judged = {'{"x": 5}': 4.0, '```json\n{"x": 4.9, "y": 1}\n```': 2.5, "{}": 3.0, '{"x": null, "y": 5}': None, '{"x": "good", "y": 5}': None, "none": None, "": None}
+    rows = spark.createDataFrame([(k, v) for k, v in judged.items()] + [(None, None)], "raw string, want double").withColumn("got", M.judge_scores(F.col("raw"), ("x", "y")))
+    assert [(r.raw, r.got) for r in rows.collect()] == [(r.raw, r.want) for r in rows.collect()]
     e = F.array().cast("array<string>")
     assert spark.range(1).select(M.scope_compliance(e, e)).first()[0] == 1.0 and spark.range(1).select(M.file_recall(e, e)).first()[0] is None
 
