@@ -8,6 +8,7 @@ import pytest
 import gritstone.plans.activity
 import gritstone.plans.code
 import gritstone.plans.examples
+import gritstone.plans.storage
 import gritstone.plans.training
 import gritstone.plans.work  # noqa: F401  (all register their queries in the catalogue)
 from gritstone.plans import catalog
