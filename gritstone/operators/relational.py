@@ -102,9 +102,10 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[st
 
 
 def summary_line(df: DataFrame, value: str) -> DataFrame:
-    """A-15: n, min, median cut to an integer, the value at 90 %, max."""
-    a = df.agg(F.median(value).cast("int").alias("p50"))
-    return rank_value(df, value, {"p90": "floor(n * 0.9)"}).crossJoin(a).select("n", "min", "p50", "p90", "max")  # one row each
+    """A-15: n, min, median cut to an integer, the value at 90 % of the last place (cut too), max; in one pass of ranges."""
+    places = {"lo": "floor((n - 1) / 2)", "hi": "floor(n / 2)", "p90": "floor(0.9D * (n - 1))"}
+    whole = lambda c: c.cast("bigint")
+    return rank_value(df, value, places).select("n", "min", whole((F.col("lo") + F.col("hi")) / 2).alias("p50"), whole(F.col("p90")).alias("p90"), "max")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

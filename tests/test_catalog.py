@@ -7,6 +7,7 @@ import pytest
 
 import gritstone.plans.activity
 import gritstone.plans.code
+import gritstone.plans.evaluation
 import gritstone.plans.examples
 import gritstone.plans.storage
 import gritstone.plans.training
