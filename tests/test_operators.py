@@ -1,6 +1,7 @@
 """Operators on literal rows: invariants, ties and quirks."""
 
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -18,6 +19,21 @@ from gritstone.operators import relational as R
 from gritstone.operators import sampling as S
 
 
+def _joined_rows(df):
+    """Rows that the joins of ``df`` give when it runs."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        nodes, n = [df._jdf.queryExecution().executedPlan()], 0
+        for p in nodes:
+            nodes += [p.children().apply(i) for i in range(p.children().size())]
+            if "Join" in p.nodeName():
+                n += p.metrics().apply("numOutputRows").value()
+        return n
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_dedup_latest_keeps_first_of_equal_versions(spark):
     df = spark.createDataFrame([(1, "b", 2, "x"), (1, "b", 1, "y"), (1, "a", 0, "z"), (2, None, 5, "w"), (None, "c", 1, "n")], "k int, v string, s int, t string")
     once = R.dedup_latest(df, "k", F.coalesce("v", F.lit("")), F.col("s"))
@@ -362,6 +378,23 @@ def test_vector_topk_equals_brute_force(spark):
     assert all(e.src != e.dst for e in edges) and {e["rank"] for e in edges} == {1, 2}
 
 
+def test_nearest_tests_meet_few_rows_of_a_large_directory(spark):
+    src = [(f"d{i % 2}/m{i}.py",) for i in range(0, 60, 3)] + [("e/m1.py",), ("none/x.py",)]
+    tests = [(f"d{i % 2}/test_m{i}.py",) for i in range(60)] + [(f"d0/m{i}_test.{e}",) for i in range(0, 12, 6) for e in ("py", "js", "ts", "go", "rb")] + [(f"z{i}/test_m1.py",) for i in range(20)]
+    cut = lambda p: (p.rpartition("/")[0], re.sub("^test_|_test$", "", p.rpartition("/")[2].rpartition(".")[0]))
+    want = set()
+    for (s,) in src:
+        hits = sorted((-(3 * (cut(s)[0] == cut(t)[0]) + 2 * (cut(s)[1] == cut(t)[1])), t) for (t,) in tests)
+        want |= {(s, t, -w, n + 1) for n, (w, t) in enumerate(hits[:8]) if w}
+    df = lambda rows: spark.createDataFrame(rows, "path string").repartition(3)
+    near = G.nearest_tests(df(src), df(tests + tests[:5]))
+    assert {tuple(r) for r in near.select("source", "path", "score", "rank").collect()} == want
+    # 2,000 sources and 2,000 tests in one directory: a source meets k rows, not all
+    one = spark.range(2000).select(F.format_string("d/m%04d.py", "id").alias("path"))
+    big = G.nearest_tests(one, spark.range(2000).select(F.format_string("d/test_m%04d.py", "id").alias("path")))
+    assert _joined_rows(big) < 100_000 and big.count() == 16_000
+
+
 def test_text_vectors(spark):
     rows = [("Fix the scheduler", "it hangs"), ("fix THE scheduler", "it; hangs"), (None, None), ("other words", "here")]
     v = [r[0] for r in spark.createDataFrame(rows, "t string, b string").select(G.text_vector(F.col("t"), F.col("b"), 16)).collect()]
