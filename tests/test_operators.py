@@ -395,6 +395,21 @@ def test_nearest_tests_meet_few_rows_of_a_large_directory(spark):
     assert _joined_rows(big) < 100_000 and big.count() == 16_000
 
 
+def test_code_spans_of_many_queries(spark):
+    names = ["RedBolt", "red ring", "ringer", "étéÉté x", "bolt", "a_ring9bolt", None]
+    rows = [(f"d/{'ring' if i % 7 == 0 else ''}{i}.py", [(names[i % 7], "t", i % 5, i)] * (1 + (i == 3))) for i in range(300)]
+    said = ["ring", "(bolt) red x1 Ring.", "étéété", "zzzz", None, "ingers inge"]
+    issues = [(i, said[i % 6]) for i in range(12_000)]
+    index = spark.createDataFrame(rows, "path string, symbols array<struct<name: string, type: string, start_line: int, end_line: int>>")
+    got = G.code_spans(index, spark.createDataFrame(issues, "qid int, text string"), 4).where("qid < 6 or qid > 11993").collect()
+    want = set()
+    for i, text in issues[:6] + issues[-6:]:
+        words = {w for w in (x.strip(".()") for x in (text or "").lower().split()) if len(w) > 3 and w.isalpha()}
+        hits = {(p, s[0][2], s[0][0] or "") for p, s in rows if any(w in (s[0][0] or "").lower() or w in p.partition("/")[2] for w in words)}
+        want |= {(i, *h, n + 1) for n, h in enumerate(sorted(hits)[:4])}
+    assert {(r.qid, r.path, r.start_line, r.symbol or "", r["rank"]) for r in got} == want and len(got) == len(want)
+
+
 def test_text_vectors(spark):
     rows = [("Fix the scheduler", "it hangs"), ("fix THE scheduler", "it; hangs"), (None, None), ("other words", "here")]
     v = [r[0] for r in spark.createDataFrame(rows, "t string, b string").select(G.text_vector(F.col("t"), F.col("b"), 16)).collect()]
