@@ -410,6 +410,22 @@ def test_code_spans_of_many_queries(spark):
     assert {(r.qid, r.path, r.start_line, r.symbol or "", r["rank"]) for r in got} == want and len(got) == len(want)
 
 
+def test_keyword_rank_of_many_queries(spark):
+    rows = [(f"src/{'ring' if i % 11 == 0 else 'x'}{i * 37 % 300:03d}.py", [["Red Bolt", "hot ring", "ring"][i % 3]], None if i % 4 else ["BOLT", "e"]) for i in range(300)]
+    asks = [["ring", "bolt"], ["bolt", "bolt", "e"], [""], ["zz"], None, ["red", None, "ring"], []]
+    queries = [(i, asks[i % 7]) for i in range(12_000)]
+    index = spark.createDataFrame([*rows, (None, ["ring bolt"], None)], "path string, classes array<string>, functions array<string>")
+    got = G.keyword_rank(index, spark.createDataFrame(queries, "qid int, words array<string>"), 5, "/x00").where("qid < 7 or qid > 11992").collect()
+    want = set()
+    for q, words in queries[:7] + queries[-7:]:
+        score = lambda p, c, f: sum(2 * (w in p) + sum(w in s.lower() for s in c + (f or [])) for w in words or [] if w is not None)  # noqa: E731, B023
+        hits = sorted((-score(*r), r[0]) for r in rows if "/x00" not in r[0])
+        want |= {(q, p, -s, n + 1) for n, (s, p) in enumerate(hits[:5]) if s}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    every = G.keyword_rank(index, spark.createDataFrame([(1, ["ring", "bolt"])], "qid int, words array<string>"), 500)
+    assert every.where("path is null").count() == 1
+
+
 def test_text_vectors(spark):
     rows = [("Fix the scheduler", "it hangs"), ("fix THE scheduler", "it; hangs"), (None, None), ("other words", "here")]
     v = [r[0] for r in spark.createDataFrame(rows, "t string, b string").select(G.text_vector(F.col("t"), F.col("b"), 16)).collect()]
