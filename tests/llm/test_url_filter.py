@@ -3,6 +3,7 @@
 import math
 import random
 
+import gritstone.llm.url_filter as url_filter_module
 from gritstone.llm.url_filter import RULES, _out_of_fold, fit_trees, host_path, lexical, op1_url_filter, url_filter
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,6 +104,16 @@ def test_suffixes_that_rules_name_do_not_decide(spark):
     assert all(len(v) == 3 and len(set(v)) == 1 for v in found.values())
 
 
+def test_every_feature_fitted_on_can_tell_urls_apart(spark, monkeypatch):
+    """Labels from rules: no feature is the same for all urls, so none is carried along for nothing."""
+    seen = []
+    monkeypatch.setattr(url_filter_module, "fit_trees", lambda rows, features=url_filter_module.FEATURES, **k: seen.append((rows.select(*features).collect(), features)) or fit_trees(rows, features, **k))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, "http://a-b.com/x"])], "page_id long, url string")
+    assert url_filter(pages).count() == len(URLS) + 1
+    (rows, features), = seen
+    assert rows and [f for f in features if len({r[f] for r in rows}) == 1] == []
+
+
 def margins(x, y, trees, depth, rate, bins, l2, least, balanced):
     """Histogram boosting said plainly: every node looks at all its rows for every feature and cut."""
     n = len(y)
