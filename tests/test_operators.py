@@ -395,6 +395,17 @@ def test_nearest_tests_meet_few_rows_of_a_large_directory(spark):
     assert _joined_rows(big) < 100_000 and big.count() == 16_000
 
 
+def test_vector_topk_in_small_pieces(spark, monkeypatch):
+    """Pieces of 7 vectors and 3 queries give what one piece gives, ties by id."""
+    v = [[float((i * 7) % 5 - 2), float((i * 3) % 7 - 3), 1.0] for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id int, embedding array<double>").repartition(2)
+    ask = lambda: sorted(map(tuple, G.vector_topk(df.withColumnRenamed("vec_id", "qid"), df, 4).collect()))
+    whole = ask()
+    monkeypatch.setattr(G, "ROWS", 7)
+    monkeypatch.setattr(G, "SCORES", 21)
+    assert ask() == whole and len(whole) == 240
+
+
 def test_code_spans_of_many_queries(spark):
     names = ["RedBolt", "red ring", "ringer", "étéÉté x", "bolt", "a_ring9bolt", None]
     rows = [(f"d/{'ring' if i % 7 == 0 else ''}{i}.py", [(names[i % 7], "t", i % 5, i)] * (1 + (i == 3))) for i in range(300)]
