@@ -18,6 +18,9 @@ MOST_WINDOWS, MOST_IMPORTS, MOST_CALLERS, CALLED_SYMBOLS, HEAD_LINES = 12, 12, 4
 FALLBACK_TYPE = "fallback_hunk_window"
 BY_IMPORT, BY_COTOUCH, BY_CALL = "resolved_import::", "graphrag_co_touch_neighbor", "rg_callee_occurrence::"
 
+#: Files whose outlines a task holds at once.
+FILES = 128
+
 #: Where lines end: as Python's splitlines.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _OUTLINE = "parses boolean, n_lines int, symbols array<struct<lo int, hi int, name string, kind string>>, imports array<struct<module string, kind string>>, called array<string>"
@@ -56,7 +59,7 @@ def outlines(blobs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     arrow = [to_arrow_type(f.dataType) for f in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(a, FILES) for x in batches for a in range(0, x.num_rows, FILES)):
             found = [outline(t) for t in b.column(len(keys)).to_pylist()]
             cols = [pa.array([f[i] for f in found], a) for i, a in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *cols], names=schema.names)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from gritstone.operators import code_context as C
 
 
@@ -102,3 +104,13 @@ def test_supporting_windows_on_literal_files(spark):
     ]
     assert len(got[2]) == 12 and [p for p, _, _ in got[2]][3:] == [*(f"c{i}.py" for i in range(6)), "a.txt", "n1.py", "n2.py"]
     assert 3 not in got
+
+
+def test_outlines_leave_in_pieces(spark, monkeypatch):
+    """Pieces of three files give what one piece gives."""
+    monkeypatch.setattr(C, "FILES", 3)
+    df = spark.range(10).select("id", F.format_string("def f%d(): pass", "id").alias("text")).coalesce(1)
+    out = C.outlines(df, ["id"])
+    assert sorted((r.id, r.symbols[0].name) for r in out.collect()) == [(i, f"f{i}") for i in range(10)]
+    monkeypatch.setattr(C, "FILES", 1 << 20)
+    assert sorted((r.id, r.symbols[0].name) for r in C.outlines(df, ["id"]).collect()) == [(i, f"f{i}") for i in range(10)]
