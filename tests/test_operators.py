@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone import schema
+from gritstone.functions import diffs as D
 from gritstone.functions.text import hash_percent
 from gritstone.operators import datasets as DS
 from gritstone.operators import feedback as FB
@@ -509,3 +510,16 @@ def test_checkpoints_loads_and_bootstrap(spark, tmp_path):
     got = readers.discover_new(items, spark.createDataFrame([(4,)], "number int"), "number", "created_at", "2019-01-01", 1)
     assert [r.number for r in got.collect()] == [2]
     assert readers.one_record(items, "number", 3).first().day == "2018-01-01"
+
+
+def test_a_patch_meets_its_text_once(spark, corpus):
+    prs = corpus[1]
+    blobs = spark.createDataFrame([("a" * 40, "x.py", "a\nb")], "sha string, path string, text string")
+    plan = DS.patcher_examples(prs, blobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("_udf(") <= 2  # called once, its result used once
+    rows = [("a", "@@ -1 +1 @@\n-a\n+def (", True), ("a", "@@ -1 +1 @@\n-a\n+def (", False), ("a", "@@ -1 +1 @@\n-b\n+c", False), (None, "x", True), ("a", "@@ -1 +1 @@\n-a\n+b = 1", True)]
+    df = spark.createDataFrame(rows, "b string, p string, python boolean")
+    assert [r.x for r in df.select(D.fits_udf("b", "p", "python").alias("x")).collect()] == [False, True, False, False, True]
+    names = ["A.PY", "x.pyc", "Dockerfile", "a/Doc\u212aerfile", "x.md\n", "py", None, "Makefile", "b.Toml"]
+    allowed = spark.createDataFrame([(n,) for n in names], "n string").select(DS.allowed_path(F.col("n")).alias("x")).collect()
+    assert [r.x for r in allowed] == [True, False, True, True, True, False, False, False, True]
