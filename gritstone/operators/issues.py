@@ -213,12 +213,21 @@ def snapshot_report(s: DataFrame) -> DataFrame:
     return s.groupBy("snapshot_tier").agg(F.count("*").alias("n"), F.avg("comment_count").alias("avg_comments"), F.avg("linked_pr_count").alias("avg_prs"), F.count_if(F.col("linked_pr_count") > 0).alias("with_pr"), F.count_if(F.col("linked_pr_count") == 0).alias("without_pr"))
 
 
-def attach_prs(s: DataFrame, prs: DataFrame) -> DataFrame:
-    """J-3: with each snapshot the changes linked to its issue and created by its date (left)."""
-    p = prs.select(normal_number(F.col("linked_issue_number")).alias("issue_number"), parse_ts(F.col("pr.created_at")).alias("__c"), F.struct("pr_number", "pr", "reviews", "check_runs", "silent_reviewers", "files", "review_comments", "commits").alias("x"))
-    hit = s.select("issue_number", "snapshot_tier", "snapshot_date").join(p, "issue_number").where("__c <= snapshot_date")
-    got = hit.groupBy("issue_number", "snapshot_tier").agg(F.array_sort(F.collect_list("x"), lambda a, b: a.pr_number.cast("int") - b.pr_number.cast("int")).alias("linked_prs"))
-    return s.join(got, ["issue_number", "snapshot_tier"], "left").withColumn("linked_prs", F.coalesce("linked_prs", F.array()))
+#: Parts of a change record beside its number and ``pr``.
+PR_PARTS = ("reviews", "check_runs", "silent_reviewers", "files", "review_comments", "commits")
+
+
+def attach_prs(s: DataFrame, prs: DataFrame, parts: tuple[str, ...] = PR_PARTS) -> DataFrame:
+    """J-3: with each snapshot the changes linked to its issue and created by its date (left).
+
+    ``parts`` are those of a change that the caller reads; others don't move. An issue's changes are
+    gathered once, in order, and each of its snapshots takes those of its date: one shuffle by issue.
+    """
+    n, c, every = free(s, "n", "c", "every")
+    p = prs.select(normal_number(F.col("linked_issue_number")).alias(n), parse_ts(F.col("pr.created_at")).alias(c), F.struct("pr_number", "pr", *parts).alias("x")).where(F.col(n).isNotNull() & F.col(c).isNotNull())
+    got = p.groupBy(n).agg(F.array_sort(F.collect_list(F.struct(F.col(c).alias("c"), "x")), lambda a, b: a.x.pr_number.cast("int") - b.x.pr_number.cast("int")).alias(every))
+    upto = F.transform(F.filter(every, lambda v: v.c <= F.col("snapshot_date")), lambda v: v.x)
+    return s.join(got, F.col("issue_number") == F.col(n), "left").withColumn("linked_prs", F.coalesce(upto, F.array())).drop(n, every)
 
 
 def official_prs(s: DataFrame, prs: DataFrame) -> DataFrame:

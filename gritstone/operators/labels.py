@@ -111,6 +111,10 @@ BUILDERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 }
 
 
+#: Parts of changes that a builder reads, for ``attach_prs``; the others need not move.
+PARTS = {"planner": ("files", "commits"), "patcher": ("files",), "critic": ("reviews",)}
+
+
 def build_labels(model: str, s: DataFrame, answers: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """L-22, K-8: labels of snapshots that are not labelled yet."""
     if model not in BUILDERS:

@@ -523,3 +523,20 @@ def test_a_patch_meets_its_text_once(spark, corpus):
     names = ["A.PY", "x.pyc", "Dockerfile", "a/Doc\u212aerfile", "x.md\n", "py", None, "Makefile", "b.Toml"]
     allowed = spark.createDataFrame([(n,) for n in names], "n string").select(DS.allowed_path(F.col("n")).alias("x")).collect()
     assert [r.x for r in allowed] == [True, False, True, True, True, False, False, False, True]
+
+
+def test_changes_go_to_their_issue_once(spark, corpus):
+    issues, prs = corpus
+    s = I.snapshots(issues, (7, 14, 28))
+    few = I.attach_prs(s, prs, ("files",))
+    moves = [x for x in few._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert not any("snapshot_tier" in x for x in moves) and "reviews" not in few.select("linked_prs").schema.simpleString()
+    every = I.attach_prs(s, prs)
+    assert "reviews" in every.select("linked_prs").schema.simpleString()
+    ids = lambda df: {(r.issue_number, r.snapshot_tier): [p.pr_number for p in r.linked_prs] for r in df.collect()}
+    assert ids(few) == ids(every)
+    for r in every.collect():
+        assert all(p.pr.created_at <= r.snapshot_date.isoformat() for p in r.linked_prs)
+    row = lambda df: [tuple(r) for r in df.select("issue_number", "label").orderBy("issue_number", "snapshot_tier").collect()]
+    assert row(L.patcher_labels(few)) == row(L.patcher_labels(every))
+    assert row(L.planner_labels(I.attach_prs(s, prs, L.PARTS["planner"]))) == row(L.planner_labels(every))
