@@ -88,14 +88,14 @@ def issue_pr_edges(issues: DataFrame, prs: DataFrame) -> DataFrame:
     title, 4 issue urls there, 5 closing words in the issue's text; ``seq`` orders within a source.
     """
     pid, iid = F.col("pr_number"), F.col("issue_number")
-    body = F.concat_ws("\n", "pr.title", "pr.body")
+    said = prs.select(pid.alias("pr"), F.concat_ws("\n", "pr.title", "pr.body").alias("text"))  # texts alone, so that the rest of a change need not be made
+    listed = issues.select(iid.alias("issue"), F.explode("linked_pr_numbers").alias("pr"), F.lit(2).alias("source"))
+    closing = issues.select(iid.alias("issue"), F.explode(X.closing_links(X.link_text(F.col("issue.body"), F.col("comments")))).alias("pr"), F.lit(5).alias("source"))
     sources = [
         prs.select(normal_number(F.col("linked_issue_number")).alias("issue"), pid.alias("pr"), F.lit(1).alias("source")),
-        issues.select(iid.alias("issue"), F.explode("linked_pr_numbers").alias("pr"), F.lit(2).alias("source")).join(prs.select(pid.alias("pr")), "pr", "left_semi"),
-        prs.select(F.explode(X.closing_links_loose(body)).alias("issue"), pid.alias("pr"), F.lit(3).alias("source")),
-        prs.select(F.explode(X.issue_url_links(body)).alias("issue"), pid.alias("pr"), F.lit(4).alias("source")),
-        issues.select(iid.alias("issue"), F.explode(X.closing_links(X.link_text(F.col("issue.body"), F.col("comments")))).alias("pr"), F.lit(5).alias("source"))
-        .join(prs.select(pid.alias("pr")), "pr", "left_semi"),
+        listed.unionByName(closing).join(prs.select(pid.alias("pr")), "pr", "left_semi"),
+        said.select(F.explode(X.closing_links_loose(F.col("text"))).alias("issue"), "pr", F.lit(3).alias("source")),
+        said.select(F.explode(X.issue_url_links(F.col("text"))).alias("issue"), "pr", F.lit(4).alias("source")),
     ]
     out = sources[0].select("issue", "pr", "source")
     for s in sources[1:]:

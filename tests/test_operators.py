@@ -4,6 +4,7 @@ import json
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,3 +541,40 @@ def test_changes_go_to_their_issue_once(spark, corpus):
     row = lambda df: [tuple(r) for r in df.select("issue_number", "label").orderBy("issue_number", "snapshot_tier").collect()]
     assert row(L.patcher_labels(few)) == row(L.patcher_labels(every))
     assert row(L.planner_labels(I.attach_prs(s, prs, L.PARTS["planner"]))) == row(L.planner_labels(every))
+
+
+def test_links_do_not_need_the_lines_of_changes(spark):
+    from gritstone.plans import activity as A
+
+    d = "/root/testdata/sf0.001"
+    e = A.edges(spark, d)
+    assert "l_orderkey" not in e._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: Counter(tuple(r) for r in df.select("issue", "pr", "source").collect())
+    assert rows(e) == rows(I.issue_pr_edges(A.issues(spark, d), A.changes(spark, d)))
+
+
+def test_scarcest_cap_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(i):
+        made.add(1)
+        return "a" if i % 10 == 0 else "b"
+
+    df = spark.range(100).select("id", label("id").alias("label"))
+    got = S.scarcest_cap(df, "id", "label", 50, 1)
+    assert Counter(r.label for r in got.collect()) == {"a": 10, "b": 10} and made.value <= 100
+    plain = S.balanced_sample(df, "id", "label", 10, 1)
+    assert {r.id for r in got.collect()} == {r.id for r in plain.collect()}
+    assert Counter(r.label for r in S.scarcest_cap(df, "id", "label", 4, 1).collect()) == {"a": 4, "b": 4}
+    assert S.scarcest_cap(df.where("id < 0"), "id", "label", 4, 1).count() == 0
+
+
+def test_words_are_counted_in_bounded_pieces():
+    from gritstone.operators.vector_index import _pieces
+
+    sizes = np.array([5, 5, 0, 30, 1, 1, 1, 1, 0, 0])
+    got = list(_pieces(sizes, 3, 10))
+    assert [x for a, n in got for x in range(a, a + n)] == list(range(len(sizes)))
+    assert all(n <= 3 and (n == 1 or sizes[a : a + n].sum() <= 10) for a, n in got)
+    assert list(_pieces(np.array([], int), 3, 10)) == []
