@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import delete, n_tasks, release, sieved, written
 from .components import components
 
+HASH_BITS = 40  # of a token's hash, below its level: of 32 bits, chance pairs grow with the square of the table
+TOKEN_BYTES = HASH_BITS // 8 + 1
 SLOTS = 1 << 24  # counters of the rarity sketch, which only orders tokens; a fixed size
-PROBE = 1 << 26  # bits of the filter of tokens in two prefixes or more; a fixed size
+PROBE = 1 << 26  # bits of the filter of tokens that a second look is for; a fixed size
 MARKS = 1 << 22  # bits of the filter of units to be verified; a fixed size
 BLOCKS = 64  # rows in which a sketch or filter reaches the driver
 AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
@@ -167,13 +169,14 @@ class Kind:
     bulk: Callable[[pa.Array, bool], Units]
     cut: Callable[[bytes], list[bytes]]
     words: Callable[[bytes], list[bytes]]
+    sketch: bool = False  # large sets: their parities tell little, so candidates are compared by counts first
 
 
 LINES = Kind(lines_of, lambda text: text.split(b"\n"), bytes.split)
 
 
 def shingles(width: int) -> Kind:
-    return Kind(shingles_of(width), lambda text: [text.lower()], text_shingles(width))
+    return Kind(shingles_of(width), lambda text: [text.lower()], text_shingles(width), sketch=True)
 
 
 def stretches(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, pa.Array]]:
@@ -258,9 +261,9 @@ def rarity(base: DataFrame, kind: Kind) -> np.ndarray:
 
 
 def _lists(token: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Lists of tokens of 40 bits, five bytes each."""
-    data = np.ascontiguousarray(token.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5])
-    offsets = np.concatenate(([0], 5 * np.cumsum(size))).astype(np.int32)
+    """Lists of tokens of TOKEN_BYTES bytes each."""
+    data = np.ascontiguousarray(token.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+    offsets = np.concatenate(([0], TOKEN_BYTES * np.cumsum(size))).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
@@ -268,14 +271,33 @@ def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, size of each list)."""
     _, offsets, data = lists.buffers()
     offsets = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1]
-    out = np.zeros(((offsets[-1] - offsets[0]) // 5, 8), np.uint8)
+    out = np.zeros(((offsets[-1] - offsets[0]) // TOKEN_BYTES, 8), np.uint8)
     if len(out):
-        out[:, :5] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 5)
-    return out.view(np.int64).ravel(), np.diff(offsets) // 5
+        out[:, :TOKEN_BYTES] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(-1, TOKEN_BYTES)
+    return out.view(np.int64).ravel(), np.diff(offsets) // TOKEN_BYTES
+
+
+def _sketches(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Of each set (of size ``n``; none for 0) the counts of its tokens by their hashes' highest bits, four to eight tokens a count."""
+    bits = np.where(n > 0, np.maximum(4, 1 + np.floor(np.log2(np.maximum(n >> 3, 1))).astype(np.int64)), 0)
+    wide = np.where(n > 0, np.int64(1) << bits, 0)
+    start = np.cumsum(wide) - wide
+    some = n[of] > 0
+    of = of[some]
+    counts = np.bincount(start[of] + (mix(h[some], 0xFF51AFD7ED558CCD) >> (64 - bits[of]).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
+    data = np.minimum(counts, 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(start, wide.sum()).astype(np.int32)), pa.py_buffer(data)])
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Two sets differ in as many tokens as this or more: the sum of the differences of their sketches' counts, at the shorter one's length."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    m = min(len(a), len(b))
+    return int(np.abs(a.reshape(m, -1).sum(1) - b.reshape(m, -1).sum(1)).sum())
 
 
 def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarray) -> DataFrame:
-    """Every unit: its place (k1, at), signature (s1, s2, s3), size, raw hash and, in rows that ``lead``, its prefix.
+    """Every unit: its place (k1, at), signature (s1, s2, s3), size, raw hash and, in rows that ``lead``, its prefix and sketch.
 
     A task gives a set's prefix when it meets the set, and again at an earlier place or once it has
     forgotten it. Sets so small that one token more or less falls below the threshold match equal
@@ -291,10 +313,10 @@ def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarra
                 u = kind.bulk(texts, True)
                 units = len(u.row)
                 rare = level[(u.h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-                token = (rare << np.uint64(32)) | (u.h & np.uint64((1 << 32) - 1))
+                token = (rare << np.uint64(HASH_BITS)) | (u.h & np.uint64((1 << HASH_BITS) - 1))
                 order = None
-                if units < 1 << 24:
-                    key = (u.of.astype(np.uint64) << np.uint64(40)) | token
+                if units < 1 << (56 - HASH_BITS):
+                    key = (u.of.astype(np.uint64) << np.uint64(HASH_BITS + 8)) | token
                     order = np.argsort(key)
                     key, h = key[order], u.h[order]
                     if np.any((key[1:] == key[:-1]) & (h[1:] != h[:-1])):
@@ -328,13 +350,14 @@ def unit_sets(base: DataFrame, kind: Kind, threshold: Fraction, level: np.ndarra
                 prefix = np.where(lead & (n * (q - p) >= p), n - (-(-n * p // q)) + 1, 0)
                 take = np.arange(len(h)) - np.repeat(start, n) < np.repeat(prefix, n)
                 prefixes = _lists(token[take], prefix)
+                sketches = _sketches(h, of, np.where(prefix > 0, n, 0) if kind.sketch else np.zeros(units, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1), pa.array(at), _signed(s1), _signed(s2), _signed(s3), pa.array(n.astype(np.int32)), _signed(u.raw), pa.array(lead), prefixes],
-                    names=["k1", "at", "s1", "s2", "s3", "n", "raw", "lead", "prefix"],
+                    [pa.array(k1), pa.array(at), _signed(s1), _signed(s2), _signed(s3), pa.array(n.astype(np.int32)), _signed(u.raw), pa.array(lead), prefixes, sketches],
+                    names=["k1", "at", "s1", "s2", "s3", "n", "raw", "lead", "prefix", "sketch"],
                 )
         release()
 
-    return base.select("k1", "k2", "text").mapInArrow(run, "k1 long, at long, s1 long, s2 long, s3 long, n int, raw long, lead boolean, prefix binary")
+    return base.select("k1", "k2", "text").mapInArrow(run, "k1 long, at long, s1 long, s2 long, s3 long, n int, raw long, lead boolean, prefix binary, sketch binary")
 
 
 def first_places(sets: DataFrame) -> DataFrame:
@@ -360,24 +383,23 @@ def first_places(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array([held.num_rows > 1] * held.num_rows)], names=[*held.schema.names, "copies"]).slice(0, 1)
         release()
 
-    cols = ["s1", "s2", "s3", "k1", "at", "n", "raw", "prefix"]
+    cols = ["s1", "s2", "s3", "k1", "at", "n", "raw", "prefix", "sketch"]
     rows = sets.where("lead").select(cols).repartition("s1").sortWithinPartitions("s1", "s2", "s3", "k1", "at")
-    return rows.mapInArrow(run, "s1 long, s2 long, s3 long, k1 long, at long, n int, raw long, prefix binary, copies boolean")
+    return rows.mapInArrow(run, "s1 long, s2 long, s3 long, k1 long, at long, n int, raw long, prefix binary, sketch binary, copies boolean")
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
     return (mix(token.view(np.uint64), 0x94D049BB133111EB) >> np.uint64(65 - PROBE.bit_length())).astype(np.int32)
 
 
-def _filter(tokens: DataFrame, least: int) -> np.ndarray:
-    """A filter of PROBE bits of the tokens (in lists or rows) that are there ``least`` times: those not in it surely are not."""
+def _filter(tokens: DataFrame) -> np.ndarray:
+    """A filter of PROBE bits of the tokens: those not in it surely are not there."""
     bits = PROBE.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt, size = _Dealt(bits), 0
         for b in batches:
-            t = _tokens(b.column(0))[0] if pa.types.is_binary(b.column(0).type) else b.column(0).to_numpy()
-            dealt.held.append(_slot(t[t >> 32 > 0]))  # level 0: a token that occurs once
+            dealt.held.append(_slot(b.column(0).to_numpy()))
             size += len(dealt.held[-1])
             if size > 1 << 22:
                 yield dealt.rows()
@@ -386,19 +408,21 @@ def _filter(tokens: DataFrame, least: int) -> np.ndarray:
         release()
 
     rows = tokens.mapInArrow(run, "block int, x binary")
-    return np.frombuffer(b"".join(_gathered(rows, bits, lambda n: np.packbits(n >= least, bitorder="little").tobytes())), np.uint8)
+    return np.frombuffer(b"".join(_gathered(rows, bits, lambda n: np.packbits(n > 0, bitorder="little").tobytes())), np.uint8)
 
 
 COLUMNS = ("token", "k1", "at", "np", "s2", "s3")
 
 
-def _probed(b: pa.RecordBatch, passing: np.ndarray) -> list[np.ndarray]:
-    """COLUMNS of the tokens of a batch's prefixes that pass the filter: np holds size and position."""
+def _probed(b: pa.RecordBatch, passing: np.ndarray | None = None) -> list[np.ndarray]:
+    """COLUMNS of the tokens of a batch's prefixes (those that pass the filter, if there is one): np holds size and position."""
     t, size = _tokens(b.column(0))
     of = np.repeat(np.arange(b.num_rows), size)
     pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-    slot = _slot(t)
-    keep = np.flatnonzero((t >> 32 > 0) & ((passing[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+    keep = slice(None)
+    if passing is not None:
+        slot = _slot(t)
+        keep = np.flatnonzero((passing[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
     of = of[keep]
     k1, at, n, s2, s3 = (b.column(i).to_numpy()[of] for i in range(1, 6))
     return [t[keep], k1, at, (n.astype(np.int64) << 32) | pos[keep], s2, s3]
@@ -430,14 +454,17 @@ def _numbers(x: pa.Scalar) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _packed(first: DataFrame, passing: np.ndarray, buckets: int) -> DataFrame:
-    """The same rows, as bytes of many at once, dealt into ``buckets`` by token; a bucket's share of a task is one row."""
+def _packed(first: DataFrame, buckets: int) -> DataFrame:
+    """The rows of all tokens, as bytes of many at once, dealt into ``buckets`` by token; a bucket's share of a task is one row.
+
+    No filter goes before it: one of a fixed size passes few rows of a small table and nearly all of a large one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in chain(batches, [None]):
             if b is not None:
-                held.append(_probed(b, passing))
+                held.append(_probed(b))
                 size += len(held[-1][0])
             if size >= RUN or b is None and size:
                 c = [np.concatenate(x) for x in zip(*held)]
@@ -470,7 +497,7 @@ def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         step = np.floor(np.log(c[3] >> 32) / np.log(q / p) + 1e-9).astype(np.int64)  # partners' are one apart at most
-        key = (c[0] << 20) | (step << 1)  # sizes below 2^31 have fewer than 2^19 steps for all but thresholds next to 1
+        key = (np.unique(c[0], return_inverse=True)[1].astype(np.int64) << 20) | (step << 1)  # sizes below 2^31 have fewer than 2^19 steps for all but thresholds next to 1
         order = np.lexsort((place, key))
         c, key, place = [x[order] for x in c], key[order], place[order]
         token, k1, at, np_, s2, s3 = c
@@ -576,6 +603,24 @@ def _rest(found: DataFrame, rows: DataFrame, threshold: Fraction, apart_from: Da
     return x.join(y.hint("merge"), "token").where(ok).select("xk1", "xat", F.col("yk1").alias("k1"), F.col("yat").alias("at"), apart.alias("far")).distinct()
 
 
+def _near(pairs: DataFrame, first: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs that may reach the threshold by their sketches, so that only texts of likely partners are cut into tokens and move."""
+    p, q = threshold.numerator, threshold.denominator
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xn, n, x, y = (c.to_pylist() for c in b.columns[-4:])
+            ok = [apart(u, v) * (p + q) <= (i + j) * (q - p) for i, j, u, v in zip(xn, n, x, y)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(names)
+        release()
+
+    own = first.where(F.octet_length("sketch") > 0).select("k1", "at", "n", "sketch")
+    x = own.withColumnsRenamed({"k1": "xk1", "at": "xat", "n": "xn", "sketch": "x"})
+    both = pairs.join(x, ["xk1", "xat"]).join(own, ["k1", "at"])
+    return both.select(*names, "xn", "n", "x", "sketch").mapInArrow(run, pairs.schema)
+
+
 def _marks(raw: DataFrame) -> np.ndarray:
     """A filter of MARKS bits of ``raw``: values not in it are surely absent."""
     bit = raw.select(F.pmod("raw", F.lit(MARKS)).alias("bit"))
@@ -661,9 +706,10 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
     sets = written(unit_sets(base, kind, threshold, rarity(base, kind)), "sets", "snappy")
     first = written(first_places(sets), "first", "snappy")
     buckets = 4 * n_tasks(base.sparkSession)
-    found = written(_meet(_packed(first, _filter(first.select("prefix"), 2), buckets), threshold, window, enough), "found", "snappy")
+    found = written(_meet(_packed(first, buckets), threshold, window, enough), "found", "snappy")
     place = ["xk1", "xat", "k1", "at"]
-    pairs = written(found.where("xk1 is not null").groupBy(place).agg(F.min("far").alias("far")), "pairs", "snappy")
+    likely = lambda pairs: _near(pairs, first, threshold) if kind.sketch else pairs
+    pairs = written(likely(found.where("xk1 is not null").groupBy(place).agg(F.min("far").alias("far"))), "pairs", "snappy")
     links = _verified(base, first, pairs, kind, threshold, connect)
     more = found.where("xk1 is null")
     of = None
@@ -673,7 +719,7 @@ def joined(base: DataFrame, kind: Kind, threshold: Fraction, connect: bool = Fal
         more = more.join(links.select("k1", "at").distinct(), ["k1", "at"], "left_anti")
     more = written(more, "more", "snappy")
     if not more.isEmpty():
-        rest = written(_rest(more, _rows(first, _filter(more.select("token"), 1)), threshold, of), "rest", "snappy")
+        rest = written(likely(_rest(more, _rows(first, _filter(more.select("token"))), threshold, of)), "rest", "snappy")
         links = links.unionByName(_verified(base, first, rest, kind, threshold, connect))
     delete(found)
     return sets, first, links

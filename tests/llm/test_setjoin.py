@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from gritstone.llm import setjoin
 from gritstone.llm.setjoin import LINES, joined, keyed, lines_of, shingles, shingles_of, word_hashes
 
 
@@ -82,3 +83,24 @@ def test_units_follow_lines_and_shingles():
     assert np.bincount(s.of).tolist() == [1, 1, 1, 2, 1, 2, 1]
     h = s.h.tolist()
     assert h[0] == h[1] == h[2] and h[6] == h[8] and h[5] != h[0]
+
+
+def test_sketches_tell_large_sets_apart_and_lose_no_pair():
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(1, 2**63, 4000).astype(np.uint64)
+    sets = [a, np.concatenate((a[:3600], rnd.integers(1, 2**63, 350).astype(np.uint64))), a[:3300], rnd.integers(1, 2**63, 4000).astype(np.uint64)]
+    sizes = np.array([len(x) for x in sets])
+    got = setjoin._sketches(np.concatenate(sets), np.repeat(np.arange(4), sizes), sizes).to_pylist()
+    for i in range(4):
+        for j in range(4):
+            assert setjoin.apart(got[i], got[j]) <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+    assert setjoin.apart(got[0], got[3]) * 9 > 8000  # 128 parities never differ in more than 128 of the 888 allowed
+
+
+def test_every_token_of_a_prefix_goes_to_its_bucket(spark):
+    base = keyed(spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(40)], "doc_id long, text string").repartition(3))
+    sets = setjoin.unit_sets(base, LINES, Fraction(4, 5), np.zeros(setjoin.SLOTS, np.uint8))
+    first = setjoin.first_places(sets)
+    rows = setjoin._packed(first, 4).collect()
+    assert sum(len(r.token) // 8 for r in rows) == 40 * 5  # as many as a large table's, where no token is known to be alone
+    assert all(len(setjoin._tokens(pa.array([bytes(r.prefix)], pa.binary()))[0]) == 5 for r in first.collect())
