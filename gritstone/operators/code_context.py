@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import gc
 import re
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +25,8 @@ FILES = 128
 
 #: Where lines end: as Python's splitlines.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Where statements hold others, in the order of their fields.
+_BODIES = ("body", "handlers", "orelse", "finalbody", "cases")
 _OUTLINE = "parses boolean, n_lines int, symbols array<struct<lo int, hi int, name string, kind string>>, imports array<struct<module string, kind string>>, called array<string>"
 
 
@@ -35,11 +39,13 @@ def outline(text: str | None) -> tuple[bool, int, list[dict], list[dict], list[s
     text = text or ""
     n, called = len(text.splitlines()), sorted(set(re.findall(r"(\w+)\(", text)))
     try:
-        nodes = list(ast.walk(ast.parse(text)))
+        nodes = list(_statements(ast.parse(text)))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False, n, [], [], called
     symbols, imports = [], []
     for x in nodes:
+        if isinstance(x, ast.Expr):
+            continue
         if isinstance(x, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
             symbols.append({"lo": x.lineno, "hi": x.end_lineno, "name": x.name, "kind": "class" if isinstance(x, ast.ClassDef) else "function"})
         elif isinstance(x, ast.Import):
@@ -50,6 +56,19 @@ def outline(text: str | None) -> tuple[bool, int, list[dict], list[dict], list[s
     return True, n, sorted(symbols, key=lambda s: (s["lo"], s["hi"])), imports, called
 
 
+@lru_cache(None)
+def _holds(kind: type) -> tuple[str, ...]:
+    return tuple(part for part in _BODIES if part in kind._fields)
+
+
+def _statements(tree: ast.AST) -> Iterator[ast.AST]:
+    """Statements in the order of ``ast.walk``; definitions and imports stand in no expression, so those are passed by."""
+    level = [tree]
+    while level:
+        yield from level
+        level = [y for x in level for part in _holds(type(x)) for y in getattr(x, part)]
+
+
 def outlines(blobs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """X-5: ``keys`` and the outline of each file; files are parsed by Arrow batches, and their texts stay behind."""
     schema = T.StructType([*(blobs.schema[k] for k in keys), *T._parse_datatype_string(_OUTLINE).fields])
@@ -60,7 +79,11 @@ def outlines(blobs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(a, FILES) for x in batches for a in range(0, x.num_rows, FILES)):
-            found = [outline(t) for t in b.column(len(keys)).to_pylist()]
+            gc.disable()  # trees hold no cycles, and looking for some takes long
+            try:
+                found = [outline(t) for t in b.column(len(keys)).to_pylist()]
+            finally:
+                gc.enable()
             cols = [pa.array([f[i] for f in found], a) for i, a in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *cols], names=schema.names)
 
@@ -133,19 +156,21 @@ def structural_context(symbols: DataFrame, hunks: DataFrame, files: DataFrame, k
     symbols gives its first MOST_FALLBACK hunks, and one line more at their ends. Files that
     ``files`` doesn't have are left out. Rows: key, rank, symbol, symbol_type, start_line, end_line, touched.
 
-    Touched symbols are found by stabbing joins both ways (a hunk that begins in a symbol, a symbol that
-    begins in a hunk); the ranks keep a few rows of a file before anything moves.
+    A symbol is touched if a hunk that begins at its last line or before reaches its first: the greatest
+    end of those hunks tells, a running one over a file's symbols and hunks in order of lines. So each moves once.
     """
     by = lambda *o: F.row_number().over(Window.partitionBy(*key).orderBy(*o))
     one = ["lo", "hi", "name", "kind"]
     order = [F.col("lo"), F.col("hi"), F.col("name"), F.col("kind")]
-    h = hunks.select(*key, F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    inside = stab(h, symbols.select(*key, *one), key, "h_lo").select(*key, *one)
-    over = stab(symbols.select(*key, *one), h, key, "lo", "h_lo", "h_hi").select(*key, *one)
-    touched = inside.unionByName(over).distinct().withColumn("touched", F.lit(True))
-    # a file's first by line stay; of these and the touched ones, those that are both count once
-    first = symbols.select(*key, *one).withColumn("nth", by(*order)).where(F.col("nth") <= UNTOUCHED_BEFORE).drop("nth").withColumn("touched", F.lit(False))
-    kept = touched.unionByName(first).groupBy(*key, *one).agg(F.max("touched").alias("touched")).join(files, key)
+    at, reach, touched = "__at", "__reach", "__touched"
+    h = hunks.where(F.col("lo").isNotNull()).select(*key, *[F.lit(None).cast(symbols.schema[c].dataType).alias(c) for c in one], F.col("lo").cast("long").alias(at), F.greatest("lo", "hi").cast("long").alias(reach))
+    s = symbols.select(*key, *one, F.greatest("lo", "hi").cast("long").alias(at), F.lit(None).cast("long").alias(reach))
+    furthest = F.max(reach).over(Window.partitionBy(*key).orderBy(at))  # of rows at the same line, too
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key])
+    marked = s.withColumn("own", F.lit(True)).unionByName(h.withColumn("own", F.lit(False))).withColumn(touched, F.coalesce((furthest >= F.col("lo")) & known, F.lit(False))).where("own")
+    # a file's first by line stay, and the touched ones; equal symbols count once
+    some = marked.withColumn("nth", by(*order)).where(F.col(touched) | (F.col("nth") <= UNTOUCHED_BEFORE))
+    kept = some.groupBy(*key, *one).agg(F.max(touched).alias("touched")).join(files, key)
     start, end = F.greatest(F.lit(1), F.col("lo") - PAD_LINES), F.least(F.col("n_lines"), F.col("hi") + PAD_LINES)
     kept = kept.select(*key, F.col("name").alias("symbol"), F.col("kind").alias("symbol_type"), start.alias("start_line"), end.alias("end_line"), "touched", "lo", "hi")
     ranked = kept.withColumn("rank", by(F.desc("touched"), "start_line", "lo", "hi", "symbol", "symbol_type")).where(F.col("rank") <= MOST_SYMBOLS).drop("lo", "hi")
@@ -196,10 +221,12 @@ def call_index(shape: DataFrame, names: DataFrame) -> DataFrame:
     """Callers, by name: (snapshot, name, path) of files that hold ``name(`` anywhere; ``names`` is (snapshot, name).
 
     A text search finds a name at the end of a longer word, too; so each word before a bracket stands
-    under each of its endings, and the join is one of equal names.
+    under each of its endings that begins as some name does, and the join is one of equal names.
     """
-    w = shape.where(F.col("path").endswith(".py")).select("snapshot", "path", F.explode("called").alias("w"))
-    ends = w.select("snapshot", "path", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), i, F.length("w")))).alias("name"))
+    initials = names.agg(F.collect_set(F.substring("name", 1, 1)).alias("initials"))  # as many as there are letters, at most
+    w = shape.where(F.col("path").endswith(".py")).select("snapshot", "path", F.explode("called").alias("w")).crossJoin(F.broadcast(initials))
+    begins = F.filter(F.sequence(F.lit(1), F.length("w")), lambda i: F.array_contains("initials", F.substring(F.col("w"), i, F.lit(1))))
+    ends = w.select("snapshot", "path", F.explode(F.transform(begins, lambda i: F.substring(F.col("w"), i, F.length("w")))).alias("name"))
     return ends.join(names.select("snapshot", "name").distinct(), ["snapshot", "name"], "left_semi").distinct()
 
 

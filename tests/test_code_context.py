@@ -114,3 +114,32 @@ def test_outlines_leave_in_pieces(spark, monkeypatch):
     assert sorted((r.id, r.symbols[0].name) for r in out.collect()) == [(i, f"f{i}") for i in range(10)]
     monkeypatch.setattr(C, "FILES", 1 << 20)
     assert sorted((r.id, r.symbols[0].name) for r in C.outlines(df, ["id"]).collect()) == [(i, f"f{i}") for i in range(10)]
+
+
+def test_symbols_are_marked_without_pairs_and_as_by_brute_force(spark, monkeypatch):
+    import random
+
+    from gritstone.operators import code_context as C
+
+    monkeypatch.setattr(C, "stab", None)  # each symbol and hunk moves once, not once a length of blocks
+    rnd = random.Random(5)
+    symbols = [(k, lo, lo + rnd.randint(-1, 30), f"s{i}", "function") for k in (1, 2, None) for i, lo in enumerate(rnd.sample(range(1, 300), 25))] + [(1, None, 5, "n", "class")]
+    hunks = [(k, i + 1, lo, rnd.choice([None, lo - 1, lo, lo + rnd.randint(0, 6)])) for k in (1, 2, None) for i, lo in enumerate(rnd.sample(range(1, 300), 9))] + [(2, 10, None, 8)]
+    s = spark.createDataFrame(symbols, "f long, lo int, hi int, name string, kind string")
+    h = spark.createDataFrame(hunks, "f long, nth int, lo int, hi int")
+    monkeypatch.setattr(C, "MOST_SYMBOLS", 1000)
+    got = {(r.f, r.symbol) for r in C.structural_context(s, h, spark.createDataFrame([(1, 400), (2, 400)], "f long, n_lines int"), ["f"]).where("touched").collect()}
+    begins = lambda s, h: s[1] <= h[2] <= s[2]
+    holds = lambda s, h: h[3] is not None and h[2] <= s[1] <= h[3]
+    ok = lambda s, h: s[0] is not None and s[0] == h[0] and s[1] is not None and h[2] is not None and (begins(s, h) or holds(s, h))
+    assert got == {(x[0], x[3]) for x in symbols if any(ok(x, y) for y in hunks)}
+
+
+def test_endings_that_begin_as_no_name_does_do_not_move(spark):
+    from gritstone.operators import code_context as C
+
+    shape = spark.createDataFrame([("s", "a.py", ["o123", "xo123"]), ("s", "b.txt", ["o123"])], "snapshot string, path string, called array<string>")
+    names = spark.createDataFrame([("s", "o123")], "snapshot string, name string")
+    found = C.call_index(shape, names)
+    assert [tuple(r) for r in found.collect()] == [("s", "o123", "a.py")]
+    assert "initials" in found._jdf.queryExecution().analyzed().toString()
