@@ -29,13 +29,15 @@ SLOTS = 1 << 24  # counters of the rarity sketch, which only orders tokens; a fi
 PROBE = 1 << 26  # bits of the filter of tokens that a second look is for; a fixed size
 MARKS = 1 << 22  # bits of the filter of units to be verified; a fixed size
 BLOCKS = 64  # rows in which a sketch or filter reaches the driver
-AT_ONCE = 1 << 21  # bytes of text handled together; one longer text is handled alone
+AT_ONCE = 1 << 20  # bytes of text handled together; one longer text is handled alone
 REMEMBER = 200_000  # units a task remembers, so as to give their prefix once
 WINDOW = 1024  # earliest units of a token and size that others of it are compared with at first
 ENOUGH = 6  # candidates of a unit and token given at first
-MOST = 1 << 20  # rows of a bucket compared at once
+MOST = 1 << 18  # rows of a bucket compared at once
 PAIRS = 1 << 18  # pairs of rows compared at once
 RUN = 1 << 18  # rows of a stretch of tokens
+SLICE = 1 << 16  # of them, unfolded at once, about
+DEALT = 1 << 20  # numbers dealt at once
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -194,8 +196,27 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Sorted numbers by their differences, which take about a byte each."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(np.diff(x, prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes, "zstd", asbytes=True)
+
+
+def _summed(data: pa.Buffer, n: int) -> np.ndarray:
+    """The ``n`` numbers of which ``_steps`` made ``data``."""
+    if not n:
+        return np.zeros(0, np.int32)
+    raw = pa.decompress(data, 4 * n, "zstd")
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32)
+
+
+DEALT_ROWS = "block int, n int, x binary"
+
+
 class _Dealt:
-    """Numbers of a task, dealt by their highest bits into BLOCKS rows of bytes."""
+    """Numbers of a task, dealt by their highest bits into BLOCKS rows of bytes, as soon as there are DEALT of them."""
 
     def __init__(self, bits: int):
         self.shift = bits - BLOCKS.bit_length() + 1
@@ -205,8 +226,9 @@ class _Dealt:
         x = np.sort(np.concatenate(self.held) if self.held else np.zeros(0, np.int32))
         cut = np.searchsorted(x, np.arange(BLOCKS + 1, dtype=np.int64) << self.shift)
         self.held = []
-        parts = [x[a:z].tobytes() for a, z in zip(cut, cut[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "x"])
+        parts = [_steps(x[a:z] & ((1 << self.shift) - 1)) for a, z in zip(cut, cut[1:])]
+        cols = [pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.diff(cut).astype(np.int32)), pa.array(parts, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "n", "x"])
 
 
 def _gathered(rows: DataFrame, bits: int, finish: Callable[[np.ndarray], bytes]) -> list[bytes]:
@@ -222,7 +244,7 @@ def _gathered(rows: DataFrame, bits: int, finish: Callable[[np.ndarray], bytes])
                     yield give()
                     total[:] = 0
                 block = k
-                x = np.frombuffer(b.column(1)[i].as_buffer(), np.int32) & (wide - 1)  # sorted
+                x = _summed(b.column(2)[i].as_buffer(), b.column(1)[i].as_py())
                 if len(x):
                     at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
                     total[x[at]] += np.diff(np.append(at, len(x)))
@@ -248,7 +270,7 @@ def rarity(base: DataFrame, kind: Kind) -> np.ndarray:
                 h = kind.bulk(texts, False).h
                 dealt.held.append((h >> np.uint64(64 - bits)).astype(np.int32))
                 size += len(h)
-                if size > 1 << 22:
+                if size >= DEALT:
                     yield dealt.rows()
                     size = 0
         yield dealt.rows()
@@ -257,7 +279,7 @@ def rarity(base: DataFrame, kind: Kind) -> np.ndarray:
     def level(n: np.ndarray) -> bytes:
         return np.minimum(np.where(n < 2, 0, 1 + np.floor(np.log2(np.maximum(n, 1)) * 6)), 255).astype(np.uint8).tobytes()
 
-    return np.frombuffer(b"".join(_gathered(base.select("text").mapInArrow(run, "block int, x binary"), bits, level)), np.uint8)
+    return np.frombuffer(b"".join(_gathered(base.select("text").mapInArrow(run, DEALT_ROWS), bits, level)), np.uint8)
 
 
 def _lists(token: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -401,13 +423,13 @@ def _filter(tokens: DataFrame) -> np.ndarray:
         for b in batches:
             dealt.held.append(_slot(b.column(0).to_numpy()))
             size += len(dealt.held[-1])
-            if size > 1 << 22:
+            if size >= DEALT:
                 yield dealt.rows()
                 size = 0
         yield dealt.rows()
         release()
 
-    rows = tokens.mapInArrow(run, "block int, x binary")
+    rows = tokens.mapInArrow(run, DEALT_ROWS)
     return np.frombuffer(b"".join(_gathered(rows, bits, lambda n: np.packbits(n > 0, bitorder="little").tobytes())), np.uint8)
 
 
@@ -432,11 +454,22 @@ def _prefixes(first: DataFrame) -> DataFrame:
     return first.where(F.octet_length("prefix") > 0).select("prefix", "k1", "at", "n", "s2", "s3")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE tokens in their prefixes, or one prefix more."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)) // TOKEN_BYTES
+        a = 0
+        while a < b.num_rows:
+            z = 1 + int(np.searchsorted(size[:-1], (size[a - 1] if a else 0) + SLICE, side="left"))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def _rows(first: DataFrame, passing: np.ndarray) -> DataFrame:
     """A row of COLUMNS for each token that passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             c = _probed(b, passing)
             for a in range(0, max(1, len(c[0])), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in c], names=list(COLUMNS))
@@ -450,35 +483,49 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _numbers(x: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+def _numbers(x: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
 def _packed(first: DataFrame, buckets: int) -> DataFrame:
     """The rows of all tokens, as bytes of many at once, dealt into ``buckets`` by token; a bucket's share of a task is one row.
 
+    ``rest`` holds all COLUMNS but the token, which is as good as random and doesn't compress.
+
     No filter goes before it: one of a fixed size passes few rows of a small table and nearly all of a large one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in chain(batches, [None]):
+        for b in chain(_slices(batches), [None]):
             if b is not None:
                 held.append(_probed(b))
                 size += len(held[-1][0])
             if size >= RUN or b is None and size:
                 c = [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
                 bucket = (mix(c[0].view(np.uint64), 0xFF51AFD7ED558CCD) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                c = [x[order] for x in c]
                 some = np.flatnonzero(np.diff(cut))
-                parts = [pa.array([_planes(x[cut[k] : cut[k + 1]]) for k in some.tolist()], pa.binary()) for x in c]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *parts], names=["bucket", *COLUMNS])
-                held, size = [], 0
+                for i in range(0, len(some), 64):  # a large batch would stay in the memory of the JVM as a whole
+                    token, rest = [], []
+                    for k in some[i : i + 64].tolist():
+                        x = order[cut[k] : cut[k + 1]]
+                        token.append(_planes(c[0][x]))
+                        rest.append(pa.compress(b"".join(_planes(y[x]) for y in c[1:]), "zstd", asbytes=True))
+                    cols = [pa.array(some[i : i + 64].astype(np.int32)), pa.array(token, pa.binary()), pa.array(rest, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "token", "rest"])
         release()
 
-    return _prefixes(first).mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS))
+    return _prefixes(first).mapInArrow(run, "bucket int, token binary, rest binary")
+
+
+def _unpacked(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    """COLUMNS of a row of ``_packed``."""
+    token, many = b.column(1)[i].as_buffer(), len(COLUMNS) - 1
+    rest = pa.decompress(b.column(2)[i].as_buffer(), many * token.size, "zstd")
+    return [_numbers(token), *(_numbers(rest.slice(j * token.size, token.size)) for j in range(many))]
 
 
 def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough: int = ENOUGH) -> DataFrame:
@@ -563,14 +610,15 @@ def _meet(packed: DataFrame, threshold: Fraction, window: int = WINDOW, enough:
             for i in range(b.num_rows if b is not None else 1):
                 k = b.column(0)[i].as_py() if b is not None else None
                 if size and (k != bucket or size >= most):
-                    out, stay = compare([np.concatenate(x) for x in zip(*held)])
+                    c, held = [np.concatenate(x) for x in zip(*held)], []
+                    out, stay = compare(c)
                     yield out
                     held = [stay] if k == bucket else []
                     size = len(stay[0]) if held else 0
                     most = max(MOST, 2 * size)
                 bucket = k
                 if b is not None:
-                    held.append([_numbers(b.column(j + 1)[i]) for j in range(len(COLUMNS))])
+                    held.append(_unpacked(b, i))
                     size += len(held[-1][0])
         release()
 

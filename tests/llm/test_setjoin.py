@@ -1,6 +1,7 @@
 """The set join's links against brute force, also where its first look is too short, and its hashing against plain splitting."""
 
 import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -104,3 +105,46 @@ def test_every_token_of_a_prefix_goes_to_its_bucket(spark):
     rows = setjoin._packed(first, 4).collect()
     assert sum(len(r.token) // 8 for r in rows) == 40 * 5  # as many as a large table's, where no token is known to be alone
     assert all(len(setjoin._tokens(pa.array([bytes(r.prefix)], pa.binary()))[0]) == 5 for r in first.collect())
+
+
+def test_numbers_dealt_to_the_driver_take_a_byte_each_and_come_back(spark):
+    x = np.random.default_rng(4).integers(0, setjoin.SLOTS, 1 << 19).astype(np.int32)
+    dealt = setjoin._Dealt(24)
+    dealt.held = [x]
+    rows = dealt.rows()
+    assert sum(map(len, rows.column("x").to_pylist())) < 1.5 * len(x)
+    counts = setjoin._gathered(spark.createDataFrame(pa.Table.from_batches([rows, rows])), 24, lambda n: n.astype(np.uint8).tobytes())
+    assert b"".join(counts) == (2 * np.bincount(x, minlength=setjoin.SLOTS)).astype(np.uint8).tobytes()
+
+
+def test_tokens_move_in_few_bytes(spark):
+    rnd = random.Random(6)
+    texts = ["\n".join(" ".join(f"w{rnd.randrange(3000)}" for _ in range(9)) for _ in range(20)) for _ in range(100)]
+    base = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    rows = setjoin._packed(setjoin.first_places(setjoin.unit_sets(base, LINES, Fraction(4, 5), np.zeros(setjoin.SLOTS, np.uint8))).coalesce(1), 4).collect()
+    assert sum(len(x) for r in rows for x in r[1:]) < 40 * sum(len(r.token) // 8 for r in rows)
+
+
+def test_prefixes_of_a_batch_unfold_in_bounded_memory(spark):
+    class Frame:
+        def where(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n, many = 10_000, 80
+    data = np.random.default_rng(5).bytes(n * many * setjoin.TOKEN_BYTES)
+    lists = [data[i : i + many * setjoin.TOKEN_BYTES] for i in range(0, len(data), many * setjoin.TOKEN_BYTES)]
+    k = np.arange(n)
+    cols = [pa.array(lists, pa.binary()), pa.array(k), pa.array(k), pa.array(np.full(n, 400, np.int32)), pa.array(k), pa.array(k)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["prefix", "k1", "at", "n", "s2", "s3"])
+    run = setjoin._packed(Frame(), 200)
+    tracemalloc.start()
+    tokens = sum(len(t) // 8 for b in run(iter([batch])) for t in b.column(1).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens == n * many and peak < 60e6
