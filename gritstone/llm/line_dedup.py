@@ -52,7 +52,8 @@ def line_dedup(docs: DataFrame, threshold: Fraction = Fraction(4, 5), counts: bo
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     extra = [n_lines.alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     of = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names] + extra
-    moved = maybe.join(gone_, [k1, k2], "left").select(*of)
+    # merged at any size: what a small table spares by a broadcast, a large one could not
+    moved = maybe.join(gone_.hint("merge"), [k1, k2], "left").select(*of)
     return still.withColumn(cut, F.lit(None).cast("array<int>")).select(*of).unionByName(moved)
 
 

@@ -67,3 +67,8 @@ def test_query_and_stage_take_short_lines(spark, tmp_path):
 def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, "a b c", 7, 8, "z"), (2, "c b a\nd", 7, 8, "z")], "doc_id long, text string, __k1 int, __lines int, __k2 string")
     assert sorted(tuple(r) for r in line_dedup(docs).collect()) == [(1, "a b c", 7, 8, "z"), (2, "d", 7, 8, "z")]
+
+
+def test_texts_meet_their_lines_by_a_merge_join_at_any_size(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\nf g")], "doc_id long, text string")
+    assert "strategy=merge" in line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
